@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import join_checked
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,16 +21,56 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not among ``ids`` (a written table)."""
+    return join_checked(documents, ids, "doc_id", "left_anti")
+
+
+def with_copies(documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """Documents with their number of copies (a written table: doc_id, copies)."""
+    return join_checked(documents, copies, "doc_id", "inner")
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """The packing of op 7 with its digest of the ids; the tokenizer's files are looked up once, on the driver."""
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    path = public_tokenizers.path
+    out = pack(documents, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_mixing": op2_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 

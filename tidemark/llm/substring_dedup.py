@@ -121,10 +121,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = list(compress(words, keep))
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                ["doc_id", "kept_text", "n_words", "n_removed"],
-            )
+            rest = [batch.column(i).slice(low, high - low) for i in (0, *range(4, batch.num_columns))]
+            names = [batch.schema.names[i] for i in (0, *range(4, batch.num_columns))]
+            done = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rest, *done], [*names, "kept_text", "n_words", "n_removed"])
 
 
 class FingerprintLog:
@@ -214,26 +214,29 @@ class FingerprintLog:
 
 
 def cut_spans(batch: DataFrame, spans: DataFrame) -> DataFrame:
-    """Remove the spans' words from a batch: doc_id, kept_text, n_words, n_removed."""
+    """Remove the spans' words from a batch: doc_id, its further columns, kept_text, n_words, n_removed."""
     spans = materialize(spans, "substring-spans")
     by_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = batch.join(F.broadcast(by_doc) if is_small(spans) else by_doc.hint("merge"), ["doc_id", "version"], "left")
-    return joined.select("doc_id", "version", "text", "spans").mapInArrow(_cut, "doc_id long, kept_text string, n_words long, n_removed long")
+    more = [c for c in batch.columns if c not in ("doc_id", "version", "text")]
+    rows = joined.select("doc_id", "version", "text", "spans", *more)
+    schema = rows.drop("version", "text", "spans").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
+    return rows.mapInArrow(_cut, schema)
 
 
-def versioned(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, version, text: version tells rows apart that repeat a doc_id with another text."""
-    text = F.col(text_col).cast("string")
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("version"), text.alias("text"))
+def versioned(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, version, text and _<name> of each of ``keep``: version tells rows apart that repeat a doc_id with another text."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("version"), text.alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
 
 
-def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
-    """Index ``documents`` in ``batches`` of ascending doc_id; one row per document: doc_id, kept_text, n_words, n_removed.
+def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Index ``documents`` in ``batches`` of ascending doc_id; one row per document: doc_id, the columns ``keep``, kept_text, n_words, n_removed.
 
     A word goes when a window that covers it also starts in a document with a smaller
     doc_id; the windows are those of the input. Null texts have no words; rows without
     a doc_id come back whole, as nothing is smaller. Rows that repeat a doc_id don't count
-    against each other. Other columns are not read.
+    against each other. Columns that are not named are not read.
     """
     docs = versioned(documents)
     edges = docs.select("doc_id").stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
@@ -246,4 +249,5 @@ def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW
         part = part if high is None else part.where(F.col("doc_id") <= high)
         found = log.add(part)
         spans = found if spans is None else spans.unionByName(found)
-    return cut_spans(docs, spans)
+    out = cut_spans(versioned(documents, keep), spans)
+    return out.withColumnsRenamed({f"_{c}": c for c in keep})

@@ -97,10 +97,14 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 class Words:
     """Word positions of one chunk of texts."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, letters: bool = False):
+        """letters: a word is instead a run of ASCII letters, digits and non-ASCII bytes."""
         self.data, self.offsets = buffers(column)
         b = self.data
-        inside = (b != 32) & ((b < 9) | (b > 13))
+        if letters:
+            inside = (b >= 128) | ((b | 32) - np.uint8(97) < 26) | (b - np.uint8(48) < 10)
+        else:
+            inside = (b != 32) & ((b < 9) | (b > 13))
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edges = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
