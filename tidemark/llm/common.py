@@ -46,7 +46,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every end of ``edges`` (columns a, b, long); root is the component's smallest node.
+    """(node, root) for every end of ``edges`` (columns a, b of one orderable type); root is the component's smallest node.
 
     Each round points every node at its smallest neighbour, follows the pointers to
     their ends by doubling, and contracts the edges onto those ends. At least half of
@@ -54,8 +54,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     is logarithmic. All steps are aggregations and joins on written tables: a hub with
     very many edges is pre-aggregated, and both join sides stay splittable.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    pairs = pairs.where("a is not null and b is not null and a <> b")
+    kind = edges.schema["a"].dataType.simpleString()
+    pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     maps: list[DataFrame] = []
     while pairs.count():
@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         left = left.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         pairs = materialize(left, f"{name}-edges")
     if not maps:
-        return edges.sparkSession.createDataFrame([], "node long, root long")
+        return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     out = maps[0]
     for later in maps[1:]:
         up = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
