@@ -248,8 +248,8 @@ def _second_round(blocks: DataFrame, links: DataFrame, percent: int) -> DataFram
     right = _numbered(rows).select("grp", "level", "at", "doc_id")
     left_blocks = materialize(left.groupBy("grp", "level", "at").agg(F.lit(1).alias("one")), "minhash-left-blocks").drop("one")
     right_blocks = materialize(right.groupBy("grp", "level", "at").agg(F.lit(1).alias("one")), "minhash-right-blocks").drop("one")
-    near = F.explode(F.array(*[F.lit(i) for i in range(-1, 2)]))
-    other = left_blocks.select("grp", F.col("at").alias("p"), (F.col("level") + near).alias("level"))
+    near = F.explode(F.array(*[F.col("level") + i for i in range(-1, 2)]))
+    other = left_blocks.select("grp", F.col("at").alias("p"), near.alias("level"))
     meets = materialize(other.join(right_blocks.withColumnRenamed("at", "q"), ["grp", "level"]).select("grp", "p", "q"), "minhash-meets")
     a = left.withColumnRenamed("at", "p").join(meets, ["grp", "p"]).select("grp", "p", "q", F.lit(0).alias("side"), "doc_id")
     b = right.withColumnRenamed("at", "q").join(meets, ["grp", "q"]).select("grp", "p", "q", F.lit(2).alias("side"), "doc_id")
