@@ -65,6 +65,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.itq_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.minhash_dedup import near_duplicates
 
@@ -109,6 +115,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op8_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.curve_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 #: The pages at hand hold no canonical or refresh links, so the method's verdict is that of no component: allow.
 OP10_SQL = """
 WITH u AS (
@@ -134,9 +146,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_mixing": op2_mixing,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_itq_near_dedup": op4_itq_near_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_curve_search": op8_curve_search,
         "op10_url_filters": op10_url_filters,
     }
 
