@@ -121,6 +121,12 @@ def op8_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 #: The pages at hand hold no canonical or refresh links, so the method's verdict is that of no component: allow.
 OP10_SQL = """
 WITH u AS (
@@ -151,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_curve_search": op8_curve_search,
+        "op9_html_extraction": op9_html_extraction,
         "op10_url_filters": op10_url_filters,
     }
 
