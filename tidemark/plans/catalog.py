@@ -15,6 +15,8 @@ from tidemark.functions import text as X
 from tidemark.operators import bayes, dictionary, evaluate, policies, refine
 from tidemark.operators.sequence import number_rows
 from tidemark.plans import inputs as I
+from tidemark.storage import new_path
+from tidemark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,3 +591,68 @@ def error_triggered_nb(spark, sf):
     """Its retrainings depend on its own accuracy; tests hold it against a plain loop."""
     tokens = I.numbered_tokens(spark, sf)
     return policies.error_triggered_predictions(tokens, I.numbered(spark, sf), dictionary.first_seen_ids(tokens), list(I.LANGS), TRIGGERED)
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf, name="documents"):
+    """A table's file as a stream, with the columns of `inputs.docs`."""
+    still = I.docs(spark, sf)
+    path = f"{sf}/{name}.parquet"
+    # As a pattern, the path may name one file or a folder of files.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{name}.parque[t]")
+    n = max(I.table(spark, sf, name).count(), 1)
+    ts = F.lit(START_MS) + F.floor(F.col("doc_id") * F.lit(I.SPAN_MS) / F.lit(n))
+    return rows.select("doc_id", ts.cast("long").alias("ts_ms"), F.col("lang").alias("label"), "text").select(still.columns)
+
+
+def _drained(spark, stream, mode, each=None):
+    """All that a query writes until its source is drained, as a table; a replayed batch overwrites its own rows."""
+    out = new_path(spark, "stream-out")
+    target = "last" if mode == "complete" else "batch={}"
+
+    def put(df, number):
+        (each(df) if each else df).write.mode("overwrite").parquet(f"{out}/{target.format(number)}")
+
+    jobs.run_to_end(stream, new_path(spark, "stream-checkpoint"), put, mode)
+    return spark.read.parquet(f"{out}/{'last' if mode == 'complete' else ''}")
+
+
+@query(f"WITH {I.TERMS}, w AS (SELECT label, unnest(words) AS term FROM termed) SELECT label, term, count(*) AS n FROM w GROUP BY 1, 2")
+def stream_label_term_counts(spark, sf):
+    return _drained(spark, jobs.label_term_counts(_stream(spark, sf)), "complete")
+
+
+@query(f"WITH {I.TERMS}, w AS (SELECT (ts_ms - {START_MS}) // 86400000 AS day, unnest(words) AS term FROM termed) SELECT term, day, count(*) AS postings FROM w GROUP BY 1, 2")
+def stream_dictionary(spark, sf):
+    return _drained(spark, jobs.term_days(_stream(spark, sf), START_MS), "complete")
+
+
+@query(f"WITH {I.ROWS}, {I.bayes_sql(_TRAIN, _TEST, add=0.1, vocabulary=False, prior=None)} SELECT doc_id, label, prediction, prediction = label AS correct FROM m_pred JOIN numbered USING (doc_id)")
+def stream_accuracy(spark, sf):
+    """Each micro-batch is scored by the model of the training period."""
+    model = _offline(spark, sf, config.STREAM_RATIO)[0]
+
+    def score(batch):
+        usable = refine.enough_terms(batch, X.terms(F.col("text")), 2)
+        rows = usable.select("doc_id", "label")
+        tokens = dictionary.token_table(usable, ("doc_id",))
+        return evaluate.judged(bayes.predict(bayes.scores(model, tokens, rows)), rows).select("doc_id", "label", "prediction", "correct")
+
+    stream = _stream(spark, sf).where(F.col("ts_ms") > DAY4)
+    return _drained(spark, stream, "append", score).select("doc_id", "label", "prediction", "correct")
+
+
+@query()
+def stream_phase_machine(spark, sf):
+    """Training and predicting in turns of event time; which rows meet in a batch is up to the source."""
+    files = new_path(spark, "phase-in")
+    I.docs(spark, sf).repartitionByRange(8, "ts_ms").write.parquet(files)
+    folder = new_path(spark, "phase")
+    rows = spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 1).parquet(files)
+    cycle = 2 * I.SPAN_MS // 8 // config.TIME_SCALE
+    jobs.run_to_end(rows, f"{folder}/checkpoint", jobs.PhaseMachine(spark, folder, cycle, cycle // 2), "append")
+    measured = spark.createDataFrame([], "n long, n_correct long, accuracy double, batch_number int").write
+    measured.mode("append").parquet(f"{folder}/metrics/batch=-1")
+    return spark.read.parquet(f"{folder}/metrics").select("batch", "n", "n_correct", "accuracy")

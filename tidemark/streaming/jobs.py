@@ -76,7 +76,7 @@ class PhaseMachine:
 
     def __init__(self, spark: SparkSession, folder: str, interval: int, training: int, smoothing: Smoothing = STREAM_RATIO):
         self.spark, self.folder, self.interval, self.training, self.smoothing = spark, folder, interval, training, smoothing
-        self.state, self.model = "train", None
+        self.state, self.model, self.rows = "train", None, False
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
@@ -95,8 +95,9 @@ class PhaseMachine:
             training = (first // 50_000) % self.interval < self.training
             if training and self.state == "train":
                 self._write(batch.select("doc_id", "ts_ms", "label", "text"), "rows", number)
+                self.rows = True
                 return
-            if self.state == "train":
+            if self.state == "train" and self.rows:
                 self._fit()
                 self.state = "predict"
             if self.model is not None:
