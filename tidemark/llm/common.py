@@ -1,36 +1,16 @@
-"""Shared plumbing: written intermediate tables, size-checked joins, connected components."""
+"""Shared plumbing: size-checked joins and connected components over written tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only up to so many rows (of two or three fixed-width columns); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
+from tidemark.storage import materialize
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where set, else one of this process (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_folder, "own", None)
-        if folder is None:
-            folder = shared_folder.own = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder.rstrip("/")
+__all__ = ["BROADCAST_ROWS", "connected_components", "is_small", "join_checked", "materialize"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side is broadcast only up to so many rows (of two or three fixed-width columns); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
