@@ -215,9 +215,9 @@ class FingerprintLog:
 
 def cut_spans(batch: DataFrame, spans: DataFrame) -> DataFrame:
     """Remove the spans' words from a batch: doc_id, its further columns, kept_text, n_words, n_removed."""
-    spans = materialize(spans, "substring-spans")
     by_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = batch.join(F.broadcast(by_doc) if is_small(spans) else by_doc.hint("merge"), ["doc_id", "version"], "left")
+    # Always a shuffle: the spans grow with the texts, so at no size worth planning for would they be broadcast.
+    joined = batch.join(by_doc.hint("merge"), ["doc_id", "version"], "left")
     more = [c for c in batch.columns if c not in ("doc_id", "version", "text")]
     rows = joined.select("doc_id", "version", "text", "spans", *more)
     schema = rows.drop("version", "text", "spans").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
