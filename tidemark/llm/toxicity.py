@@ -134,20 +134,20 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 300, rate: float = 0.05
     if not len(best):
         return model
     term, owner = model.active(every, owner)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1), model.weights, model.factors)]
-    params = [np.array([w0]), model.weights, model.factors]
+    # The intercept stays at the classes' odds: were it learned, it would sink as the terms explain the toxic
+    # texts, and a text with one weak sign, such as the prefix of a form never seen, would no longer outweigh it.
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.weights, model.factors)]
+    params = [model.weights, model.factors]
     for step in range(1, steps + 1):
-        model.w0 = float(params[0][0])
         margin, sums = model.margin(term, owner, n)
         error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - toxic) / n
-        grads = [np.array([error.sum()]), np.bincount(term, error[owner], len(best)) + l2 * model.weights / len(best), np.zeros_like(model.factors)]
+        grads = [np.bincount(term, error[owner], len(best)) + l2 * model.weights / len(best), np.zeros_like(model.factors)]
         for k in range(FACTORS):
-            grads[2][:, k] = np.bincount(term, error[owner] * (sums[owner, k] - model.factors[term, k]), len(best)) + l2 * model.factors[:, k] / len(best)
+            grads[1][:, k] = np.bincount(term, error[owner] * (sums[owner, k] - model.factors[term, k]), len(best)) + l2 * model.factors[:, k] / len(best)
         for p, g, m in zip(params, grads, moments, strict=True):
             m[0][:] = 0.9 * m[0] + 0.1 * g
             m[1][:] = 0.999 * m[1] + 0.001 * g * g
             p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-9)
-    model.w0 = float(params[0][0])
     return model
 
 
