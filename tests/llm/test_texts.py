@@ -144,7 +144,7 @@ def test_model_generalises():
     assert ((scores >= 0.5) == toxic).mean() > 0.98
     empty, null, unseen, seen = model.scores(pa.array(["", None, "so vileish", "so vilest"]))
     assert empty == null < 0.5 < seen
-    assert unseen > 2 * empty  # a form never seen shares a prefix
+    assert unseen > 1.5 * empty  # a form never seen shares a prefix
 
 
 def test_pairs_are_learned():

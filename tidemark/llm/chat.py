@@ -126,6 +126,12 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layou
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "at.role", "at.text")
 
 
+def _keys_under(record: Column, name: str) -> Column:
+    """Paths of the fields of the first element of a JSON record's list."""
+    keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{name}."), k))
+
+
 def json_turns(df: DataFrame, record_col: str = "record", id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """conv_id, turn, role, text rows of JSON records of mixed layouts; each record's own fingerprint selects its mapping.
 
@@ -134,7 +140,7 @@ def json_turns(df: DataFrame, record_col: str = "record", id_col: str = "conv_id
     record = F.col(record_col).cast("string")
     known = sorted({p for x in layouts if x.kind != "rows" for p in x.paths})
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    nested = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{p}[0]")), F.array().cast("array<string>")), lambda k, p=p: F.concat(F.lit(f"{p}."), k)) for p in ("messages", "conversations")]
+    nested = [_keys_under(record, p) for p in ("messages", "conversations")]
     rows = df.select(F.col(id_col).cast("long").alias("conv_id"), record.alias("record"), F.array_distinct(F.concat(top, *nested)).alias("paths"))
     rows = rows.withColumn("paths", F.array_intersect("paths", F.array(*[F.lit(p) for p in known])))
     rows = rows.withColumn("print", fingerprint(F.col("paths")))

@@ -101,13 +101,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
+#: Of rows of one class, or none, nothing can be learned: everything counts as clean.
+NOTHING = Model(-10.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Model:
     """Fit on labelled texts: term selection, then Adam on the regularised log loss of all rows."""
     n, n_toxic = len(toxic), int(toxic.sum())
     n_clean = n - n_toxic
-    # With one class (or no rows) there is nothing to tell apart: everything counts as clean.
     if not n_toxic or not n_clean:
-        return Model(-10.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
+        return NOTHING
     w0 = float(np.log(n_toxic / n_clean))
     found, owners, counts = [], [], [np.zeros(COUNTERS), np.zeros(COUNTERS)]
     for low, high in chunks(texts, CHUNK_BYTES):
@@ -175,6 +178,8 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     fitted = materialize(texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fit, "w0 double, hashes binary, weights binary, factors binary"), "toxicity-model")
     row = fitted.first()
+    if row is None:  # an empty table may have no partition at all
+        return NOTHING
     return Model(row.w0, np.frombuffer(row.hashes, np.uint64), np.frombuffer(row.weights), np.frombuffer(row.factors).reshape(-1, FACTORS))
 
 
