@@ -43,8 +43,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    copies = materialize(mix_sources(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-copies")
+    """Every document as many times as the mix takes it; rows that repeat an id and a size take the larger number."""
+    mixed = mix_sources(docs).where("copies > 0").groupBy(queries.doc_key().alias("doc_key"), "size").agg(F.max("copies").alias("copies"))
+    copies = materialize(mixed, "pipeline-copies")
     taken = queries.with_copies(docs, copies)
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 

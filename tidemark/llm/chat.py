@@ -49,7 +49,7 @@ LAYOUTS = (
     Layout("prompt_completion", ("prompt", "completion"), "fields", (("user", "prompt"), ("assistant", "completion"))),
     Layout("question_answer", ("question", "answer"), "fields", (("user", "question"), ("assistant", "answer"))),
 )
-#: Names of the same role in other layouts.
+#: Names of the same role in layouts that hold lists; rows by turn name their roles themselves.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURN = "array<struct<role:string,text:string>>"
 
@@ -121,7 +121,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", layouts: tuple[Layou
     key = F.col(id_col).cast("long").alias("conv_id")
     if layout.kind == "rows":
         role, text = layout.turns[0]
-        return df.select(key, F.col("turn").cast("long").alias("turn"), _role(F.col(role).cast("string")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+        return df.select(key, F.col("turn").cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     turns = df.select(key, F.posexplode(record_turns(layout, lambda p: F.col(f"`{p}`"))).alias("turn", "at"))
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "at.role", "at.text")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
@@ -29,6 +29,11 @@ FAN = 32
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def word_count() -> Column:
+    """Words of the column ``text``; null: none."""
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """skey, source_size, n_docs, target of each source of ``sizes`` (source, size).
 
@@ -115,9 +120,7 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     copies is 0 to ``most`` and taken is copies * size. Rows that repeat a doc_id are
     documents of their own. With no words at all every target is 0.
     """
-    text = F.col("text").cast("string")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     docs = materialize(docs, "mixing-sizes")
     targets = materialize(source_targets(docs, weights, most), "mixing-targets")
     rows = docs.select("doc_id", _key(F.col("source")).alias("skey"), "size").join(targets, "skey")

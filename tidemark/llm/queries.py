@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_checked
+from tidemark.llm.mixing import word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,11 +51,9 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), r AS (
-  SELECT conv_id, turn, CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END AS role, text FROM t
 ), e AS (
   SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', ''))
-         + length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', '')) + 14 AS n FROM r
+         + length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', '')) + 14 AS n FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -89,8 +88,12 @@ def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def with_copies(documents: DataFrame, copies: DataFrame) -> DataFrame:
-    """Documents with their number of copies (a written table: doc_id, copies)."""
-    return join_checked(documents, copies, "doc_id", "inner")
+    """Documents with their number of copies (a written table: doc_key, size, copies); a null doc_id has a key too."""
+    return join_checked(documents.withColumn("doc_key", doc_key()).withColumn("size", word_count()), copies, ["doc_key", "size"], "inner")
+
+
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
 def packed(documents: DataFrame) -> DataFrame:
