@@ -27,6 +27,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tidemark import storage
+
+    storage.clear(session)
     session.stop()
 
 
