@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import STOP_WORDS
@@ -78,3 +78,21 @@ def hashed_vectors(tokens: DataFrame, size: int = 1000, doc: str = "doc_id") ->
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """Words between single spaces, counted."""
     return df.select(F.explode(F.split(text, " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def idf_vectors(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """doc_id, indices, values: each distinct term of a document with its idf alone, whatever its frequency."""
+    n = tokens.agg(F.count_distinct("doc_id").alias("n_docs"))
+    weights = document_frequency(tokens).crossJoin(F.broadcast(n)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    pairs = tokens.select("doc_id", "term").distinct().join(weights, "term").join(dictionary, "term")
+    pairs = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "idf"))).alias("p"))
+    return pairs.select("doc_id", F.transform("p", lambda x: x["term_id"]).alias("indices"), F.transform("p", lambda x: x["idf"]).alias("values"))
+
+
+def index_vector(size: Column | int) -> Column:
+    """0 .. size - 1."""
+    return F.sequence(F.lit(0), (F.lit(size) if isinstance(size, int) else size) - 1)
+
+
+def zero_vector(size: Column | int) -> Column:
+    return F.array_repeat(F.lit(0.0), size)

@@ -303,6 +303,27 @@ def term_list_per_doc(spark, sf):
     return rows.select("doc_id", "label", F.array_join(F.array_sort(t), " ").alias("terms"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
+@query(f"""WITH {I.ROWS}, {_IDS}, {_DF}, w AS (SELECT term, ln((SELECT count(*) FROM numbered)::DOUBLE / df) AS idf FROM df)
+SELECT doc_id, string_agg(term_id, ' ' ORDER BY term_id) AS indices, round(sum(idf), 4) AS total FROM (SELECT DISTINCT doc_id, term FROM tok) JOIN w USING (term) JOIN ids USING (term) GROUP BY 1""")
+def idf_vectors(spark, sf):
+    rows = dictionary.idf_vectors(I.tokens(spark, sf), _dictionary_of(spark, sf))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.array_join(F.transform("indices", lambda x: x.cast("string")), " ").alias("indices"), F.round(total, 4).alias("total"))
+
+
+@query(f"WITH {I.ROWS} SELECT count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM tok")
+def dictionary_size(spark, sf):
+    counts = I.tokens(spark, sf).groupBy("term").agg(F.count("*").alias("n"))
+    return counts.agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_tokens"))
+
+
+@query("SELECT p_size, array_to_string(range(0, p_size), ' ') AS idx, p_size::BIGINT AS n_zeros FROM (SELECT DISTINCT p_size::BIGINT AS p_size FROM part)")
+def index_vectors(spark, sf):
+    rows = I.table(spark, sf, "part").select(F.col("p_size").cast("long").alias("p_size")).distinct()
+    zeros = dictionary.zero_vector(F.col("p_size").cast("int"))
+    return rows.select("p_size", F.array_join(F.transform(dictionary.index_vector(F.col("p_size")), lambda x: x.cast("string")), " ").alias("idx"), F.size(F.filter(zeros, lambda x: x == 0)).cast("long").alias("n_zeros"))
+
+
 # --- refining -----------------------------------------------------------------------------------
 
 
@@ -356,6 +377,14 @@ def feed_watermark_advance(spark, sf):
     return refine.advance_watermarks(registry, items.where("event_id % 2 = 0"))
 
 
+@query(f"WITH f AS ({_FEED}) SELECT url, 0::BIGINT AS last_update, count(*) AS n_newer FROM f WHERE ts_ms > 0 GROUP BY 1")
+def feed_registry_reset(spark, sf):
+    """After a reset every item is newer than its feed's watermark."""
+    items, registry = _feeds(spark, sf)
+    reset = registry.withColumn("last_update", F.lit(0).cast("long"))
+    return refine.newer_than_watermark(items, reset).groupBy("url").agg(F.first("last_update").alias("last_update"), F.count("*").alias("n_newer"))
+
+
 @query(f"WITH {I.DOCS} SELECT doc_id, coalesce((ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms, doc_id)) // 50000, 10) AS delay_ms FROM docs")
 def replay_delay(spark, sf):
     return refine.replay_delays(I.docs(spark, sf).select("doc_id", "ts_ms")).select("doc_id", "delay_ms")
@@ -510,6 +539,30 @@ def toy_bow_nb(spark, sf):
     return evaluate.judged(bayes.predict(bayes.scores(model, tokens.where("conv_id % 5 = 0"), test)), test).select("doc_id", "label", "prediction")
 
 
+_ASKED = """first_words AS (SELECT term FROM tok WHERE doc_id = (SELECT min(doc_id) FROM numbered)),
+asked_rows AS (SELECT doc_id, label FROM numbered UNION ALL SELECT -1, NULL), asked_tok AS (SELECT doc_id, label, term FROM tok UNION ALL SELECT -1, NULL, term FROM first_words)"""
+
+
+@query(f"WITH {I.ROWS}, {_ASKED}, {I.bayes_sql('doc_id >= 0', 'doc_id = -1', 'asked_rows', 'asked_tok')} SELECT label, round(score, 6) AS score FROM m_score")
+def single_document(spark, sf):
+    """One document, here the words of the first, scored by a model of all."""
+    tokens, rows = I.tokens(spark, sf), I.numbered(spark, sf)
+    model = bayes.fit(tokens, rows, tokens.select("term").distinct())
+    first = rows.agg(F.min("doc_id").alias("doc_id"))
+    asked = tokens.join(F.broadcast(first), "doc_id", "left_semi").select(F.lit(-1).cast("long").alias("doc_id"), "term")
+    return bayes.scores(model, asked, spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"))).select("label", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {I.ROWS}, w AS (SELECT label, term, 0.9375 AS weight FROM tok WHERE seq < 200 UNION ALL SELECT label, term, 1.0 FROM tok WHERE seq >= 200 AND seq < 250)
+SELECT label, term, round(sum(weight)::DOUBLE, 6) AS weight FROM w GROUP BY 1, 2""")
+def union_decayed(spark, sf):
+    """Decayed past and fresh rows in one set, as an incremental refit takes them."""
+    rows = I.numbered_tokens(spark, sf)
+    past = rows.where("seq < 200").select("label", "term", N.decay(F.lit(1.0), 0.0625).alias("weight"))
+    fresh = rows.where("seq >= 200 and seq < 250").select("label", "term", F.lit(1.0).alias("weight"))
+    return past.unionByName(fresh).groupBy("label", "term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
 # --- policies -----------------------------------------------------------------------------------
 
 
