@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import materialize
 
-__all__ = ["BROADCAST_ROWS", "connected_components", "is_small", "join_checked", "materialize"]
+__all__ = ["BROADCAST_ROWS", "connected_components", "is_small", "join_checked", "materialize", "small_batches"]
 
 #: A side is broadcast only up to so many rows (of two or three fixed-width columns); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands texts to Python in Arrow batches of at most 8 MB.
+
+    A batch exists several times at once (in the JVM, in transit, in the worker with its
+    results), so at the default of 64 MB it is the largest part of a worker's memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a written table has at most ``rows`` rows (a count from Parquet footers)."""
     return df.count() <= rows

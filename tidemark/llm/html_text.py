@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
@@ -308,6 +310,6 @@ def extract_text(pages: DataFrame, costs: Costs = Costs()) -> DataFrame:
     Null and empty pages and pages without main text have an empty text. Repeated rows
     each come back; other columns are not read.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = rows.mapInArrow(_extract(costs), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

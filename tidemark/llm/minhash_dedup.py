@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, join_checked, materialize
+from tidemark.llm.common import connected_components, join_checked, materialize, small_batches
 from tidemark.llm.superminhash import band_keys, signatures
 from tidemark.llm.words import FIRST, SECOND, Words, chunks, mix, signed, windows
 
@@ -156,7 +156,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Other columns are not read, so their names can't clash.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash-sketch")
     digest = ["n_shingles", "s1", "s2"]
     filled = sketch.where("n_shingles > 0 and doc_id is not null")

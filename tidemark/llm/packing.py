@@ -17,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
 from tidemark.llm.tokens import Encoder
 from tidemark.llm.words import chunks
 
 CAPACITY = 2048
 OPEN = 2048
 END_ID = 0
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -106,5 +107,5 @@ def pack(documents: DataFrame, tokenizer: str, ranks: str, pattern: str, capacit
     A document is its ids and then ``end_id`` (null and empty texts: that alone). Repeated
     rows are documents of their own, and a null doc_id stays null. Other columns are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pack(tokenizer, ranks, pattern, capacity, most, end_id), SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import is_small, join_checked, materialize
+from tidemark.llm.common import is_small, join_checked, materialize, small_batches
 from tidemark.llm.words import FIRST, SECOND, Words, chunks, signed, sliding_min, windows
 
 WINDOW = 50
@@ -238,7 +238,7 @@ def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW
     a doc_id come back whole, as nothing is smaller. Rows that repeat a doc_id don't count
     against each other. Columns that are not named are not read.
     """
-    docs = versioned(documents)
+    docs = versioned(small_batches(documents))
     edges = docs.select("doc_id").stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     edges = sorted({int(x) for x in edges})
     log = FingerprintLog(documents.sparkSession, window, gram, fanout)

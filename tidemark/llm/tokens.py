@@ -24,7 +24,7 @@ KNOWN = 0x250
 OTHER = {*range(0x2010, 0x2028), *range(0x2030, 0x205E), 0x20AC}
 LETTER, NUMBER, SPACE, SIGN, UNKNOWN = range(5)
 #: Distinct pieces that are remembered; beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 def _class(point: int) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, small_batches
 from tidemark.llm.words import FIRST, Words, chunks, mix
 
 #: The sample bound: at most so many labelled rows are used to fit.
@@ -32,8 +32,9 @@ TERMS = 4096
 FACTORS = 8
 #: Likelihood-ratio statistic that a term needs: about p = 1e-6 for one degree of freedom.
 EVIDENCE = 24.0
-COUNTERS = 1 << 22
-CHUNK_BYTES = 2 << 20
+COUNTERS = 1 << 20
+CHUNK_BYTES = 1 << 20
+_COUNTER = np.uint64(64 - 20)
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,16 +117,16 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 300, rate: float = 0.05
     for low, high in chunks(texts, CHUNK_BYTES):
         f, o = _distinct(*terms(texts.slice(low, high - low)))
         label = toxic[low + o]
-        cell = (f >> np.uint64(42)).astype(np.int64)
+        cell = (f >> _COUNTER).astype(np.int64)
         for kind in (0, 1):
             counts[kind] += np.bincount(cell[label == kind], minlength=COUNTERS)
-        found.append(f)
-        owners.append((low + o).astype(np.int32))
-    # Counters first: only a term whose counter shows evidence is counted exactly.
-    strong = evidence(counts[1], counts[0], n_toxic, n_clean) >= EVIDENCE / 2
-    for i, f in enumerate(found):
-        keep = strong[(f >> np.uint64(42)).astype(np.int64)]
-        found[i], owners[i] = f[keep], owners[i][keep]
+    # Counters first: only a term whose counter shows evidence is kept and counted exactly, in a second pass.
+    strong = np.concatenate([evidence(counts[1][i : i + 65536], counts[0][i : i + 65536], n_toxic, n_clean) for i in range(0, COUNTERS, 65536)]) >= EVIDENCE / 2
+    for low, high in chunks(texts, CHUNK_BYTES):
+        f, o = _distinct(*terms(texts.slice(low, high - low)))
+        keep = strong[(f >> _COUNTER).astype(np.int64)]
+        found.append(f[keep])
+        owners.append((low + o[keep]).astype(np.int32))
     every, owner = np.concatenate(found), np.concatenate(owners).astype(np.int64)
     hashes, code = np.unique(every, return_inverse=True)
     ones = np.bincount(code, toxic[owner], len(hashes))
@@ -197,7 +198,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ke
     columns that are not named are not read.
     """
     model = train(documents, labels, rows)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *keep)
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *keep)
     kept = docs.drop("_text").schema
     scored = docs.mapInArrow(_scores(model, [f.name for f in kept]), kept.add("score", "double"))
     judged = [held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")]
