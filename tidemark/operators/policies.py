@@ -64,38 +64,35 @@ def periodic_predictions(tokens: DataFrame, docs: DataFrame, vocabulary: DataFra
 
 
 class Counts:
-    """Sparse counts of a model that grows and decays: labels x terms, in numpy."""
+    """Counts of a model that grows and decays: a table of labels x dictionary."""
 
     def __init__(self, labels: list[str], vocabulary: int, smoothing: float = 1.0):
         self.labels, self.vocabulary, self.smoothing = labels, vocabulary, smoothing
-        self.terms: dict[int, np.ndarray] = {}
+        self.table = np.zeros((len(labels), vocabulary))
         self.documents = np.zeros(len(labels))
-        self.totals = np.zeros(len(labels))
-
-    def add(self, label: int, terms: np.ndarray, weight: float = 1.0, documents: float = 1.0) -> None:
-        self.documents[label] += documents
-        self.totals[label] += weight * len(terms)
-        for t in terms.tolist():
-            row = self.terms.get(t)
-            if row is None:
-                row = self.terms[t] = np.zeros(len(self.labels))
-            row[label] += weight
-
-    def decay(self, keep: float) -> None:
-        """Term counts shrink; documents, and so the priors, don't."""
-        self.totals *= keep
-        for row in self.terms.values():
-            row *= keep
+        self._base: np.ndarray | None = None
+
+    def add(self, label: int, terms: np.ndarray) -> None:
+        self.documents[label] += 1
+        self._base = None
+        np.add.at(self.table[label], terms, 1.0)
+
+    def replace(self, codes: list[np.ndarray], weights: list[float]) -> None:
+        """Set the table to weighted batches of (label * vocabulary + term) codes; documents stay as counted."""
+        self._base = None
+        every = np.concatenate(codes)
+        weight = np.repeat(weights, [len(c) for c in codes])
+        self.table = np.bincount(every, weight, self.table.size).reshape(self.table.shape)
 
     def predict(self, terms: np.ndarray) -> int:
         known = self.documents > 0
         if not known.any():
             return -1
-        base = np.log(self.totals + self.vocabulary * self.smoothing)
+        if self._base is None:
+            self._base = np.log(self.table.sum(axis=1) + self.vocabulary * self.smoothing)
+        base = self._base
         score = np.log(self.documents + self.smoothing) - np.log(self.documents.sum() + known.sum() * self.smoothing) - len(terms) * base
-        zero = np.zeros(len(self.labels))
-        for t in terms.tolist():
-            score = score + np.log(self.terms.get(t, zero) + self.smoothing)
+        score = score + np.log(self.table[:, terms] + self.smoothing).sum(axis=1)
         return int(np.argmax(np.where(known, np.round(score, 9), -np.inf)))
 
 
@@ -175,6 +172,7 @@ def incremental_predictions(tokens: DataFrame, docs: DataFrame, dictionary: Data
             index, rate = start_index(policy), rate_of(start_index(policy))
             model, kept, fresh = Counts(labels, size), [], []
             right = updates = 0
+            weights: list[float] = []
             for doc, seq, label, terms in _rows(batches):
                 code = labels.index(label)
                 if seq < policy.initial:
@@ -182,23 +180,17 @@ def incremental_predictions(tokens: DataFrame, docs: DataFrame, dictionary: Data
                     fresh.append((code, terms))
                     continue
                 if seq == policy.initial:
-                    kept.append(fresh)
-                    fresh = []
+                    kept.append(np.concatenate([c * size + t for c, t in fresh]))
+                    fresh, weights = [], [1.0]
                 elif (seq - policy.initial) % policy.every == 0:
                     index = start_index(policy) if 100 * right / policy.every < policy.low_accuracy else next_index(index, policy)
                     rate, right = rate_of(index), 0
                     updates += 1
-                    kept.append(fresh)
-                    if policy.decay == "compound":
-                        model.decay(1 - rate)
-                        for c, t in fresh:
-                            model.add(c, t)
-                        kept = [[]]
-                    else:
-                        model = Counts(labels, size)
-                        for age, rows in enumerate(reversed(kept)):
-                            for c, t in rows:
-                                model.add(c, t, (1 - rate) ** age)
+                    kept.append(np.concatenate([c * size + t for c, t in fresh]))
+                    for c, _ in fresh:
+                        model.documents[c] += 1
+                    weights = [w * (1 - rate) for w in weights] + [1.0]
+                    model.replace(kept, weights if policy.decay == "compound" else [(1 - rate) ** age for age in range(len(kept) - 1, -1, -1)])
                     fresh = []
                 got = model.predict(terms)
                 right += got == code
