@@ -59,6 +59,26 @@ def test_log_compacts_and_removes_against_history(spark):
     assert [level for level, _ in log.runs] == [2]  # four runs became two, and these one
 
 
+def test_substring_dedup_cuts_every_place_of_a_block_in_its_first_document(spark):
+    """A block that its smallest holder has twice, of which only some windows are in a smaller document."""
+    docs, versions = [], {}
+    for k in range(12):
+        part = {name: " ".join(f"{name}{k}.{i}" for i in range(n)) for name, n in (("a", 20), ("b", 20), ("p", 15 + k), ("x", 25), ("y", 25), ("z", 9))}
+        a, b, p, x, y, z = (part[name] for name in "abpxyz")
+        docs += [(10 * k, f"{a} {p} {b}"), (10 * k + 1, f"{x} {p} {y} {x} {p} {y}"), (10 * k + 2, f"{x} {p} {y}")]
+        versions[10 * k + 2] = f"{z} {x} {p} {y} {z} {x} {p} {y}"
+        docs += [(10 * k + 3, f"{b} {a} {p} {z}")]
+    rows = docs + sorted(versions.items())
+    for shown in (docs, rows):
+        out = substring_dedup(spark.createDataFrame(shown, SCHEMA), batches=1, window=12, gram=4)
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in out.collect())
+        # brute.substring_dedup gives the last row of each doc_id: once the first text, once the second.
+        want = {(i, *v[:2]) for i, v in brute.substring_dedup(shown, 12).items()}
+        if shown is rows:
+            want |= {(i, *v[:2]) for i, v in brute.substring_dedup(sorted(versions.items()) + docs, 12).items()}
+        assert got == sorted(want)
+
+
 def test_substring_dedup_edge_cases(spark):
     text = " ".join(f"b{k}" for k in range(60))
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0

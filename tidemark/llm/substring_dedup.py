@@ -13,7 +13,8 @@ the runs in two steps:
   repeats as a whole;
 * an anchor under which a new block meets a different block may still share single
   windows. Those blocks' texts are read again from the archive and the batch, and
-  verified window by window with both hashes of all 50 words.
+  verified window by window with both hashes of all 50 words, at each place
+  that a new block has in its smallest document.
 
 Runs of one level are compacted into one run of the next when there are ``fanout``
 of them. Nothing in an index is ever changed, so a lost executor only repeats work.
@@ -163,8 +164,8 @@ class FingerprintLog:
         """
         blocks = materialize(batch.where("doc_id is not null").mapInArrow(_blocks(self.window, self.gram), _BLOCKS), "substring-blocks")
         place = F.struct("doc_id", "version", "start")
-        first = blocks.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"), F.first("n_windows").alias("n_windows"))
-        first = first.select("d1", "d2", "anchor", "n_windows", "at.*", "last")
+        first = blocks.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("places"), F.first("anchor").alias("anchor"), F.first("n_windows").alias("n_windows"))
+        first = first.select("d1", "d2", "anchor", "n_windows", "at.*", "last", "places")
         history = self._history()
         if history is None:
             first = first.withColumn("old", F.lit(False))
@@ -178,7 +179,8 @@ class FingerprintLog:
         spans = whole.select("doc_id", "version", "start", (F.col("start") + F.col("n_windows") + (self.window - 1)).alias("stop"))
 
         run = first.where("not old").select("d1", "d2", "anchor", "doc_id", "version", "start", "n_windows")
-        singles = self._verify(batch, run, history)
+        again = first.where("not old and places > 1").select("d1", "d2", "anchor", F.col("doc_id").alias("holder"))
+        singles = self._verify(batch, blocks, run, again, history)
         if singles is not None:
             spans = spans.unionByName(singles.select("doc_id", "version", "start", (F.col("start") + self.window).alias("stop")))
         self.runs.append((0, run))
@@ -186,8 +188,12 @@ class FingerprintLog:
         self.compact()
         return spans
 
-    def _verify(self, batch: DataFrame, run: DataFrame, history: DataFrame | None) -> DataFrame | None:
-        """Windows of the batch that repeat although their blocks differ: doc_id, version, start."""
+    def _verify(self, batch: DataFrame, blocks: DataFrame, run: DataFrame, again: DataFrame, history: DataFrame | None) -> DataFrame | None:
+        """Windows of the batch that repeat although their blocks differ: doc_id, version, start.
+
+        ``again`` are the run's blocks with more than one place in ``blocks``. At those in larger
+        documents than the holder they go as a whole; those in the holder itself are verified like the first.
+        """
         anchors = run.select("anchor", F.lit(1).alias("new"))
         if history is not None:
             anchors = anchors.unionByName(history.select("anchor", F.lit(0).alias("new")))
@@ -195,11 +201,16 @@ class FingerprintLog:
         mixed = materialize(mixed, "substring-mixed")
         if not mixed.limit(1).count():
             return None
-        listed = join_checked(run.withColumn("old", F.lit(False)), mixed, "anchor", "left_semi")
+        listed = join_checked(run.withColumn("old", F.lit(False)), mixed, "anchor", "left_semi").select("doc_id", "version", "old", "start", "n_windows")
+        again = materialize(join_checked(again, mixed, "anchor", "left_semi").select("d1", "d2", "holder"), "substring-again")
+        places = join_checked(blocks, again, ["d1", "d2"], "inner").where("doc_id = holder")
+        listed = listed.unionByName(places.select("doc_id", "version", F.lit(False).alias("old"), "start", "n_windows"))
         if history is not None:
-            listed = listed.unionByName(join_checked(history.withColumn("old", F.lit(True)), mixed, "anchor", "left_semi"))
-        listed = materialize(listed.select("doc_id", "version", "old", "start", "n_windows"), "substring-listed")
-        by_doc = listed.groupBy("doc_id", "version", "old").agg(F.collect_list(F.struct("start", "n_windows")).alias("spans"))
+            known = join_checked(history.withColumn("old", F.lit(True)), mixed, "anchor", "left_semi")
+            listed = listed.unionByName(known.select("doc_id", "version", "old", "start", "n_windows"))
+        listed = materialize(listed, "substring-listed")
+        # A set: the first place of a block in ``again`` is listed twice, and so is a text that a doc_id repeats.
+        by_doc = listed.groupBy("doc_id", "version", "old").agg(F.collect_set(F.struct("start", "n_windows")).alias("spans"))
         texts = batch.withColumn("old", F.lit(False))
         for earlier in self.archive:
             texts = texts.unionByName(earlier.withColumn("old", F.lit(True)))
