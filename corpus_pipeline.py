@@ -19,6 +19,8 @@ from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies have a similarity of 0.8 or more; with so many bands of 6 a pair at 0.8 shares none with probability 5e-6.
+PERCENT, BANDS = 80, 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    judged = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "pipeline-copies")
+    judged = materialize(near_duplicates(docs, percent=PERCENT, bands=BANDS).where("not kept").select("doc_id").distinct(), "pipeline-copies")
     return queries.without(docs, judged).select(COLUMNS)
 
 

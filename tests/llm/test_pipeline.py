@@ -40,3 +40,18 @@ def test_pipeline(spark, sf_dir):
     packed = pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in packed} == {r[0] for r in after}
     assert sum(r.piece == 0 for r in packed) == len(after)
+
+
+def test_near_copies_at_a_similarity_of_080_go(spark, sf_dir):
+    """Pairs that differ in one word: (S - 5) / (S + 5) of S shingles in common, 0.78 to 0.87."""
+    import corpus_pipeline as pipeline
+
+    docs = []
+    for k, n in enumerate([*range(44, 76), 49, 49, 49]):
+        words = [f"w{k}.{i}" for i in range(n)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n // 2], "other", *words[n // 2 + 1 :]]))]
+    rows = [(i, text, "en", "web", len(text)) for i, text in docs]
+    out = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir)
+    found = brute.near_duplicates(docs, 80)
+    assert sorted(tuple(r) for r in out.collect()) == [r for r in rows if found[r[0]][1] == r[0]]
+    assert found != brute.near_duplicates(docs, 85)

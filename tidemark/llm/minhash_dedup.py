@@ -30,7 +30,7 @@ from tidemark.llm.superminhash import band_keys, signatures
 from tidemark.llm.words import FIRST, SECOND, Words, chunks, mix, signed, windows
 
 SHINGLE_WORDS = 5
-#: 24 bands of 6 slots: a pair of similarity 0.85 shares no band with probability 1e-5.
+#: 24 bands of 6 slots: a pair of similarity 0.85 shares no band with probability 1e-5; at 0.80 that takes 40 bands.
 BANDS, ROWS = 24, 6
 PERCENT = 85
 BLOCK = 64
@@ -57,21 +57,24 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarra
         return shingles[first], owner[first]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, stop in chunks(batch.column(1)):
-            ids, texts = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
-            n = stop - start
-            elements, owner = shingle_sets(texts)
-            at = np.searchsorted(owner, np.arange(n + 1))
-            digests = []
-            with np.errstate(over="ignore"):
-                for roll in (FIRST, SECOND):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ roll.letters[0]))])
-                    digests.append(signed(sums[at[1:]] - sums[at[:-1]]))
-            keys = band_keys(signatures(elements, owner, n, BANDS * ROWS), BANDS)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(signed(keys.ravel())))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(digests[0]), pa.array(digests[1]), bands], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+def _sketch(n_bands: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in chunks(batch.column(1)):
+                ids, texts = batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start)
+                n = stop - start
+                elements, owner = shingle_sets(texts)
+                at = np.searchsorted(owner, np.arange(n + 1))
+                digests = []
+                with np.errstate(over="ignore"):
+                    for roll in (FIRST, SECOND):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ roll.letters[0]))])
+                        digests.append(signed(sums[at[1:]] - sums[at[:-1]]))
+                keys = band_keys(signatures(elements, owner, n, n_bands * ROWS), n_bands)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(signed(keys.ravel())))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(digests[0]), pa.array(digests[1]), bands], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+
+    return sketch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def _meetings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("grp", "p", "q").applyInArrow(_meet(percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat a
@@ -157,7 +160,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     docs = small_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = materialize(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash-sketch")
+    sketch = materialize(docs.mapInArrow(_sketch(bands), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash-sketch")
     digest = ["n_shingles", "s1", "s2"]
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
     # One row per distinct set; equal sets have equal bands, so any member's will do.
