@@ -1,9 +1,9 @@
 """Chat formatting: layouts told by a fingerprint of their nested field paths, canonical turns, one template.
 
-A layout is a set of field paths, such as ``messages.role``. The hash of its sorted
-paths selects a declarative mapping to canonical turns (conversation, position, role,
-text): for a table from its schema, for JSON records row by row. Everything is built
-from DataFrame functions.
+A layout is a set of field paths, such as ``messages.role``. Its sorted paths select a
+declarative mapping to canonical turns (conversation, position, role, text): for a table
+the paths of its schema are compared as they are, for JSON records row by row by their
+hash. Everything is built from DataFrame functions.
 
 The template writes a turn as ``### <role>: <text></turn>\\n``. Inside roles and texts
 the characters ``\\``, ``<``, ``#`` and ``:`` (in roles) become ``\\b``, ``\\l``, ``\\h`` and ``\\c``,
