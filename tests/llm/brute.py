@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import itertools
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,3 +86,20 @@ def targets(sizes: list[tuple], weights=(5, 2, 1), most: int = 3) -> dict:
         if not above:
             return out
         capped |= above
+
+
+def article_text(page: str) -> str:
+    """The text of the page's article element, by plain patterns."""
+    found = re.search(r"<article>(.*?)</article>", page, re.S)
+    parts = re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", found[1]) if found else []
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def cut_cost(odds, edges, content) -> float:
+    return sum(max(o, 0) if not c else max(-o, 0) for o, c in zip(odds, content, strict=True)) + sum(w for u, v, w in edges if content[u] != content[v])
+
+
+def least_cut(odds, edges) -> float:
+    """The cost of the best of all labellings."""
+    return min(cut_cost(odds, edges, c) for c in itertools.product((False, True), repeat=len(odds)))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -295,21 +296,70 @@ def test_main_text_of_a_page():
     ]
 
 
+#: No element or name tells content from boilerplate here; text, links and neighbours must.
+BARE = """<body><div><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div><table><tr><td><a href=/long>{long}</a></td></tr><tr><td><a href=/4>Four</a></td></tr><tr><td>Mere words</td></tr>
+<tr><td><a href=/5>Five</a></td></tr></table><div><p>{long} {long}</p><p>{long} {long}</p><div>As follows</div><p>{long} {long}</p><p>{long} {long}</p></div></body>"""
+
+
+def test_edges_overturn_the_classifier():
+    long = "This is a sentence that is long enough to be taken for the text of a page by what it says."
+    page = html_text.Page(BARE.format(long=long))
+    odds = page.features() @ html_text.START
+    alone = [t for t, o in zip(page.texts, odds, strict=True) if o > 0]
+    assert "As follows" not in alone
+    assert page.text(html_text.START).split("\n") == [f"{long} {long}"] * 2 + ["As follows"] + [f"{long} {long}"] * 2
+
+
+def test_pages_have_a_least_cut():
+    """The labelling of each page costs as much as the best of all labellings."""
+    rng = random.Random(11)
+    names = ["p", "div", "li", "h2", "nav", "article", "aside", "section class=comments", "div class=promo", "td"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 11)):
+            name = rng.choice(names)
+            text = "word " * rng.choice([1, 3, 10, 40])
+            parts.append(f"<{name}>{text if rng.random() < 0.7 else f'<a href=x>{text}</a>'}" + (f"</{name.split()[0]}>" if rng.random() < 0.6 else ""))
+        page = html_text.Page("".join(parts))
+        odds, edges = np.clip(page.features() @ html_text.START, -6, 6).tolist(), page.edges()
+        content = html_text.minimum_cut(odds, edges)
+        assert brute.cut_cost(odds, edges, content) == pytest.approx(brute.least_cut(odds, edges))
+        assert page.text(html_text.START) == "\n".join(t for t, c in zip(page.texts, content, strict=True) if c)
+
+
 def test_minimum_cut_is_minimal():
     """Against all labellings of small graphs."""
     rng = random.Random(7)
-    for _ in range(150):
-        n = rng.randint(1, 7)
+    for _ in range(200):
+        n = rng.randint(1, 9)
         terminal = [rng.uniform(-3, 3) for _ in range(n)]
-        edges = [(rng.randrange(n), rng.randrange(n), rng.uniform(0, 2)) for _ in range(rng.randint(0, 10))]
-        edges = [e for e in edges if e[0] != e[1]]
+        edges = [(rng.randrange(n), rng.randrange(n), rng.uniform(0, 2)) for _ in range(rng.randint(0, 14))]
+        assert brute.cut_cost(terminal, edges, html_text.minimum_cut(terminal, edges)) == pytest.approx(brute.least_cut(terminal, edges))
+
+
+def test_long_pages_take_little_time():
+    page = "<body>" + "".join(f"<div><a href=/{k}>Entry</a></div><p>{'Some text of a page, and more of it. ' * 5}Number {k}." for k in range(4000))
+    start = time.perf_counter()
+    text = html_text.main_text(page)
+    assert time.perf_counter() - start < 5 and text.count("Number") == 4000 and "Entry" not in text
+
+
+def test_weights_are_fitted():
+    pages = [html_text.Page(PAGE)] * 3 + [html_text.Page(BARE)]
+    labels = [p.labels() for p in pages]
+    assert set(labels[0]) == {0, 1} and set(labels[3]) == {-1}
+    x, y = np.concatenate([p.features() for p in pages]), np.concatenate(labels)
+    fitted = html_text.fit(x, y)
+    known = y >= 0
+    assert ((x @ fitted > 0) == y)[known].mean() >= ((x @ html_text.START > 0) == y)[known].mean()
+    assert (html_text.fit(x, np.full(len(y), -1)) == html_text.START).all()
 
-        def cost(side):
-            cut = sum(max(t, 0) if not s else max(-t, 0) for t, s in zip(terminal, side, strict=True))
-            return cut + sum(c for u, v, c in edges if side[u] != side[v])
 
-        best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
-        assert cost(html_text.minimum_cut(terminal, edges)) == pytest.approx(best)
+def test_extraction_equals_a_plain_one(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r.page_id: brute.article_text(r.html) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(pages).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
 @settings(max_examples=150, deadline=None)
