@@ -21,7 +21,7 @@ def test_pipeline(spark, sf_dir):
     assert set(after) <= set(before) and len(after) >= 0.5 * len(before)
 
     before, after = rows["minhash_near_dedup"]
-    found = brute.near_duplicates([(r[0], r[1]) for r in before])
+    found = brute.near_duplicates([(r[0], r[1]) for r in before], pipeline.PERCENT)
     assert sorted(after) == sorted(r for r in before if found[r[0]][1] == r[0])
 
     before, after = rows["substring_dedup"]

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tidemark.llm import curve_search
 from tidemark.llm.curve_search import nearest
 from tidemark.llm.hilbert import curve_keys
-from tidemark.llm.itq_dedup import learn_rotations, near_duplicate_vectors, plan_tables
+from tidemark.llm.itq_dedup import hamming_radius, learn_rotations, near_duplicate_vectors, plan_tables, roots_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -47,6 +48,42 @@ def test_crowded_bucket_is_cut_into_blocks(spark):
     assert tuple(got) == (1299, 1299, 1)
 
 
+def test_links_at_the_threshold_are_found_with_the_query_s_settings(spark):
+    """Pairs planted at a cosine of 0.930 to 0.945 among 64-dimensional vectors of three labels: at least 99 of 100 link."""
+    rng = np.random.default_rng(12)
+    rows, planted = [], []
+    for k in range(1500):
+        a = rng.normal(size=64)
+        a /= np.linalg.norm(a)
+        rows.append((2 * k, a.tolist(), k % 3))
+        b = rng.normal(size=64)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        if k % 2:
+            c = rng.uniform(0.93001, 0.945)
+            b = c * a + np.sqrt(1 - c * c) * b
+            planted.append(2 * k)
+        rows.append((2 * k + 1, b.tolist(), k % 3))
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got.values()) == sum(got[i] + got[i + 1] for i in planted)
+    assert sum(got[i] == got[i + 1] == 1 for i in planted) >= 0.99 * len(planted)
+
+
+def test_one_id_for_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 1), (5, [1.0, 0.02], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (5, 2, 1, False)]
+
+
+def test_roots_of_row_blocks():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 30):
+        near = rng.random((n, n)) < 1.5 / n
+        near |= near.T
+        want = brute.groups(range(n), [tuple(map(int, e)) for e in np.argwhere(near)])
+        assert roots_of([near[:4], near[4:]], n).tolist() == [want[i] for i in range(n)]
+
+
 def test_vector_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicate_vectors(empty).count() == 0 and nearest(empty).count() == 0
@@ -59,8 +96,11 @@ def test_rotations_are_rotations():
     turns = learn_rotations(np.random.default_rng(0).normal(size=(500, 12)), 2)
     for r in turns:
         assert np.allclose(r.T @ r, np.eye(12))
-    bits, tables, rotations = plan_tables(50_000, 10, 64, 0.93)
-    assert bits * tables <= rotations * 64 and tables >= 10
+    for classes in (0, 50_000, 10**11):
+        bits, tables, rotations = plan_tables(classes, 10, 64, 0.93)
+        assert tables <= rotations * (64 // bits) and tables >= 10
+        assert classes / 10 / 2**bits <= 4096
+    assert hamming_radius(1.0) == 0 and 24 <= hamming_radius(0.93) <= 32
 
 
 @pytest.mark.parametrize(("axes", "bits"), [(2, 3), (3, 2), (4, 2)])
@@ -94,3 +134,29 @@ def test_search_finds_the_nearest(spark):
     assert [v for _, v, _ in sorted(by[0])] == list(range(1500, 1510))
     few = nearest(spark.createDataFrame(rows[:4], SCHEMA)).collect()
     assert [(r["rank"]) for r in few] == [1, 2, 3]
+
+
+def test_windows_are_small_where_vectors_have_structure(spark):
+    """Vectors of a curved surface: the measured reach is a few ranges of rows, and finds their neighbours."""
+    rng = np.random.default_rng(4)
+    at = rng.random((6000, 2))
+    turn = np.linalg.qr(rng.normal(size=(32, 32)))[0][:, :5]
+    vectors = np.stack([np.cos(3 * at[:, 0]), np.sin(3 * at[:, 0]), at[:, 1], at[:, 0] * at[:, 1], at[:, 1] ** 2], axis=1) @ turn.T
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    fitted = curve_search.Curves(vectors[:4096], 8)
+    edges = [curve_search._cuts(x, 94) for x in fitted.keys(vectors).T]
+    used, reach = curve_search.measured_reach(df.withColumnRenamed("embedding", "vector"), fitted, edges, vectors[:128], 10)
+    assert used * (2 * reach + 1) <= 0.4 * 94
+    hits = 0
+    got = nearest(df, range_rows=64).collect()
+    for q in range(0, 6000, 100):
+        d = np.linalg.norm(vectors - vectors[q], axis=1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 600
+
+
+def test_a_vector_that_asks_repeatedly_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (100, [1.0, 1.0]), (None, [1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 100, 5**0.5), (0, 2, 1, 10**0.5), (100, 1, 0, 1.0), (100, 2, 1, 1.0)]

@@ -1,4 +1,4 @@
-"""Shared plumbing: size-checked joins and connected components over written tables."""
+"""Shared plumbing: presence maps, joins that spare texts a shuffle, and connected components over written tables."""
 
 from __future__ import annotations
 
@@ -7,32 +7,56 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import materialize
 
-__all__ = ["BROADCAST_ROWS", "connected_components", "is_small", "join_checked", "materialize", "small_batches"]
+__all__ = ["connected_components", "marked", "materialize", "small_batches", "split_join"]
 
-#: A side is broadcast only up to so many rows (of two or three fixed-width columns); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bits of a presence map: 8 MB at any size of the input, so it may be broadcast.
+MAP_BITS = 1 << 26
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands texts to Python in Arrow batches of at most 8 MB.
+    """``df``, whose session from now on hands texts to Python in Arrow batches of at most 8 MB, unless it has a size of its own.
 
     A batch exists several times at once (in the JVM, in transit, in the worker with its
-    results), so at the default of 64 MB it is the largest part of a worker's memory.
+    results), so at the default of 64 MB it is the largest part of a worker's memory. The
+    setting is read when a result is computed, which is after its operator has returned.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_PER_BATCH).lower() in ("64mb", "64m", "67108864", "67108864b"):
+        conf.set(_BYTES_PER_BATCH, "8m")
     return df
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most ``rows`` rows (a count from Parquet footers)."""
-    return df.count() <= rows
+def marked(df: DataFrame, keys: DataFrame, on: list[str], name: str = "_maybe", bits: int = MAP_BITS) -> DataFrame:
+    """``df`` with a boolean: false if the row's ``on`` columns are certainly not among those of ``keys``.
+
+    A map with one bit for each hash is built from ``keys``; its size is ``bits``, whatever the
+    tables' sizes. The fuller it gets, the more rows are true without being there.
+    """
+    spot = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    own = keys.select(spot.alias("_spot")).select(F.bitmap_bucket_number("_spot").alias("_bucket"), F.bitmap_bit_position("_spot").alias("_bit"))
+    # At most bits / 32768 rows of 4096 bytes.
+    maps = own.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = df.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot")).withColumn("_bit", F.bitmap_bit_position("_spot"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    here = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0, F.lit(False))
+    return rows.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, here.alias(name))
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written table: broadcast it if its counted size allows, else let both sides shuffle."""
-    if is_small(small, rows):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+def split_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``big`` joined with a written table; how: inner, left, left_semi or left_anti.
+
+    Rows of ``big`` that certainly have no partner take no part in the shuffle: for ``left``
+    they get nulls. Both sides of the join itself stay splittable where a key is hot.
+    """
+    rows = marked(big, small, on)
+    met = rows.where("_maybe").drop("_maybe").join(small.hint("merge"), on, how)
+    if how in ("inner", "left_semi"):
+        return met
+    rest = rows.where("not _maybe").drop("_maybe")
+    if how == "left":
+        rest = rest.select(*rest.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in on])
+    return met.select(*rest.columns).unionByName(rest)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -2,13 +2,15 @@
 
 1. Equal vectors of a label are one class with a count.
 2. On a bounded sample rotations are learned (principal axes, then alternating sign
-   codes and orthogonal Procrustes), whose sign bits are balanced codes. Each code is cut
-   into substrings of `bits` bits; each substring is a table. The number of tables
-   follows from the threshold: two vectors at an angle t differ in a bit with probability t / pi,
-   and a pair at the threshold shall miss all tables with probability `MISS`.
-3. Vectors of a label that share a substring meet, with their original vectors, in one
-   task; larger buckets are cut into blocks that meet in pairs. A pair is counted only in the
-   first table where it meets, so counts need no list of pairs.
+   codes and orthogonal Procrustes), whose sign bits are balanced codes. Substrings of `bits` bits
+   are the tables' keys, and the first `CODE` bits a class's code. Two vectors at an angle t differ in a bit
+   with probability t / pi, so the number of tables and the Hamming radius follow from the
+   threshold: a pair at the threshold misses all tables, or the radius, with probability `MISS`.
+3. Only keys, ids and codes go to the tables. Classes of one bucket within the radius are
+   candidates; a bucket returns a forest of them, never the pairs. Connected components over
+   the forests make groups, so no candidate pair is lost, and a pair that no table joined still meets in its group.
+4. The classes in groups fetch their original vectors once, and once more for each further
+   block of a large group. Every pair of a group meets once, by exact cosine.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, join_checked, materialize
+from tidemark.llm.common import connected_components, materialize, split_join
 from tidemark.llm.vectors import common_size, in_groups, matrix, packed, sample, unpacked, usable
+from tidemark.llm.words import mix, signed
 
 COSINE = 0.93
 MISS = 1e-3
-#: Vectors of one label per bucket that the substring length aims at, and rows of a block.
-BUCKET, BLOCK = 16, 512
+#: Bits of a code, shipped as two longs.
+CODE = 128
+#: Classes of one label per bucket that the substring length aims at; rows of a bucket's block, and of a group's.
+BUCKET, BUCKET_BLOCK, GROUP_BLOCK = 2048, 4096, 1024
+#: Entries of a distance matrix that are held at once.
+CELLS = 1 << 21
 
 
 def learn_rotations(vectors: np.ndarray, count: int, steps: int = 30, seed: int = 5) -> list[np.ndarray]:
@@ -47,104 +54,161 @@ def learn_rotations(vectors: np.ndarray, count: int, steps: int = 30, seed: int
     return out
 
 
+def hamming_radius(cosine: float, miss: float = MISS, bits: int = CODE) -> int:
+    """The least radius that a pair at the threshold exceeds with probability ``miss`` at most, were its bits independent."""
+    differ = math.acos(max(-1.0, min(cosine, 1.0))) / math.pi
+    below = 0.0
+    for k in range(bits + 1):
+        below += math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k)
+        if 1 - below <= miss:
+            return k
+    return bits
+
+
 def plan_tables(classes: int, labels: int, size: int, cosine: float, miss: float = MISS) -> tuple[int, int, int]:
-    """(bits of a substring, tables, rotations)."""
-    bits = int(np.clip(round(math.log2(max(classes / max(labels, 1) / BUCKET, 1))), 6, 16))
-    bits = min(bits, size)
-    same = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(miss) / math.log1p(-same)))
-    return bits, tables, math.ceil(tables / max(size // bits, 1))
+    """(bits of a substring, tables, rotations). Bits grow with the logarithm of the classes of a label, so buckets don't grow."""
+    bits = min(max(round(math.log2(max(classes / max(labels, 1) / BUCKET, 1))), 6), size)
+    same = (1 - math.acos(max(-1.0, min(cosine, 1.0))) / math.pi) ** bits
+    tables = max(1, math.ceil(math.log(miss) / math.log1p(-same))) if same < 1 else 1
+    return bits, tables, max(math.ceil(tables / (size // bits)), math.ceil(CODE / size))
+
+
+def signs(vectors: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([vectors @ r >= 0 for r in rotations], axis=1)
+
 
+def codes(bits: np.ndarray) -> np.ndarray:
+    """The first `CODE` sign bits of each row, as two unsigned longs."""
+    own = np.zeros((len(bits), CODE), bool)
+    own[:, : min(CODE, bits.shape[1])] = bits[:, :CODE]
+    return np.packbits(own, axis=1).view(np.uint64)
 
-def substrings(vectors: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
-    """Codes (rows x tables) of vectors."""
-    signs = np.concatenate([vectors @ r >= 0 for r in rotations], axis=1)
-    each = vectors.shape[1] // bits
-    keep = np.concatenate([np.arange(k * vectors.shape[1], k * vectors.shape[1] + each * bits) for k in range(len(rotations))])
-    value = signs[:, keep].reshape(len(vectors), -1, bits) @ (1 << np.arange(bits))
-    return value[:, :tables].astype(np.int32)
 
+def substrings(bits: np.ndarray, size: int, width: int, tables: int) -> np.ndarray:
+    """Substrings (rows x tables) of ``width`` sign bits; none crosses two rotations of ``size`` bits."""
+    each = size // width
+    starts = [k // each * size + k % each * width for k in range(tables)]
+    return np.stack([bits[:, s : s + width] @ (1 << np.arange(width, dtype=np.uint64)) for s in starts], axis=1)
 
-def _index(rotations: list[np.ndarray], bits: int, tables: int):
+
+def _index(rotations: list[np.ndarray], width: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 4096):
                 part = batch.slice(low, 4096)
-                vectors = matrix(part.column(2))
-                codes = substrings(vectors, rotations, bits, tables)
-                n = len(part)
-                owner = np.repeat(np.arange(n), tables)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(owner)),
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
-                        pa.array(codes.ravel()),
-                        part.column(1).take(pa.array(owner)),
-                        part.column(3).take(pa.array(owner)),
-                        packed(codes).take(pa.array(owner)),
-                        packed(vectors).take(pa.array(owner)),
-                    ],
-                    ["label", "tab", "code", "class_id", "copies", "codes", "packed"],
-                )
+                bits = signs(matrix(part.column(2)), rotations)
+                parts = substrings(bits, len(rotations[0]), width, tables)
+                code = signed(codes(bits))
+                with np.errstate(over="ignore"):
+                    key = mix(parts * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64))
+                    key = mix(key + part.column(0).to_numpy().astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93))
+                owner = np.repeat(np.arange(len(part)), tables)
+                ids = part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(ids[owner]), pa.array(code[owner, 0]), pa.array(code[owner, 1])], ["key", "class_id", "c1", "c2"])
 
     return run
 
 
-def _meet(cosine: float):
+def roots_of(close: list[np.ndarray], n: int) -> np.ndarray:
+    """The smallest node of each node's component in an undirected graph, given as row blocks of its boolean matrix."""
+    root = np.arange(n)
+    while True:
+        low, new = 0, root.copy()
+        for rows in close:
+            linked = np.where(rows, root[None, :], n).min(axis=1, initial=n)
+            new[low : low + len(rows)] = np.minimum(new[low : low + len(rows)], linked)
+            low += len(rows)
+        # A node that moved takes its old root along.
+        np.minimum.at(new, root, new)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _row_blocks(n: int, m: int) -> Iterator[tuple[int, int]]:
+    step = max(1, CELLS // max(m, 1))
+    for low in range(0, n, step):
+        yield low, min(low + step, n)
+
+
+def _candidates(radius: int):
+    """A forest of the pairs of a bucket's blocks within the radius."""
+
     def process(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        tab, side = table["tab"].to_numpy(), table["side"].to_numpy()
-        ids, copies = table["class_id"].to_numpy(), table["copies"].to_numpy()
-        codes = unpacked(table["codes"], np.int32)
-        vectors = unpacked(table["packed"], np.float64)
-        found_a, found_n, edges = [], [], []
+        side, ids = table["side"].to_numpy(), table["class_id"].to_numpy()
+        code = np.stack([table[c].to_numpy().view(np.uint64) for c in ("c1", "c2")], axis=1)
+        a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             if high - low < 2:
                 continue
-            here = low + np.flatnonzero(side[low:high] <= 1)
-            there = low + np.flatnonzero(side[low:high] >= 1)
-            if not len(here) or not len(there):
-                continue
-            x, y = vectors[here], vectors[there]
-            scale = np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None, :])
-            i, j = np.nonzero(x @ y.T >= cosine * scale)
-            i, j = here[i], there[j]
-            keep = (side[i] != 1) | (i < j)
-            i, j = i[keep], j[keep]
-            t = int(tab[low])
-            if t and len(i):
-                again = (codes[i][:, :t] == codes[j][:, :t]).any(axis=1)
-                i, j = i[~again], j[~again]
-            if not len(i):
+            own = code[low:high]
+            apart = side[low:high]
+            # Two blocks meet across only; each has met itself elsewhere.
+            across = None if apart[0] == 1 else apart[:, None] != apart[None, :]
+            close = []
+            for i, j in _row_blocks(high - low, high - low):
+                near = sum(np.bitwise_count(own[i:j, None, k] ^ own[None, :, k]) for k in (0, 1)) <= radius
+                close.append(near if across is None else near & across[i:j])
+            root = roots_of(close, high - low)
+            moved = np.flatnonzero(root != np.arange(high - low))
+            a.append(ids[low + moved])
+            b.append(ids[low + root[moved]])
+        if not sum(map(len, a)):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return process
+
+
+def _meet(cosine: float):
+    """Links of each class (a, n) and a forest of them (a, b), of two blocks of a group."""
+
+    def process(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+        side, ids, copies, label = (table[c].to_numpy() for c in ("side", "class_id", "copies", "label"))
+        vectors = unpacked(table["packed"], np.float64)
+        out_a, out_b, out_n = [], [], []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            n = high - low
+            if n < 2:
                 continue
-            found_a += [ids[i], ids[j]]
-            found_n += [copies[j], copies[i]]
-            edges += _spanning(ids[i], ids[j])
-        if not found_a:
+            own, apart = vectors[low:high], side[low:high]
+            length = np.sqrt((own * own).sum(axis=1))
+            close, links = [], np.zeros(n, np.int64)
+            for i, j in _row_blocks(n, n):
+                near = (own[i:j] @ own.T >= cosine * (length[i:j, None] * length[None, :])) & (label[low + i : low + j, None] == label[None, low:high])
+                if apart[0] == 1:
+                    near[np.arange(j - i), np.arange(i, j)] = False
+                else:
+                    near &= apart[i:j, None] != apart[None, :]
+                links[i:j] = near @ copies[low:high]
+                close.append(near)
+            root = roots_of(close, n)
+            moved = np.flatnonzero(root != np.arange(n))
+            some = np.flatnonzero(links)
+            out_a += [ids[low + some], ids[low + moved]]
+            out_b += [np.full(len(some), -1), ids[low + root[moved]]]
+            out_n += [links[some], np.zeros(len(moved), np.int64)]
+        if not sum(map(len, out_a)):
             return None
-        who, code = np.unique(np.concatenate(found_a), return_inverse=True)
-        n = np.bincount(code, np.concatenate(found_n)).astype(np.int64)
-        a = np.concatenate([who, np.array([e[0] for e in edges], np.int64)])
-        b = pa.array([None] * len(who) + [e[1] for e in edges], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], ["a", "b", "n"])
+        b = np.concatenate(out_b)
+        own_n = np.concatenate(out_n)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(b, mask=own_n > 0), pa.array(own_n)], ["a", "b", "n"])
 
     return process
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
+def _paired(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with ``cuts`` blocks to be cut into) once for each pair of blocks that theirs is of: p, q, side (0 left, 1 both, 2 right)."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64(name), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
+    return placed.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).withColumn("side", side)
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+def _cut(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows`` with the number of blocks that their key is cut into: 1 for most."""
+    crowded = rows.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("cuts"))
+    return split_join(rows, materialize(crowded, "itq-crowded"), [key], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
 
 
 def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
@@ -154,36 +218,51 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, miss:
     precision, reaches ``cosine``. Vectors that are null, empty, zero, hold null or
     non-finite components, or have another length than most, link with nothing. Rows
     that repeat a vec_id are vectors of their own. Null ids: component_id null, kept true.
+    A group of m different vectors that are all near each other costs m * m cosines, as its counts are exact;
+    equal vectors cost nothing.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("usable", usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = rows.withColumn("d1", F.when(F.col("usable"), F.xxhash64("label", "vector"))).withColumn("d2", F.when(F.col("usable"), F.xxhash64(F.lit(1), "vector", "label")))
-    classes = rows.where("usable").groupBy("d1", "d2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    classes = materialize(classes, "itq-classes")
+    classes = rows.where("usable").groupBy("d1", "d2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    # Once written, the numbers stay as they are.
+    classes = materialize(classes.withColumn("class_id", F.monotonically_increasing_id()), "itq-classes")
     size = common_size(classes)
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not size:
-        return alone
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     fit = classes.where(F.size("vector") == size)
-    bits, tables, turns = plan_tables(fit.count(), fit.agg(F.count_distinct("label")).first()[0], size, cosine, miss)
+    width, tables, turns = plan_tables(fit.count(), fit.agg(F.count_distinct("label")).first()[0], size, cosine, miss)
     rotations = learn_rotations(sample(fit), turns)
-    schema = "label long, tab int, code int, class_id long, copies long, codes binary, packed binary"
-    index = fit.select("label", "class_id", "vector", "copies").mapInArrow(_index(rotations, bits, tables), schema)
-    index = materialize(index, "itq-index")
-    keys = ["label", "tab", "code"]
-    crowded = materialize(index.groupBy(*keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts")), "itq-crowded")
-    placed = join_checked(index, crowded, keys, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("cuts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-    placed = placed.select(*keys, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), side.alias("side"), "class_id", "copies", "codes", "packed")
-    group = [*keys, "p", "q"]
-    met = placed.repartition(*group).sortWithinPartitions(*group)
-    found = materialize(met.mapInArrow(in_groups(5, _meet(cosine)), "a long, b long, n long"), "itq-links")
+    index = fit.select("label", "class_id", "vector").mapInArrow(_index(rotations, width, tables), "key long, class_id long, c1 long, c2 long")
+    placed = _paired(_cut(index, "key", BUCKET_BLOCK), "class_id").select("key", "p", "q", "side", "class_id", "c1", "c2")
+    order = ["key", "p", "q"]
+    chains = placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(in_groups(3, _candidates(hamming_radius(cosine, miss))), "a long, b long")
+    groups = connected_components(chains, "itq-groups")
+
+    members = _cut(groups.select(F.col("root").alias("grp"), F.col("node").alias("class_id")), "grp", GROUP_BLOCK)
+    members = materialize(members, "itq-members")
+    own = split_join(fit, members, ["class_id"], "inner").select("grp", "cuts", "class_id", "label", "copies", "vector")
+    met = _paired(own, "class_id").select("grp", "p", "q", "side", "class_id", "label", "copies", "vector")
+    order = ["grp", "p", "q"]
+    met = met.repartition(*order).sortWithinPartitions(*order).mapInArrow(_packed(in_groups(3, _meet(cosine))), "a long, b long, n long")
+    found = materialize(met, "itq-links")
     counts = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("b is not null").select("a", "b"), "itq-roots").withColumnRenamed("node", "class_id")
-    named = classes.select("d1", "d2", "class_id", "copies").join(counts, "class_id", "left").join(roots, "class_id", "left")
-    named = materialize(named.select("d1", "d2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class_id").alias("component_id")), "itq-named")
-    out = join_checked(rows.select("vec_id", "d1", "d2"), named, ["d1", "d2"], "left")
+    own = classes.select("d1", "d2", "class_id", "least", "copies").join(counts, "class_id", "left").join(roots, "class_id", "left")
+    own = materialize(own.withColumn("root", F.coalesce("root", "class_id")), "itq-own")
+    named = own.join(own.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    named = named.select("d1", "d2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _packed(run):
+    """``run`` over batches whose last column, lists of doubles, is handed on as binary values."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed(matrix(batch.column(batch.num_columns - 1)))], [*batch.schema.names[:-1], "packed"])
+
+    return lambda batches: run(convert(batches))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, join_checked, materialize, small_batches
+from tidemark.llm.common import connected_components, materialize, small_batches, split_join
 from tidemark.llm.superminhash import band_keys, signatures
 from tidemark.llm.words import FIRST, SECOND, Words, chunks, mix, signed, windows
 
@@ -47,8 +47,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarra
         starts, before = windows(words.at, size)
         short = np.flatnonzero((count > 0) & (count < size))
         owner = np.concatenate([np.repeat(np.arange(len(count)), np.diff(before)), short])
-        starts, ends = np.concatenate([starts, words.at[short]]), np.concatenate([starts + size, words.at[short + 1]])
-        shingles = FIRST.spans(hashed, starts, ends)
+        shingles = np.concatenate([FIRST.runs(hashed, size)[starts], FIRST.spans(hashed, words.at[short], words.at[short + 1])])
         order = np.argsort(shingles)
         order = order[np.argsort(owner[order], kind="stable")]
         shingles, owner = shingles[order], owner[order]
@@ -67,8 +66,8 @@ def _sketch(n_bands: int):
                 at = np.searchsorted(owner, np.arange(n + 1))
                 digests = []
                 with np.errstate(over="ignore"):
-                    for roll in (FIRST, SECOND):
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ roll.letters[0]))])
+                    for own in (FIRST, SECOND):
+                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(elements ^ own.salt[0]))])
                         digests.append(signed(sums[at[1:]] - sums[at[:-1]]))
                 keys = band_keys(signatures(elements, owner, n, n_bands * ROWS), n_bands)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32)), pa.array(signed(keys.ravel())))
@@ -172,7 +171,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     groups = connected_components(chains, "minhash-groups")
     sized = groups.join(classes.select(F.col("class_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
     sized = materialize(sized.select(F.col("root").alias("grp"), F.col("node").alias("doc_id"), "n"), "minhash-grouped")
-    sets = join_checked(docs, sized.select("doc_id"), "doc_id", "left_semi")
+    sets = split_join(docs, sized.select("doc_id"), ["doc_id"], "left_semi")
     sets = materialize(sets.mapInArrow(_sets, "doc_id long, elements binary"), "minhash-sets")
 
     blocks = materialize(_blocks(sized, percent), "minhash-blocks")

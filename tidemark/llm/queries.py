@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_checked
+from tidemark.llm.common import split_join
 from tidemark.llm.mixing import word_count
 
 
@@ -84,12 +84,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose doc_id is not among ``ids`` (a written table)."""
-    return join_checked(documents, ids, "doc_id", "left_anti")
+    return split_join(documents, ids, ["doc_id"], "left_anti")
 
 
 def with_copies(documents: DataFrame, copies: DataFrame) -> DataFrame:
     """Documents with their number of copies (a written table: doc_key, size, copies); a null doc_id has a key too."""
-    return join_checked(documents.withColumn("doc_key", doc_key()).withColumn("size", word_count()), copies, ["doc_key", "size"], "inner")
+    return documents.withColumn("doc_key", doc_key()).withColumn("size", word_count()).join(copies.hint("merge"), ["doc_key", "size"])
 
 
 def doc_key() -> Column:

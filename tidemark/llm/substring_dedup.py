@@ -12,8 +12,8 @@ the runs in two steps:
 * blocks whose fingerprint is in the log, or in a smaller document of the batch, are
   repeats as a whole;
 * an anchor under which a new block meets a different block may still share single
-  windows. Those blocks' texts are read again from the archive and the batch, and
-  verified window by window with both hashes of all 50 words, at each place
+  windows. The documents with such blocks are read again from the archive and the batch,
+  and verified window by window with both hashes of all 50 words, at each place
   that a new block has in its smallest document.
 
 Runs of one level are compacted into one run of the next when there are ``fanout``
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import is_small, join_checked, materialize, small_batches
+from tidemark.llm.common import materialize, small_batches, split_join
 from tidemark.llm.words import FIRST, SECOND, Words, chunks, signed, sliding_min, windows
 
 WINDOW = 50
@@ -52,8 +52,7 @@ def _blocks(window: int, gram: int):
                     if not len(starts):
                         continue
                     one, two = words.hashes(FIRST), words.hashes(SECOND)
-                    at = np.arange(len(one) - gram + 1)
-                    anchors = sliding_min(FIRST.spans(one, at, at + gram), window - gram + 1)[starts]
+                    anchors = sliding_min(FIRST.runs(one, gram), window - gram + 1)[starts]
                     owner = np.repeat(np.arange(high - low), np.diff(before))
                     new = np.ones(len(starts), bool)
                     new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
@@ -94,8 +93,7 @@ def _windows(window: int):
                     place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     owner = np.repeat(owner, n)
                     at = words.at[owner] + place
-                    w1 = FIRST.spans(words.hashes(FIRST), at, at + window)
-                    w2 = SECOND.spans(words.hashes(SECOND), at, at + window)
+                    w1, w2 = (by.runs(words.hashes(by), window)[at] for by in (FIRST, SECOND))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[low + owner]), pa.array(versions[low + owner]), pa.array(old[low + owner]), pa.array(signed(w1)), pa.array(signed(w2)), pa.array(place.astype(np.int32))],
                     ["doc_id", "version", "old", "w1", "w2", "start"],
@@ -104,28 +102,32 @@ def _windows(window: int):
     return expand
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the words outside the spans, joined by one space."""
-    for batch in batches:
-        for low, high in chunks(batch.column(2)):
-            texts = batch.column(2).slice(low, high - low)
-            spans = batch.column(3).slice(low, high - low)
-            kept, total, removed = [], [], []
-            for text, span in zip(texts, spans, strict=True):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                total.append(len(words))
-                if span.is_valid and len(words):
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, span.values.field(0).to_numpy(), 1)
-                    np.add.at(edge, span.values.field(1).to_numpy(), -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    words = list(compress(words, keep))
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-            rest = [batch.column(i).slice(low, high - low) for i in (0, *range(4, batch.num_columns))]
-            names = [batch.schema.names[i] for i in (0, *range(4, batch.num_columns))]
-            done = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*rest, *done], [*names, "kept_text", "n_words", "n_removed"])
+def _cut(as_is: bool):
+    """Keep the words outside the spans, joined by one space; as_is: a text that loses none stays as it is."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in chunks(batch.column(2)):
+                texts = batch.column(2).slice(low, high - low)
+                spans = batch.column(3).slice(low, high - low)
+                kept, total, removed = [], [], []
+                for text, span in zip(texts, spans, strict=True):
+                    whole = text.as_buffer().to_pybytes() if text.is_valid else None
+                    words = whole.split() if whole else []
+                    total.append(len(words))
+                    if span.is_valid and len(words):
+                        edge = np.zeros(len(words) + 1, np.int32)
+                        np.add.at(edge, span.values.field(0).to_numpy(), 1)
+                        np.add.at(edge, span.values.field(1).to_numpy(), -1)
+                        words = list(compress(words, np.cumsum(edge[:-1]) == 0))
+                    removed.append(total[-1] - len(words))
+                    kept.append(whole if as_is and not removed[-1] else b" ".join(words))
+                rest = [batch.column(i).slice(low, high - low) for i in (0, *range(4, batch.num_columns))]
+                names = [batch.schema.names[i] for i in (0, *range(4, batch.num_columns))]
+                done = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rest, *done], [*names, "kept_text", "n_words", "n_removed"])
+
+    return cut
 
 
 class FingerprintLog:
@@ -175,7 +177,7 @@ class FingerprintLog:
 
         repeated = first.where("old or doc_id < last").select("d1", "d2", F.when(~F.col("old"), F.col("doc_id")).alias("holder"))
         repeated = materialize(repeated, "substring-repeated")
-        whole = join_checked(blocks, repeated, ["d1", "d2"], "inner").where("holder is null or holder < doc_id")
+        whole = blocks.join(repeated, ["d1", "d2"]).where("holder is null or holder < doc_id")
         spans = whole.select("doc_id", "version", "start", (F.col("start") + F.col("n_windows") + (self.window - 1)).alias("stop"))
 
         run = first.where("not old").select("d1", "d2", "anchor", "doc_id", "version", "start", "n_windows")
@@ -201,38 +203,39 @@ class FingerprintLog:
         mixed = materialize(mixed, "substring-mixed")
         if not mixed.limit(1).count():
             return None
-        listed = join_checked(run.withColumn("old", F.lit(False)), mixed, "anchor", "left_semi").select("doc_id", "version", "old", "start", "n_windows")
-        again = materialize(join_checked(again, mixed, "anchor", "left_semi").select("d1", "d2", "holder"), "substring-again")
-        places = join_checked(blocks, again, ["d1", "d2"], "inner").where("doc_id = holder")
+        listed = run.withColumn("old", F.lit(False)).join(mixed, "anchor", "left_semi").select("doc_id", "version", "old", "start", "n_windows")
+        again = again.join(mixed, "anchor", "left_semi").select("d1", "d2", "holder")
+        places = blocks.join(again, ["d1", "d2"]).where("doc_id = holder")
         listed = listed.unionByName(places.select("doc_id", "version", F.lit(False).alias("old"), "start", "n_windows"))
         if history is not None:
-            known = join_checked(history.withColumn("old", F.lit(True)), mixed, "anchor", "left_semi")
+            known = history.withColumn("old", F.lit(True)).join(mixed, "anchor", "left_semi")
             listed = listed.unionByName(known.select("doc_id", "version", "old", "start", "n_windows"))
-        listed = materialize(listed, "substring-listed")
         # A set: the first place of a block in ``again`` is listed twice, and so is a text that a doc_id repeats.
-        by_doc = listed.groupBy("doc_id", "version", "old").agg(F.collect_set(F.struct("start", "n_windows")).alias("spans"))
+        keys = ["doc_id", "version", "old"]
+        by_doc = materialize(listed.groupBy(*keys).agg(F.collect_set(F.struct("start", "n_windows")).alias("spans")), "substring-listed")
         texts = batch.withColumn("old", F.lit(False))
         for earlier in self.archive:
             texts = texts.unionByName(earlier.withColumn("old", F.lit(True)))
-        keys = ["doc_id", "version", "old"]
-        texts = texts.join(F.broadcast(by_doc) if is_small(listed) else by_doc.hint("merge"), keys)
+        # Documents without such a block take no part in the shuffle.
+        texts = split_join(texts, by_doc, keys, "inner")
         found = materialize(texts.select(*keys, "text", "spans").mapInArrow(_windows(self.window), _WINDOWS), "substring-windows")
         order = F.when(F.col("old"), F.lit(-(1 << 63))).otherwise(F.col("doc_id"))
         found = found.withColumn("rank", order)
         least = found.groupBy("w1", "w2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("w1", "w2", "least")
         least = materialize(least, "substring-least")
-        return join_checked(found, least, ["w1", "w2"], "inner").where("not old and rank > least").select("doc_id", "version", "start")
+        return found.join(least, ["w1", "w2"]).where("not old and rank > least").select("doc_id", "version", "start")
+
 
+def cut_spans(batch: DataFrame, spans: DataFrame, as_is: bool = False) -> DataFrame:
+    """Remove the spans' words from a batch: doc_id, its further columns, kept_text, n_words, n_removed.
 
-def cut_spans(batch: DataFrame, spans: DataFrame) -> DataFrame:
-    """Remove the spans' words from a batch: doc_id, its further columns, kept_text, n_words, n_removed."""
-    by_doc = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    # Always a shuffle: the spans grow with the texts, so at no size worth planning for would they be broadcast.
-    joined = batch.join(by_doc.hint("merge"), ["doc_id", "version"], "left")
+    Texts without a span aren't shuffled. as_is: a text that loses no word comes back unchanged.
+    """
+    by_doc = materialize(spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "substring-spans")
     more = [c for c in batch.columns if c not in ("doc_id", "version", "text")]
-    rows = joined.select("doc_id", "version", "text", "spans", *more)
+    rows = split_join(batch, by_doc, ["doc_id", "version"], "left").select("doc_id", "version", "text", "spans", *more)
     schema = rows.drop("version", "text", "spans").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return rows.mapInArrow(_cut, schema)
+    return rows.mapInArrow(_cut(as_is), schema)
 
 
 def versioned(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -241,13 +244,14 @@ def versioned(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("version"), text.alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
 
 
-def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """Index ``documents`` in ``batches`` of ascending doc_id; one row per document: doc_id, the columns ``keep``, kept_text, n_words, n_removed.
 
     A word goes when a window that covers it also starts in a document with a smaller
     doc_id; the windows are those of the input. Null texts have no words; rows without
     a doc_id come back whole, as nothing is smaller. Rows that repeat a doc_id don't count
-    against each other. Columns that are not named are not read.
+    against each other. A text of any length is one row and is hashed whole. Columns that are not
+    named are not read. as_is: texts that lose no word come back unchanged, not with single spaces.
     """
     docs = versioned(small_batches(documents))
     edges = docs.select("doc_id").stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
@@ -260,5 +264,5 @@ def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW
         part = part if high is None else part.where(F.col("doc_id") <= high)
         found = log.add(part)
         spans = found if spans is None else spans.unionByName(found)
-    out = cut_spans(versioned(documents, keep), spans)
+    out = cut_spans(versioned(documents, keep), spans, as_is)
     return out.withColumnsRenamed({f"_{c}": c for c in keep})

@@ -3,7 +3,8 @@
 The tokenizer splits a text by one fixed pattern and encodes each piece alone. Here
 the split runs over the code points of a whole chunk of texts with numpy, equal
 pieces are found by a 64-bit hash and their length, and each distinct piece is
-encoded once and remembered. Texts with characters for which the character classes
+encoded once and remembered. Each piece is compared, code point by code point, with the
+one whose ids it takes; a text with two pieces of one hash goes to the tokenizer. Texts with characters for which the character classes
 here are not certain (beyond Latin letters, or control characters) go to the
 tokenizer as they are.
 """
@@ -17,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.words import FIRST
+from tidemark.llm.words import mix
 
 #: Code points with known classes: Basic Latin, Latin-1 and Latin Extended A and B; dashes, quotes and the like beyond.
 KNOWN = 0x250
@@ -41,6 +42,13 @@ CLASSES[:KNOWN] = [_class(p) for p in range(KNOWN)]
 CLASSES[list(OTHER)] = SIGN
 
 
+def piece_hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of each piece: the sum of mixed (place in the piece, code point)."""
+    n = len(points)
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return mix(np.add.reduceat(mix(place.astype(np.uint64) << np.uint64(32) | points), starts))
+
+
 def split(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pieces of texts given as code points; text i is points[offsets[i]:offsets[i + 1]].
 
@@ -106,6 +114,8 @@ class Encoder:
         self.place = np.zeros(0, np.int64)
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
+        self.points_at = np.zeros(1, np.int64)
+        self.points = np.zeros(0, np.uint16)
 
     def _whole(self, text: str) -> np.ndarray:
         if self.whole is None:
@@ -116,16 +126,38 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self._forget()
         found = [self.encoding.encode_ordinary(p) for p in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint16, int(lengths.sum()))])
+        self.points_at = np.concatenate([self.points_at, self.points_at[-1] + np.cumsum(list(map(len, pieces)))])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)])
         spot = np.searchsorted(self.known, hashes)  # hashes ascend, and none is known yet
         self.place = np.insert(self.place, spot, np.arange(len(self.at) - 1 - len(hashes), len(self.at) - 1))
         self.known = np.insert(self.known, spot, hashes)
 
+    def _pieces(self, points: np.ndarray, starts: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece its place among the remembered ones, and whether it is really that one."""
+        ends = np.append(starts[1:], len(points))
+        with np.errstate(over="ignore"):
+            hashes = piece_hashes(points, starts)
+        distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        for _ in (0, 1):
+            spot = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+            new = self.known[spot] != distinct if len(self.known) else np.ones(len(distinct), bool)
+            if not new.any():
+                break
+            if len(self.known) + int(new.sum()) > REMEMBERED:
+                self._forget()
+                new[:] = True
+            s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(s, e, strict=True)])
+        place = self.place[spot][code]
+        begin, size = self.points_at[place], ends - starts
+        same = size == self.points_at[place + 1] - begin
+        at = np.minimum(np.repeat(begin - starts, size) + np.arange(len(points)), len(self.points) - 1)
+        return place, same & np.logical_and.reduceat(self.points[at] == points, starts)
+
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a chunk (null: none), as uint32."""
         texts = column.to_pylist()
@@ -141,29 +173,17 @@ class Encoder:
                 sure.append((i, text, points))
         if not sure:
             return out
-        with np.errstate(over="ignore"):
-            points = np.concatenate([p for _, _, p in sure])
-            offsets = np.concatenate([[0], np.cumsum([len(p) for _, _, p in sure])])
-            starts = split(points, offsets)
-            ends = np.append(starts[1:], len(points))
-            hashes = FIRST.spans((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts, ends)
-            distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-        joined = "".join(t for _, t, _ in sure)
-        for _ in (0, 1):
-            spot = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-            new = self.known[spot] != distinct if len(self.known) else np.ones(len(distinct), bool)
-            if not new.any():
-                break
-            if len(self.known) + int(new.sum()) > REMEMBERED:
-                self._forget()
-                new[:] = True
-            s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn(distinct[new], [joined[a:b] for a, b in zip(s, e, strict=True)])
-        piece = self.place[spot][code]
+        points = np.concatenate([p for _, _, p in sure])
+        offsets = np.concatenate([[0], np.cumsum([len(p) for _, _, p in sure])])
+        starts = split(points, offsets)
+        piece, right = self._pieces(points, starts, "".join(t for _, t, _ in sure))
         low, count = self.at[piece], self.at[piece + 1] - self.at[piece]
         total = np.concatenate([[0], np.cumsum(count)])
         flat = self.ids[np.repeat(low - total[:-1], count) + np.arange(total[-1])].astype(np.uint32)
-        cuts = total[np.searchsorted(starts, offsets)]
+        pieces = np.searchsorted(starts, offsets)
+        cuts = total[pieces]
         for (i, _, _), a, b in zip(sure, cuts[:-1], cuts[1:], strict=True):
             out[i] = flat[a:b]
+        for k in np.unique(np.searchsorted(pieces, np.flatnonzero(~right), "right") - 1).tolist():
+            out[sure[k][0]] = self._whole(sure[k][1])
         return out

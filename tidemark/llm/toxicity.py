@@ -42,12 +42,12 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         words = Words(column, lower=True, letters=True)
         owner = np.repeat(np.arange(len(column)), np.diff(words.at))
-        values = FIRST.letters[words.data]
-        found, owners = [FIRST.spans(values, words.starts, words.ends)], [owner]
+        sums = FIRST.sums(words.places())
+        found, owners = [FIRST.words(words, sums)], [owner]
         for k, length in enumerate(PREFIXES, 1):
             longer = words.ends - words.starts > length
             start = words.starts[longer]
-            found.append(mix(FIRST.spans(values, start, start + length) ^ np.uint64(k)))
+            found.append(mix((sums[start + length] - sums[start]) ^ FIRST.salt[1] ^ np.uint64(k)))
             owners.append(owner[longer])
         return np.concatenate(found), np.concatenate(owners)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, join_checked, materialize
+from tidemark.llm.common import connected_components, materialize, split_join
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -79,8 +79,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def node_of(url: Column) -> Column:
-    """The name of a url in the graph of aliases: its host and path."""
-    return F.concat(host_of(url), path_of(url))
+    """The name of a url in the graph of aliases: its host, and all that follows up to ``#``; null for a url without a host."""
+    host = host_of(url)
+    return F.when(host != "", F.concat(host, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -95,19 +96,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("url").cast("string").alias("url"), F.col("target").cast("string").alias("target")))
-    edges = links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")).where("a <> '' and b <> '' and a <> b")
+    edges = links.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")).where("a <> b")
     roots = connected_components(edges, "urls-aliases")
 
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("own", verdict)
     if not roots.limit(1).count():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(ALLOW)).alias("verdict"))
-    slash = F.coalesce(F.nullif(F.instr("node", "/"), F.lit(0)), F.length("node") + 1)
-    named = roots.select("node", "root", F.substr("node", F.lit(1), slash - 1).alias("host"), F.substr("node", slash).alias("path"))
+    parts = [F.regexp_extract("node", r"(?s)^([^/?]*)([^?]*)", i) for i in (1, 2)]
+    named = roots.select("node", "root", parts[0].alias("host"), parts[1].alias("path"))
     _, own = rule_of(F.col("host"), F.col("path"), rules)
     judged = named.withColumn("own", own).groupBy("root").agg(F.min("own").alias("shared")).where("shared is not null")
     judged = materialize(roots.join(judged, "root").select("node", "shared"), "urls-judged")  # 'allow' < 'block'
-    rows = rows.withColumn("node", F.concat("host", "path"))
-    out = join_checked(rows, judged, "node", "left")
+    # Most urls have no alias, and stay where they are.
+    out = split_join(rows, judged, ["node"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "shared", F.lit(ALLOW)).alias("verdict"))

@@ -3,13 +3,14 @@
 A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D`` of the UTF-8
 text, which is the same as the pattern ``[^\\x20\\x09-\\x0D]+`` on the text itself,
 because no byte of a multi-byte character falls in that set. All hashing is
-modular polynomial arithmetic on unsigned 64-bit numbers over whole Arrow
-buffers: there is no Python loop over words.
+arithmetic on unsigned 64-bit numbers over whole Arrow buffers: there is no Python
+loop over words, but for those of more than `PLACES` bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Text bytes handled at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a word that are hashed by table.
+PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,43 +31,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    done, step = 1, np.uint64(base)
-    while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * step
-        done += take
-        step = step * step
-    return out
-
+class Hash:
+    """64-bit hashes of words, and of sequences of such hashes.
 
-class Roll:
-    """Hashes of spans of a sequence: sum of value[i] * base**(i - start)."""
+    A word's hash is the sum, mixed, of random numbers drawn for each (place in the word, byte):
+    two words collide with probability 2**-64 whatever they look like. Words longer than `PLACES`
+    bytes go through BLAKE2. Sequences are joined pair by pair with a bijective mixer after each
+    step, so no repeating pattern of words cancels out, as it can in a polynomial.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = (int(rng.integers(1 << 60)) << 3) % (1 << 64) | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.letters = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
+        self.key = seed.to_bytes(8, "little")
+        self.table = rng.integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
+        self.salt = rng.integers(0, 1 << 64, 2, dtype=np.uint64)
+
+    def sums(self, places: np.ndarray) -> np.ndarray:
+        """Running sums over the bytes of `Words.places`; a difference of two within one word is the sum of the bytes between."""
+        out = np.zeros(len(places) + 1, np.uint64)
+        np.cumsum(self.table.take(places, mode="clip"), out=out[1:])
+        return out
+
+    def words(self, words: Words, sums: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each word."""
+        starts, ends = words.starts, words.ends
+        sums = self.sums(words.places()) if sums is None else sums
+        out = mix((sums[ends] - sums[starts]) ^ self.salt[0])
+        for i in np.flatnonzero(ends - starts > PLACES).tolist():
+            out[i] = int.from_bytes(blake2b(words.data[starts[i] : ends[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Hash of a sequence from those of its two parts."""
+        turned = (right << np.uint64(29)) | (right >> np.uint64(35))
+        return mix(left * np.uint64(0xD6E8FEB86659FD93) + turned + self.salt[1])
+
+    def runs(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Hash of values[i : i + size] for each i from which there are so many."""
+        out, power, width, done = None, values, 1, 0
+        while True:
+            if size & width:
+                n = len(values) - done - width + 1
+                if n <= 0:
+                    return np.zeros(0, np.uint64)
+                out = power[:n] if out is None else self.join(out[:n], power[done : done + n])
+                done += width
+            if done == size:
+                return out
+            power = self.join(power[: len(power) - width], power[width:]) if len(power) > width else power[:0]
+            width *= 2
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[starts:ends] for each span (ends exclusive)."""
-        n = len(values)
-        self._grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        """Hash of values[starts:ends] for each span of one value or more: of its first and last 2**k values and its length."""
+        size = (ends - starts).astype(np.uint64)
+        out = np.zeros(len(starts), np.uint64)
+        power, width = values, 1
+        while True:
+            here = np.flatnonzero((size >= width) & (size < 2 * width))
+            out[here] = mix(self.join(power[starts[here]], power[ends[here] - width]) ^ size[here])
+            if not len(size) or size.max() < 2 * width:
+                return out
+            power = self.join(power[: len(power) - width], power[width:])
+            width *= 2
 
 
-FIRST, SECOND = Roll(11), Roll(12)
+#: Two independent ones.
+FIRST, SECOND = Hash(11), Hash(12)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +150,23 @@ class Words:
         #: Words before each text: text i has words at[i] .. at[i + 1].
         self.at = np.searchsorted(self.starts, self.offsets).astype(np.int64)
         self.at[-1] = len(self.starts)
+        self._places: np.ndarray | None = None
         if lower:
             upper = (b >= 65) & (b <= 90)
             self.data = b + upper.astype(np.uint8) * np.uint8(32)
 
-    def hashes(self, roll: Roll = FIRST) -> np.ndarray:
-        return roll.spans(roll.letters[self.data], self.starts, self.ends)
+    def places(self) -> np.ndarray:
+        """Row of a hash's table for each byte: its place in its word, modulo `PLACES`, and its value."""
+        if self._places is None:
+            n = len(self.data)
+            begin = np.zeros(n, np.int32)
+            begin[self.starts] = self.starts
+            place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(begin)
+            self._places = (((place & (PLACES - 1)) << 8) | self.data).astype(np.int64)
+        return self._places
+
+    def hashes(self, by: Hash = FIRST) -> np.ndarray:
+        return by.words(self)
 
 
 def windows(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
