@@ -37,11 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under repeated 50-word windows go; n_chars follows the new text."""
-    cut = substring_dedup(docs, keep=("text", "lang", "source", "n_chars"))
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    cut = substring_dedup(docs, keep=("lang", "source", "n_chars"), as_is=True)
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
