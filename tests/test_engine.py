@@ -96,9 +96,50 @@ def test_watermark_stays_without_new_items(spark):
     assert sorted((r.url, r.last_update) for r in refine.advance_watermarks(registry, items).collect()) == [("u1", 9), ("u2", 7)]
 
 
-def test_keep_last_breaks_ties_by_text(spark):
-    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "b", "z")], "ts_ms long, text string, label string")
-    assert sorted((r.text, r.label) for r in refine.last_by_text(rows).collect()) == [("a", "y"), ("b", "z")]
+def test_keep_last_by_text(spark):
+    """Two texts with one hash are two texts."""
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "a", "x"), (2, "Aa", "z"), (1, "BB", "v")], "ts_ms long, text string, label string")
+    got = sorted((r.text, r.label, r.text_hash) for r in refine.last_by_text(rows).collect())
+    assert got == [("Aa", "z", 2112), ("BB", "v", 2112), ("a", "y", 97)]
+
+
+def test_numbering_with_hot_keys(spark):
+    rows = [(5 if i % 3 else i, i) for i in range(900)] + [(None, 1000), (None, 1001)]
+    got = number_rows(spark.createDataFrame(rows, "k long, id long"), "k", ("id",), "n", ranges=8).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r.n)] == want
+
+
+def test_equal_scores_go_to_the_first_name(spark):
+    for names in (("sport", "sports"), ("sports", "sport"), ("b", "a"), ("", "a")):
+        scored = spark.createDataFrame([(1, x, 0.5) for x in names] + [(1, "c", 0.1)], "doc_id long, label string, score double")
+        assert bayes.predict(scored).first().prediction == min(names)
+
+
+def test_replayer_keeps_pace(spark, tmp_path):
+    rows = [(1_000_000, "a", "x"), (1_000_000 + 50_000 * 10, "b", "x"), (1_000_000 + 50_000 * 3500, "c", "y")]
+    waited = []
+    ticks = writers.replay(spark.createDataFrame(rows, "ts_ms long, text string, label string"), f"{tmp_path}/out", wait=waited.append)
+    assert (ticks, waited) == (4, [0, 3.0])
+    assert sorted(r.value for r in readers.lines(spark, f"{tmp_path}/out").collect()) == sorted(f"({t},{x},{y})" for t, x, y in rows)
+
+
+def test_registry_replaces_itself(spark, tmp_path):
+    path = f"{tmp_path}/registry"
+    for last in (5, 9):
+        writers.registry(spark.createDataFrame([("u", "c", last)], "url string, category string, last_update long"), path)
+    writers.registry(readers.registry(spark, path).withColumn("last_update", F.col("last_update") + 1), path)
+    assert [tuple(r) for r in readers.registry(spark, path).collect()] == [("u", "c", 10)]
+    assert [x.name for x in tmp_path.iterdir()] == ["registry"]
+
+
+def test_rates_that_can_occur():
+    policy = config.Incremental()
+    states, index = policies.rate_states(policy), math.tan(math.pi / 32)
+    for k in range(40):
+        at = k if k < len(states) else len(states) - 2 + (k - len(states)) % 2
+        assert states[at] == pytest.approx(abs(math.atan(index)) / (math.pi / 2), abs=1e-12)
+        index = abs(index - 0.01)
 
 
 def test_sinks_and_sources_round_trip(spark, tmp_path):
@@ -166,7 +207,7 @@ class Plain:
 def stream(spark, sf_dir):
     from tidemark.plans import inputs
 
-    tokens = inputs.numbered_tokens(spark, sf_dir).persist()
+    tokens = inputs.tokens(spark, sf_dir).persist()
     docs = inputs.numbered(spark, sf_dir).persist()
     terms = defaultdict(list)
     for r in tokens.select("seq", "term").collect():
@@ -286,9 +327,24 @@ def test_phase_machine_trains_then_predicts(spark, folder):
     assert all(0 <= m.accuracy <= 1 for m in metrics)
 
 
+@pytest.mark.parametrize("tf_idf", [False, True])
+def test_phase_machine_goes_on_after_a_restart(spark, folder, tf_idf):
+    """A new machine for each micro-batch comes to the same predictions as one for all; a replayed batch changes nothing."""
+    batches = [spark.createDataFrame(ROWS[k : k + 5], SCHEMA) for k in range(0, len(ROWS), 5)]
+    one = jobs.PhaseMachine(spark, f"{folder}/one", 200, 100, config.MULTINOMIAL, tf_idf)
+    for number, batch in enumerate(batches):
+        one(batch, number)
+        for _ in (1, 2):
+            jobs.PhaseMachine(spark, f"{folder}/many", 200, 100, config.MULTINOMIAL, tf_idf)(batch, number)
+    got = [sorted(tuple(r) for r in spark.read.parquet(f"{folder}/{x}/predictions").select("doc_id", "prediction").collect()) for x in ("one", "many")]
+    assert got[0] == got[1] and got[0]
+    states = [r.state for r in spark.read.parquet(f"{folder}/one/state").orderBy("batch").collect()]
+    assert states[0] == "train" and "predict" in states
+
+
 def test_term_days_and_dedup(spark, folder):
     jobs.run_to_end(jobs.term_days(streamed(spark, folder), 0), f"{folder}/cp", mode="complete", table="days")
-    assert spark.table("days").agg(F.sum("postings")).first()[0] == sum(len(t.split()) for *_, t in ROWS)
+    assert spark.table("days").agg(F.sum("df")).first()[0] == sum(len(set(t.split())) for *_, t in ROWS)
     timed = streamed(spark, folder).withColumn("ts", F.timestamp_millis("ts_ms"))
     jobs.run_to_end(jobs.deduplicated(timed, "text", "ts", "1 hour"), f"{folder}/cp2", mode="append", table="once")
     assert spark.table("once").count() == len({t for *_, t in ROWS})

@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import MULTINOMIAL, Smoothing
+from tidemark.storage import materialize
+
+#: Rows of a labels' table (of a few numbers each) that a broadcast may have.
+BROADCAST_LABELS = 10_000
 
 
 @dataclass
@@ -42,9 +46,8 @@ def fit(tokens: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothi
     totals = counts.groupBy(*by).agg(F.sum("count").alias("total"))
     documents = docs.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
     labels = documents.join(totals, by, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
-    # A row for each key and label from here on.
     every = labels.groupBy(*key).agg(F.sum("n").alias("all_n"), F.count("*").alias("k"), F.sum("total").alias("all_total"))
-    labels = labels.join(F.broadcast(every), list(key)) if key else labels.crossJoin(F.broadcast(every))
+    labels = labels.join(every, list(key)) if key else labels.crossJoin(F.broadcast(every))  # without a key: one row
     if smoothing.vocabulary:
         size = F.lit(float(vocabulary)) if isinstance(vocabulary, int) else None
         if size is None:
@@ -63,33 +66,42 @@ def fit(tokens: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothi
     gain = F.log(F.col("count") + add) - F.col("log_base")
     if not smoothing.seen_only:
         gain = gain - F.col("unseen")
-    conditionals = counts.join(F.broadcast(labels), by).select(*by, "term", "count", (F.log(F.col("count") + add) - F.col("log_base")).alias("log_theta"), gain.alias("gain"))
+    labels = materialize(labels, "bayes-labels")
+    conditionals = counts.join(_sized(labels), by).select(*by, "term", "count", (F.log(F.col("count") + add) - F.col("log_base")).alias("log_theta"), gain.alias("gain"))
     labels = labels.withColumn("unseen", F.lit(0.0)) if smoothing.seen_only else labels
-    return Model(labels, conditionals, key, smoothing)
+    return Model(labels, materialize(conditionals, "bayes-conditionals"), key, smoothing)
+
+
+def _sized(labels: DataFrame) -> DataFrame:
+    """A written table of labels (a row for each key and label), broadcast if it is small by count."""
+    return F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
 
 
-def scores(model: Model, tokens: DataFrame, docs: DataFrame, doc: str = "doc_id", dictionary: DataFrame | None = None) -> DataFrame:
+def scores(model: Model, tokens: DataFrame, docs: DataFrame, doc: str = "doc_id", dictionary: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """key..., doc, label, score for each document and each label of its model.
 
-    With ``dictionary`` (term) other terms are dropped; the labels' table is one small row
-    for each label, so it is broadcast.
+    With ``dictionary`` (term) other terms are dropped; with ``weight`` a term counts that often. The labels' table has a row for each key and
+    label; it is counted before it is broadcast.
     """
     key = list(model.key)
     if dictionary is not None:
         tokens = tokens.join(dictionary.select("term"), "term", "left_semi")
-    length = tokens.groupBy(*key, doc).agg(F.count("*").alias("length"))
-    seen = tokens.select(*key, doc, "term").join(model.conditionals.select(*key, "label", "term", "gain"), [*key, "term"])
-    seen = seen.groupBy(*key, doc, "label").agg(F.sum("gain").alias("gain"))
+    tokens = tokens.select(*key, doc, "term", (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
+    length = tokens.groupBy(*key, doc).agg(F.sum("weight").alias("length"))
+    seen = tokens.join(model.conditionals.select(*key, "label", "term", "gain"), [*key, "term"])
+    seen = seen.groupBy(*key, doc, "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("gain"))
     rows = docs.select(*key, doc).join(length, [*key, doc], "left")
     labels = model.labels.select(*key, "label", "prior", "unseen")
-    rows = rows.join(F.broadcast(labels), key) if key else rows.crossJoin(F.broadcast(labels))
+    rows = rows.join(_sized(labels), key) if key else rows.crossJoin(_sized(labels))
     rows = rows.join(seen, [*key, doc, "label"], "left")
-    score = F.col("prior") + F.coalesce("length", F.lit(0)) * F.col("unseen") + F.coalesce("gain", F.lit(0.0))
+    score = F.col("prior") + F.coalesce("length", F.lit(0.0)) * F.col("unseen") + F.coalesce("gain", F.lit(0.0))
     return rows.select(*key, doc, "label", score.alias("score"))
 
 
 def predict(scored: DataFrame, doc: str = "doc_id", key: tuple[str, ...] = ()) -> DataFrame:
     """key..., doc, prediction: the best label, of ties the first in order of names."""
-    # Ordering by rounded score keeps ties stable against the order of summation.
-    best = F.max_by("label", F.struct(F.round("score", 9), F.transform(F.split("label", ""), lambda c: -F.ascii(c))))
+    # Ordering by rounded score keeps ties stable against the order of summation. Of two names of which
+    # one begins the other, the shorter is the first: its array ends with the larger number.
+    turned = F.concat(F.transform(F.filter(F.split("label", ""), lambda c: c != ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
+    best = F.max_by("label", F.struct(F.round("score", 9), turned))
     return scored.groupBy(*key, doc).agg(best.alias("prediction"))

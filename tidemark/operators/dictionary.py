@@ -61,6 +61,30 @@ def tf_idf(tokens: DataFrame, n_docs: int = 20_000, augmented: bool = True) -> D
     return rows.select("doc_id", "term", "tf", "df", weight.alias("weight"))
 
 
+def weighed(tokens: DataFrame, dictionary: DataFrame, n_docs: int = 20_000, doc: str = "doc_id") -> DataFrame:
+    """doc, term, weight: augmented tf-idf with the document frequencies of a dictionary (term, df); other terms are dropped."""
+    tf = term_frequency(tokens, (doc,)).join(dictionary.select("term", "df"), "term")
+    most = tf.groupBy(doc).agg(F.max("tf").alias("most"))
+    weight = augmented_tf(F.col("tf"), F.col("most")) * idf_whole(n_docs, F.col("df"))
+    return tf.join(most, doc).select(doc, "term", weight.alias("weight"))
+
+
+def words_after(lines: DataFrame, order: str, text: str, skip: int = 7) -> DataFrame:
+    """order, pos, term: a line's words from number ``skip`` on, lower-cased, without all but digits and letters."""
+    from tidemark.functions.text import alnum_only
+
+    words = F.transform(F.split(text, r"\s+"), lambda w: alnum_only(F.lower(w)))
+    return lines.select(order, F.posexplode(words).alias("pos", "term")).where(F.col("pos") >= skip).where("term <> ''")
+
+
+def grown(dictionary: DataFrame, tokens: DataFrame, order: str = "seq") -> DataFrame:
+    """A dictionary (term, term_id) with the terms of ``tokens`` that it lacks, numbered on from its last id in order of first sight."""
+    fresh = first_seen_ids(tokens.join(dictionary.select("term"), "term", "left_anti"), order)
+    last = dictionary.agg(F.coalesce(F.max("term_id"), F.lit(-1)).alias("last"))  # one row
+    more = fresh.crossJoin(F.broadcast(last)).select("term", (F.col("term_id") + F.col("last") + 1).alias("term_id"))
+    return dictionary.select("term", "term_id").unionByName(more)
+
+
 def sparse_vectors(tf: DataFrame, dictionary: DataFrame, doc: str = "doc_id", compat: bool = False) -> DataFrame:
     """doc, indices, values with indices ascending; compat: values are sorted on their own, as a quirk of old data."""
     pairs = tf.join(dictionary, "term").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("p"))

@@ -2,8 +2,9 @@
 
 Schedules that depend on positions alone (offline, periodic) are one plan: every row
 has an epoch, and each epoch its training window. Policies that depend on their own past
-accuracy walk the stream in small steps; they keep counts for each batch of rows, so a step is an
-addition, and the state is bounded by the dictionary and the window.
+accuracy walk the stream in order, as their next model depends on their last results: one task, in
+time proportional to the rows. Their state is bounded by the dictionary, and by a window of rows for the
+error-triggered one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import MULTINOMIAL, ErrorTriggered, Incremental, Periodic, Smoothing
 from tidemark.functions.numeric import next_index, rate_of, start_index
-from tidemark.operators import bayes
+from tidemark.operators import bayes, evaluate
 
 
 def epochs(rows: DataFrame, policy: Periodic) -> DataFrame:
@@ -27,16 +28,6 @@ def epochs(rows: DataFrame, policy: Periodic) -> DataFrame:
     return rows.where(seq >= policy.initial).withColumn("epoch", epoch.cast("long"))
 
 
-def training_windows(n_rows: int, policy: Periodic, spark) -> DataFrame:
-    """epoch, low, high: the rows low <= seq < high that each epoch is trained on."""
-    windows = [(0, 0, policy.initial)]
-    start = policy.first
-    while start < n_rows:
-        windows.append((len(windows), max(0, start - policy.window), start))
-        start += policy.every
-    return spark.createDataFrame(windows, "epoch long, low long, high long")
-
-
 def in_windows(rows: DataFrame, policy: Periodic) -> DataFrame:
     """Rows with each epoch whose window they are in: a range join, written as arithmetic on positions.
 
@@ -77,13 +68,6 @@ class Counts:
         self._base = None
         np.add.at(self.table[label], terms, 1.0)
 
-    def replace(self, codes: list[np.ndarray], weights: list[float]) -> None:
-        """Set the table to weighted batches of (label * vocabulary + term) codes; documents stay as counted."""
-        self._base = None
-        every = np.concatenate(codes)
-        weight = np.repeat(weights, [len(c) for c in codes])
-        self.table = np.bincount(every, weight, self.table.size).reshape(self.table.shape)
-
     def predict(self, terms: np.ndarray) -> int:
         known = self.documents > 0
         if not known.any():
@@ -96,6 +80,53 @@ class Counts:
         return int(np.argmax(np.where(known, np.round(score, 9), -np.inf)))
 
 
+def rate_states(policy: Incremental) -> list[float]:
+    """The learning rates that can occur, by updates since the last reset; from the last but one on, the last two take turns."""
+    index, out = start_index(policy), []
+    while True:
+        out.append(rate_of(index))
+        if index < policy.step:
+            return [*out, rate_of(next_index(index, policy))]
+        index = next_index(index, policy)
+
+
+class Decayed:
+    """Counts in which past rows fade, one table for each rate they may fade by.
+
+    An update multiplies a whole table by 1 - rate; that factor is kept beside the table, so the
+    work of an update is that of its fresh rows. Documents are counted without decay.
+    """
+
+    def __init__(self, labels: int, vocabulary: int, rates: list[float], smoothing: float = 1.0):
+        self.rates, self.vocabulary, self.smoothing = np.array(rates), vocabulary, smoothing
+        self.tables = np.zeros((len(rates), labels, vocabulary))
+        self.factor, self.totals = np.ones(len(rates)), np.zeros((len(rates), labels))
+        self.documents = np.zeros(labels)
+
+    def add(self, label: int, terms: np.ndarray) -> None:
+        self.documents[label] += 1
+        self.totals[:, label] += len(terms)
+        for k, factor in enumerate(self.factor):
+            np.add.at(self.tables[k, label], terms, 1 / factor)
+
+    def fade(self, rates: np.ndarray | None = None) -> None:
+        keep = 1 - (self.rates if rates is None else rates)
+        self.factor *= keep
+        self.totals *= keep[:, None]
+        for k in np.flatnonzero(self.factor < 1e-100):
+            self.tables[k] *= self.factor[k]
+            self.factor[k] = 1.0
+
+    def predict(self, table: int, terms: np.ndarray) -> int:
+        known = self.documents > 0
+        if not known.any():
+            return -1
+        score = np.log(self.documents + self.smoothing) - np.log(self.documents.sum() + known.sum() * self.smoothing)
+        score = score - len(terms) * np.log(self.totals[table] + self.vocabulary * self.smoothing)
+        score = score + np.log(self.tables[table][:, terms] * self.factor[table] + self.smoothing).sum(axis=1)
+        return int(np.argmax(np.where(known, np.round(score, 9), -np.inf)))
+
+
 def _stream(tokens: DataFrame, docs: DataFrame, dictionary: DataFrame, labels: list[str], step) -> DataFrame:
     """Rows in order of seq through one stateful step: the stream has one logical key, its order is the state."""
     ids = tokens.join(dictionary, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list("term_id")).alias("terms"))
@@ -163,40 +194,56 @@ def incremental_predictions(tokens: DataFrame, docs: DataFrame, dictionary: Data
     """Refitted every ``every`` rows on decayed past counts and the fresh batch.
 
     decay "compound" multiplies all past counts by 1 - rate at each update; "current" gives
-    a batch of age j the weight (1 - rate now) ** j, so counts are kept for each batch.
+    a batch of age j the weight (1 - rate now) ** j. The rates that can occur are a dozen, so one table
+    for each of them has those weights at any time, and the past is never read again.
     """
     size = dictionary.count()
+    rates = rate_states(policy)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def run() -> Iterator[tuple]:
-            index, rate = start_index(policy), rate_of(start_index(policy))
-            model, kept, fresh = Counts(labels, size), [], []
-            right = updates = 0
-            weights: list[float] = []
+            compound = policy.decay == "compound"
+            model, fresh = Decayed(len(labels), size, [0.0] if compound else rates), []
+            state = right = updates = 0
             for doc, seq, label, terms in _rows(batches):
                 code = labels.index(label)
                 if seq < policy.initial:
                     model.add(code, terms)
-                    fresh.append((code, terms))
                     continue
-                if seq == policy.initial:
-                    kept.append(np.concatenate([c * size + t for c, t in fresh]))
-                    fresh, weights = [], [1.0]
-                elif (seq - policy.initial) % policy.every == 0:
-                    index = start_index(policy) if 100 * right / policy.every < policy.low_accuracy else next_index(index, policy)
-                    rate, right = rate_of(index), 0
-                    updates += 1
-                    kept.append(np.concatenate([c * size + t for c, t in fresh]))
-                    for c, _ in fresh:
-                        model.documents[c] += 1
-                    weights = [w * (1 - rate) for w in weights] + [1.0]
-                    model.replace(kept, weights if policy.decay == "compound" else [(1 - rate) ** age for age in range(len(kept) - 1, -1, -1)])
+                if seq > policy.initial and (seq - policy.initial) % policy.every == 0:
+                    if 100 * right / policy.every < policy.low_accuracy:
+                        state = 0
+                    else:
+                        state = state + 1 if state + 1 < len(rates) else len(rates) - 2
+                    right, updates = 0, updates + 1
+                    model.fade(np.array([rates[state]]) if compound else None)
+                    for row in fresh:
+                        model.add(*row)
                     fresh = []
-                got = model.predict(terms)
+                got = model.predict(0 if compound else state, terms)
                 right += got == code
                 fresh.append((code, terms))
-                yield doc, seq, label, labels[got], got == code, updates, rate
+                yield doc, seq, label, labels[got], got == code, updates, rates[state]
 
         yield from _frames(run())
 
     return _stream(tokens, docs, dictionary, labels, step)
+
+
+def rate_series(updates: int, policy: Incremental, spark) -> DataFrame:
+    """update, rate: the learning rate after each number of updates without a reset."""
+    rates = rate_states(policy)
+    last = len(rates) - 2
+    at = F.when(F.col("id") < last, F.col("id")).otherwise(last + (F.col("id") - last) % 2)
+    return spark.range(updates).select(F.col("id").alias("update"), F.get(F.array(*[F.lit(x) for x in rates]), at.cast("int")).alias("rate"))
+
+
+def with_rate(rows: DataFrame, rates: DataFrame, policy: Incremental = Incremental(), order: str = "seq") -> DataFrame:
+    """Rows (from the first predicted one on) with the rate that held when they were predicted: update, rate."""
+    update = F.floor((F.col(order) - policy.initial) / policy.every)
+    return rows.where(F.col(order) >= policy.initial).withColumn("update", update).join(rates, "update")
+
+
+def measured(predictions: DataFrame, policy: Periodic) -> DataFrame:
+    """Accuracy of a periodic policy's predictions: of each epoch alone if the policy starts counting anew, else of all."""
+    return evaluate.accuracy(predictions, ("epoch",) if policy.reset else ())

@@ -81,10 +81,13 @@ def in_period(df: DataFrame, start_ms: int, end_ms: int, compat: bool = False) -
 
 
 def last_by_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """Of rows with one text hash the latest stays (ties: the largest text). Aggregates before it shuffles."""
+    """Of rows with one text the latest stays (ties: the largest other values). Aggregates before it shuffles.
+
+    Rows are grouped by the text's hash and by the text, as different texts may share a hash.
+    """
     rest = [c for c in df.columns if c not in ("ts_ms", text)]
-    newest = F.max(F.struct("ts_ms", text, *rest)).alias("r")
-    return df.groupBy(java_hash(F.col(text)).alias("text_hash")).agg(newest).select("text_hash", *[F.col(f"r.{c}").alias(c) for c in ("ts_ms", text, *rest)])
+    newest = F.max(F.struct("ts_ms", *rest)).alias("r")
+    return df.groupBy(java_hash(F.col(text)).alias("text_hash"), text).agg(newest).select("text_hash", "r.ts_ms", text, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def newer_than_watermark(items: DataFrame, registry: DataFrame, key: str = "url") -> DataFrame:

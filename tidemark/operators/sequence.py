@@ -1,8 +1,8 @@
 """Positions and running sums over a total order, without one task for all rows.
 
-Rows are cut into ranges of their order by approximate quantiles; each range is
-numbered or summed on its own, and the ranges' totals, one row for each, are added up
-and broadcast.
+Rows are cut into ranges of their order by approximate quantiles, as many as the row count asks
+for, and written with their range; each range is numbered or summed on its own, and the ranges' totals, one row for each, are added up
+and broadcast. A key value that fills whole ranges by itself is cut further by the first tie column.
 """
 
 from __future__ import annotations
@@ -10,30 +10,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+from tidemark.storage import materialize
 
+#: Rows of a range, and ranges at least and at most.
+RANGE_ROWS, LEAST, MOST = 500_000, 8, 4_000
 
-def _ranged(df: DataFrame, key: str, ranges: int) -> DataFrame:
-    edges = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    at = F.coalesce(F.size(F.filter(F.lit(edges), lambda e: e <= F.col(key))), F.lit(0)) if edges else F.lit(0)
+
+def _below(edges: list, value: Column) -> Column:
+    """How many of the ascending edges are at most ``value``; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.lit(edges), lambda e: e <= value)), F.lit(0)) if edges else F.lit(0)
+
+
+def _quantiles(column: str, parts: int) -> Column:
+    return F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
+
+
+def _ranged(df: DataFrame, key: str, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """``df`` with its range in order of the key (and the first tie): ``_range``, an ascending long."""
+    if ranges is None:
+        ranges = min(max(-(-df.count() // RANGE_ROWS), LEAST), MOST)
+    found = df.agg(_quantiles(key, ranges).alias("e")).first()["e"] or []
+    edges = sorted(set(found))
+    at = _below(edges, F.col(key)).cast("long") * (1 << 20)
+    # A value between two equal quantiles fills a range of its own, or more.
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    if hot and ties and df.schema[ties[0]].dataType.simpleString() in ("bigint", "int", "double"):
+        cuts = df.where(F.col(key).isin(hot)).groupBy(key).agg(_quantiles(ties[0], ranges).alias("e"))
+        for row in cuts.orderBy(key).collect():  # at most one row for each range
+            own = sorted(set(row["e"] or []))
+            at = at + F.when(F.col(key) == row[key], _below(own, F.col(ties[0]))).when(F.col(key) > row[key], len(own) + 1).otherwise(0)
     return df.withColumn("_range", at)
 
 
-def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int = RANGES) -> DataFrame:
+def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None) -> DataFrame:
     """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``."""
-    rows = _ranged(df, key, ranges)
+    rows = materialize(_ranged(df, key, ties, ranges), "ranged")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``ranges`` rows.
+    # One row for each range, some thousands at most.
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
     return rows.join(F.broadcast(counts), "_range").withColumn(name, own.cast("long") - 1 + F.col("_before")).drop("_range", "_before")
 
 
-def running_mean(df: DataFrame, value: Column, key: str, by: tuple[str, ...] = (), name: str = "running", ranges: int = RANGES) -> DataFrame:
+def running_mean(df: DataFrame, value: Column, key: str, by: tuple[str, ...] = (), name: str = "running", ranges: int | None = None) -> DataFrame:
     """Mean of ``value`` over all rows up to each row, in order of a unique numeric ``key``, for each ``by``."""
-    rows = _ranged(df.withColumn("_v", value.cast("double")), key, ranges)
+    rows = materialize(_ranged(df.withColumn("_v", value.cast("double")), key, (), ranges), "ranged")
     group = [*by, "_range"]
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*group).agg(F.sum("_v").alias("_s"), F.count("*").alias("_c"))

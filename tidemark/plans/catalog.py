@@ -15,7 +15,8 @@ from tidemark.functions import text as X
 from tidemark.operators import bayes, dictionary, evaluate, policies, refine
 from tidemark.operators.sequence import number_rows
 from tidemark.plans import inputs as I
-from tidemark.storage import new_path
+from tidemark.sources import readers, writers
+from tidemark.storage import materialize, new_path
 from tidemark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,7 @@ SQL: dict[str, str] = {}
 DAY4 = START_MS + 4 * 86_400_000
 #: Policies at the size of the tables at hand.
 PERIODIC = config.Periodic(initial=200, first=401, every=200, window=200)
+RESETTING = config.Periodic(initial=120, first=201, every=200, window=120, reset=True)
 TRIGGERED = config.ErrorTriggered(initial=200, window=200, threshold=0.9, sanity=50)
 INCREMENTAL = config.Incremental(initial=200, every=50, low_accuracy=60.0)
 
@@ -212,7 +214,7 @@ _DF = "df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1)"
 
 
 def _dictionary_of(spark: SparkSession, sf: str) -> DataFrame:
-    return dictionary.first_seen_ids(I.numbered_tokens(spark, sf))
+    return dictionary.first_seen_ids(I.tokens(spark, sf))
 
 
 @query(f"WITH {I.ROWS}, {_IDS} SELECT term, term_id FROM ids")
@@ -345,7 +347,7 @@ def sort_by_time(spark, sf):
 
 @query(f"""WITH {I.ROWS} (SELECT 'first' AS which, doc_id, ts_ms FROM numbered ORDER BY seq LIMIT 1) UNION ALL (SELECT 'last', doc_id, ts_ms FROM numbered ORDER BY seq DESC LIMIT 1)""")
 def first_last_row(spark, sf):
-    rows = I.docs(spark, sf).where(F.size(X.terms(F.col("text"))) >= 2).select("doc_id", "ts_ms")
+    rows = I.numbered(spark, sf).select("doc_id", "ts_ms")
     ends = [rows.orderBy(order).limit(1).select(F.lit(which).alias("which"), "doc_id", "ts_ms") for which, order in (("first", F.col("doc_id")), ("last", F.desc("doc_id")))]
     return ends[0].unionAll(ends[1])
 
@@ -371,10 +373,10 @@ def feed_watermark_filter(spark, sf):
     return refine.newer_than_watermark(items, registry).select("event_id", "url", "ts_ms")
 
 
-@query(f"WITH f AS ({_FEED}), r AS (SELECT url, min(ts_ms) AS last_update FROM f GROUP BY 1) SELECT url, greatest(last_update, coalesce((SELECT max(ts_ms) FROM f WHERE f.url = r.url AND event_id % 2 = 0), last_update)) AS last_update FROM r")
+@query(f"WITH f AS ({_FEED}), r AS (SELECT url, min(ts_ms) AS last_update FROM f GROUP BY 1) SELECT url, greatest(last_update, coalesce((SELECT max(ts_ms) FROM f WHERE f.url = r.url ), last_update)) AS last_update FROM r")
 def feed_watermark_advance(spark, sf):
     items, registry = _feeds(spark, sf)
-    return refine.advance_watermarks(registry, items.where("event_id % 2 = 0"))
+    return refine.advance_watermarks(registry, items)
 
 
 @query(f"WITH f AS ({_FEED}) SELECT url, 0::BIGINT AS last_update, count(*) AS n_newer FROM f WHERE ts_ms > 0 GROUP BY 1")
@@ -412,7 +414,7 @@ _OFFLINE = f"WITH {I.ROWS}, {I.bayes_sql(_TRAIN, _TEST)}"
 
 
 def _offline(spark, sf, smoothing=config.MULTINOMIAL):
-    rows = refine.split_by_days(I.docs(spark, sf).where(F.size(X.terms(F.col("text"))) >= 2)).select("doc_id", "ts_ms", "label", "part")
+    rows = refine.split_by_days(I.numbered(spark, sf)).select("doc_id", "ts_ms", "label", "part")
     tokens = refine.split_by_days(I.tokens(spark, sf)).select("doc_id", "label", "term", "part")
     vocabulary = tokens.select("term").distinct()
     model = bayes.fit(tokens.where("part = 'train'"), rows.where("part = 'train'"), vocabulary, smoothing)
@@ -553,21 +555,22 @@ def single_document(spark, sf):
     return bayes.scores(model, asked, spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"))).select("label", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {I.ROWS}, w AS (SELECT label, term, 0.9375 AS weight FROM tok WHERE seq < 200 UNION ALL SELECT label, term, 1.0 FROM tok WHERE seq >= 200 AND seq < 250)
+@query(f"""WITH {I.ROWS}, last AS (SELECT (count(*) - 1) // 50 * 50 AS fresh FROM numbered),
+w AS (SELECT label, term, CASE WHEN seq < fresh THEN 0.9375 ELSE 1.0 END AS weight FROM tok CROSS JOIN last)
 SELECT label, term, round(sum(weight)::DOUBLE, 6) AS weight FROM w GROUP BY 1, 2""")
 def union_decayed(spark, sf):
-    """Decayed past and fresh rows in one set, as an incremental refit takes them."""
-    rows = I.numbered_tokens(spark, sf)
-    past = rows.where("seq < 200").select("label", "term", N.decay(F.lit(1.0), 0.0625).alias("weight"))
-    fresh = rows.where("seq >= 200 and seq < 250").select("label", "term", F.lit(1.0).alias("weight"))
+    """Decayed past and fresh rows in one set, as an incremental refit takes them: the last batch is fresh, all before it past."""
+    rows = I.tokens(spark, sf)
+    fresh_from = (max(I.numbered(spark, sf).count(), 1) - 1) // 50 * 50
+    past = rows.where(F.col("seq") < fresh_from).select("label", "term", N.decay(F.lit(1.0), 0.0625).alias("weight"))
+    fresh = rows.where(F.col("seq") >= fresh_from).select("label", "term", F.lit(1.0).alias("weight"))
     return past.unionByName(fresh).groupBy("label", "term").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
 # --- policies -----------------------------------------------------------------------------------
 
 
-def _periodic_sql() -> str:
-    p = PERIODIC
+def _periodic_sql(p: config.Periodic = PERIODIC) -> str:
     epoch = f"CASE WHEN seq < {p.first} THEN 0 ELSE 1 + (seq - {p.first}) // {p.every} END"
     return f"""WITH {I.ROWS}, win AS (SELECT 0::BIGINT AS epoch, 0::BIGINT AS low, {p.initial}::BIGINT AS high
   UNION ALL SELECT 1 + i, {p.first} + i * {p.every} - {p.window}, {p.first} + i * {p.every} FROM range(0, 100000) r(i) WHERE {p.first} + i * {p.every} < (SELECT count(*) FROM numbered)),
@@ -583,9 +586,9 @@ pred AS (SELECT doc_id, label AS prediction FROM s QUALIFY row_number() OVER (PA
 j AS (SELECT e.doc_id, e.seq, e.epoch, e.label, prediction, (prediction = e.label)::INT AS ok FROM e JOIN pred USING (doc_id))"""
 
 
-def _periodic(spark, sf):
-    tokens = I.numbered_tokens(spark, sf)
-    return policies.periodic_predictions(tokens, I.numbered(spark, sf), tokens.select("term").distinct(), PERIODIC)
+def _periodic(spark, sf, policy=PERIODIC):
+    tokens = I.tokens(spark, sf)
+    return policies.periodic_predictions(tokens, I.numbered(spark, sf), tokens.select("term").distinct(), policy)
 
 
 @query(f"{_periodic_sql()} SELECT doc_id, seq, epoch, prediction FROM j")
@@ -595,12 +598,13 @@ def bruteforce_epochs(spark, sf):
 
 @query(f"{_periodic_sql()} SELECT count(*) AS n, sum(ok)::BIGINT AS n_correct, avg(ok)::DOUBLE AS accuracy FROM j")
 def bruteforce_accuracy(spark, sf):
-    return evaluate.accuracy(_periodic(spark, sf))
+    return policies.measured(_periodic(spark, sf), PERIODIC)
 
 
-@query(f"{_periodic_sql()} SELECT epoch, count(*) AS n, sum(ok)::BIGINT AS n_correct, avg(ok)::DOUBLE AS accuracy FROM j GROUP BY 1")
+@query(f"{_periodic_sql(RESETTING)} SELECT epoch, count(*) AS n, sum(ok)::BIGINT AS n_correct, avg(ok)::DOUBLE AS accuracy FROM j GROUP BY 1")
 def bruteforce_reset_accuracy(spark, sf):
-    return evaluate.accuracy(_periodic(spark, sf), ("epoch",))
+    """The variant that retrains from the first period on, and counts anew after each retraining."""
+    return policies.measured(_periodic(spark, sf, RESETTING), RESETTING)
 
 
 @query(f"{_periodic_sql()} SELECT seq, round(avg(ok * 100.0) OVER (ORDER BY seq), 6)::DOUBLE AS cumulative_pct FROM j")
@@ -627,22 +631,34 @@ def learning_rate_trace(spark, sf):
 @query(f"""WITH {I.ROWS}, b AS (SELECT label, seq // 50 AS batch, count(*) AS n FROM tok GROUP BY 1, 2), last AS (SELECT max(batch) AS last FROM b)
 SELECT label, round(sum(n * power(0.9375, last - batch)), 6)::DOUBLE AS weight FROM b CROSS JOIN last GROUP BY 1""")
 def decay_weights(spark, sf):
-    counts = I.numbered_tokens(spark, sf).groupBy("label", F.floor(F.col("seq") / 50).alias("batch")).agg(F.count("*").alias("n"))
+    counts = I.tokens(spark, sf).groupBy("label", F.floor(F.col("seq") / 50).alias("batch")).agg(F.count("*").alias("n"))
     last = counts.agg(F.max("batch").alias("last"))
     return counts.crossJoin(F.broadcast(last)).groupBy("label").agg(F.round(F.sum(F.col("n") * F.pow(F.lit(0.9375), F.col("last") - F.col("batch"))), 6).alias("weight"))
 
 
+_RATES = policies.rate_states(INCREMENTAL)
+
+
+@query(f"""WITH {I.ROWS}, u AS (SELECT seq, (seq - {INCREMENTAL.initial}) // {INCREMENTAL.every} AS update FROM numbered WHERE seq >= {INCREMENTAL.initial})
+SELECT seq, update, round({_RATES}[CASE WHEN update < {len(_RATES) - 2} THEN update ELSE {len(_RATES) - 2} + (update - {len(_RATES) - 2}) % 2 END + 1], 9)::DOUBLE AS rate FROM u""")
+def batch_rates(spark, sf):
+    """Each row with the learning rate of its batch, were there no reset."""
+    rows = I.numbered(spark, sf)
+    updates = max(rows.count() - INCREMENTAL.initial, 0) // INCREMENTAL.every + 1
+    return policies.with_rate(rows, policies.rate_series(updates, INCREMENTAL, spark), INCREMENTAL).select("seq", "update", F.round("rate", 9).alias("rate"))
+
+
 @query()
 def incremental_nb(spark, sf):
     """Its learning rate depends on its own accuracy, which SQL can't express; tests hold it against a plain loop."""
-    tokens = I.numbered_tokens(spark, sf)
+    tokens = I.tokens(spark, sf)
     return policies.incremental_predictions(tokens, I.numbered(spark, sf), dictionary.first_seen_ids(tokens), list(I.LANGS), INCREMENTAL)
 
 
 @query()
 def error_triggered_nb(spark, sf):
     """Its retrainings depend on its own accuracy; tests hold it against a plain loop."""
-    tokens = I.numbered_tokens(spark, sf)
+    tokens = I.tokens(spark, sf)
     return policies.error_triggered_predictions(tokens, I.numbered(spark, sf), dictionary.first_seen_ids(tokens), list(I.LANGS), TRIGGERED)
 
 
@@ -677,11 +693,66 @@ def stream_label_term_counts(spark, sf):
     return _drained(spark, jobs.label_term_counts(_stream(spark, sf)), "complete")
 
 
-@query(f"WITH {I.TERMS}, w AS (SELECT (ts_ms - {START_MS}) // 86400000 AS day, unnest(words) AS term FROM termed) SELECT term, day, count(*) AS postings FROM w GROUP BY 1, 2")
+@query(f"WITH {I.TERMS}, w AS (SELECT doc_id, (ts_ms - {START_MS}) // 86400000 AS day, unnest(words) AS term FROM termed) SELECT term, day, count(DISTINCT doc_id) AS df FROM w GROUP BY 1, 2")
 def stream_dictionary(spark, sf):
+    """Document frequencies by term and day, kept as state."""
     return _drained(spark, jobs.term_days(_stream(spark, sf), START_MS), "complete")
 
 
+@query(f"""WITH {I.TERMS}, w AS (SELECT label, ts_ms, unnest(words) AS term FROM termed WHERE (ts_ms // 50000) % 3456 < 1728)
+SELECT label, term, count(*) AS n, min(ts_ms) AS first_ts FROM w GROUP BY 1, 2""")
+def stream_first_seen_counts(spark, sf):
+    return _drained(spark, jobs.first_seen_counts(_stream(spark, sf), 3456, 1728), "complete")
+
+
+@query(f"WITH {I.TERMS}, w AS (SELECT ts_ms, label, unnest(words) AS term FROM termed) SELECT ts_ms, label, term, count(*) AS tf FROM w GROUP BY 1, 2, 3")
+def stream_term_frequencies(spark, sf):
+    return _drained(spark, _stream(spark, sf), "append", jobs.term_frequencies).select("ts_ms", "label", "term", "tf")
+
+
+@query(f"""WITH {I.ROWS}, dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE {_TRAIN} GROUP BY 1),
+tfs AS (SELECT doc_id, ts_ms, label, term, df, count(*) AS tf FROM tok JOIN dfs USING (term) GROUP BY ALL),
+wt AS (SELECT doc_id, ts_ms, label, term, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY doc_id)) * ln((20000 // df)::DOUBLE) AS w FROM tfs),
+c AS (SELECT label, term, sum(w) AS c FROM wt WHERE {_TRAIN} GROUP BY 1, 2), l AS (SELECT label, ln(sum(c) + 0.1) AS base FROM c GROUP BY 1),
+s AS (SELECT doc_id, l.label, sum(w * (ln(coalesce(c.c, 0) + 0.1) - base)) AS score FROM wt CROSS JOIN l LEFT JOIN c ON c.label = l.label AND c.term = wt.term WHERE {_TEST} GROUP BY 1, 2),
+p AS (SELECT n.doc_id, n.label, l.label AS prediction FROM numbered n CROSS JOIN l LEFT JOIN s ON s.doc_id = n.doc_id AND s.label = l.label WHERE {_TEST}
+  QUALIFY row_number() OVER (PARTITION BY n.doc_id ORDER BY round(coalesce(score, 0), 9) DESC, l.label) = 1)
+SELECT doc_id, label, prediction FROM p""")
+def stream_tfidf_nb_predictions(spark, sf):
+    """Naive Bayes on tf-idf: the dictionary and the model are those of the training period, each micro-batch is weighed and scored by them."""
+    train = I.tokens(spark, sf).where(F.col("ts_ms") < DAY4)
+    rows = I.numbered(spark, sf).where(F.col("ts_ms") < DAY4)
+    known = materialize(dictionary.document_frequency(train), "tfidf-dictionary")
+    weighed = dictionary.weighed(train, known).join(rows.select("doc_id", "label"), "doc_id")
+    model = bayes.fit(weighed, rows, known, config.STREAM_RATIO, weight="weight")
+
+    def score(batch):
+        usable = refine.enough_terms(batch, X.terms(F.col("text")), 2)
+        tokens = dictionary.weighed(dictionary.token_table(usable, ("doc_id",)), known)
+        docs = usable.select("doc_id", "label")
+        return evaluate.judged(bayes.predict(bayes.scores(model, tokens, docs, weight="weight")), docs)
+
+    return _drained(spark, _stream(spark, sf).where(F.col("ts_ms") > DAY4), "append", score).select("doc_id", "label", "prediction")
+
+
+@query(f"""WITH {I.ROWS}, h AS {_SIGNED}, hashed AS (SELECT doc_id, ts_ms, label, ((term_hash % 1000) + 1000) % 1000 AS term FROM (SELECT doc_id, seq, label, term FROM tok) JOIN h USING (term) JOIN (SELECT doc_id, ts_ms FROM numbered) USING (doc_id)),
+{I.bayes_sql(_TRAIN, _TEST, tok='hashed')} SELECT doc_id, label, prediction FROM m_pred JOIN numbered USING (doc_id)""")
+def stream_hashed_nb_predictions(spark, sf):
+    """Naive Bayes on terms hashed to 1000 indices: fitted on the training period, each micro-batch is hashed and scored."""
+    bucket = F.pmod(X.java_hash(F.col("term")), F.lit(1000))
+    train = I.tokens(spark, sf).withColumn("term", bucket)
+    rows = I.numbered(spark, sf).where(F.col("ts_ms") < DAY4)
+    model = bayes.fit(train.where(F.col("ts_ms") < DAY4), rows, train.select("term").distinct())
+
+    def score(batch):
+        usable = refine.enough_terms(batch, X.terms(F.col("text")), 2)
+        tokens = dictionary.token_table(usable, ("doc_id",)).withColumn("term", bucket)
+        docs = usable.select("doc_id", "label")
+        return evaluate.judged(bayes.predict(bayes.scores(model, tokens, docs)), docs)
+
+    return _drained(spark, _stream(spark, sf).where(F.col("ts_ms") > DAY4), "append", score).select("doc_id", "label", "prediction")
+
+
 @query(f"WITH {I.ROWS}, {I.bayes_sql(_TRAIN, _TEST, add=0.1, vocabulary=False, prior=None)} SELECT doc_id, label, prediction, prediction = label AS correct FROM m_pred JOIN numbered USING (doc_id)")
 def stream_accuracy(spark, sf):
     """Each micro-batch is scored by the model of the training period."""
@@ -709,3 +780,87 @@ def stream_phase_machine(spark, sf):
     measured = spark.createDataFrame([], "n long, n_correct long, accuracy double, batch_number int").write
     measured.mode("append").parquet(f"{folder}/metrics/batch=-1")
     return spark.read.parquet(f"{folder}/metrics").select("batch", "n", "n_correct", "accuracy")
+
+
+# --- sinks and sources: what is written is read back ------------------------------------------------
+
+
+_PARSED = f"WITH {I.LINES} SELECT TRY_CAST(p[1] AS BIGINT) AS ts_ms, p[2] AS text, p[3] AS label FROM (SELECT {_SPLIT} AS p FROM lines)"
+
+
+def _line_items(spark, sf):
+    return I.docs(spark, sf).select("ts_ms", F.regexp_replace("text", r"[,()\r\n]", " ").alias("text"), "label")
+
+
+@query(_PARSED)
+def text_save_round_trip(spark, sf):
+    path = new_path(spark, "lines")
+    writers.refined_text(_line_items(spark, sf), path)
+    return refine.parse_refined(readers.lines(spark, path))
+
+
+@query(_PARSED)
+def replayed_stream(spark, sf):
+    """Items dropped as files by the paced replayer (here without waiting), read as a stream and parsed."""
+    folder = new_path(spark, "replayed")
+    writers.replay(_line_items(spark, sf), folder, tick_ms=10_000, wait=lambda seconds: None)
+    return _drained(spark, refine.parse_refined(readers.file_lines(spark, folder)), "append").select("ts_ms", "text", "label")
+
+
+@query(f"WITH {I.ROWS}, {_IDS} SELECT term, term_id FROM ids")
+def dictionary_round_trip(spark, sf):
+    path = new_path(spark, "dictionary")
+    writers.dictionary(_dictionary_of(spark, sf), path)
+    return readers.dictionary(spark, path).select("term", F.col("term_id").cast("long").alias("term_id"))
+
+
+@query("""SELECT user_id::VARCHAR AS url, 'news' AS category, max(epoch_us(ts) // 1000) AS last_update FROM events GROUP BY 1""")
+def registry_round_trip(spark, sf):
+    """The registry is written, advanced, and put in its own place."""
+    path = new_path(spark, "registry")
+    items, registry = _feeds(spark, sf)
+    writers.registry(registry.withColumn("category", F.lit("news")), path)
+    writers.registry(refine.advance_watermarks(readers.registry(spark, path), items), path)
+    return readers.registry(spark, path)
+
+
+@query(f"SELECT unnest({I.quoted(STOP_WORDS)}) AS word")
+def stopword_round_trip(spark, sf):
+    path = new_path(spark, "stop-words")
+    writers.stop_words(spark.createDataFrame([(w,) for w in STOP_WORDS], "word string"), path, "2015-01-15")
+    return spark.createDataFrame([(w,) for w in readers.stop_words(spark, path)], "word string")
+
+
+@query("SELECT 'Mon, 12 Jan 2015 21:02:57 GMT, ' || p_name || ', ' || p_type || ', ' || p_brand AS line, 2::BIGINT AS n FROM part")
+def archive_appended_twice(spark, sf):
+    path = new_path(spark, "archive")
+    items = I.table(spark, sf, "part").select(F.lit("Mon, 12 Jan 2015 21:02:57 GMT").alias("pubDate"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"), "p_partkey")
+    for _ in (1, 2):
+        writers.append_archive(items, path)
+    lines = readers.lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("m"))
+    own = items.select(X.item_line(F.col("pubDate"), F.col("title"), F.col("description"), F.col("category")).alias("line"))
+    per_line = own.groupBy("line").agg(F.count("*").alias("c"))
+    return own.join(lines.join(per_line, "line"), "line").select("line", (F.col("m") / F.col("c")).cast("long").alias("n"))
+
+
+@query(f"WITH {I.ROWS} SELECT ts_ms, (seq + 1)::INTEGER AS position, round(100.0 * (seq + 1) / (seq + 2), 6)::DOUBLE AS cumulative_pct, 0.0625::DOUBLE AS learning_rate FROM numbered")
+def series_round_trip(spark, sf):
+    path = new_path(spark, "series")
+    seq = F.col("seq")
+    rows = I.numbered(spark, sf).select("ts_ms", (seq + 1).alias("position"), F.round(100 * (seq + 1) / (seq + 2), 6).alias("cumulative_pct"), F.lit(0.0625).alias("learning_rate"))
+    writers.prediction_series(rows, path)
+    return readers.prediction_series(spark, path)
+
+
+_WORDS = "SELECT {0} AS seq, unnest(a) AS term, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT {0}, list_transform(string_split_regex({1}, '\\s+'), lambda w: regexp_replace(lower(w), '[^0-9A-Za-z]', '', 'g')) AS a FROM {2})"
+
+
+@query(f"""WITH b AS ({_WORDS.format('item_id', 'text', 'benchmark')}), base AS (SELECT term, row_number() OVER (ORDER BY min(seq * 16777216 + pos)) - 1 AS term_id FROM b WHERE pos >= 7 AND term <> '' GROUP BY 1),
+p AS ({_WORDS.format('p_partkey', 'p_name', 'part')}), fresh AS (SELECT term, row_number() OVER (ORDER BY min(seq * 16777216 + pos)) - 1 AS term_id FROM p WHERE term <> '' AND term NOT IN (SELECT term FROM base) GROUP BY 1)
+SELECT term, term_id FROM base UNION ALL SELECT term, term_id + (SELECT coalesce(max(term_id), -1) + 1 FROM base) FROM fresh""")
+def toy_dictionary(spark, sf):
+    """The bag-of-words dictionary: words of lines from the eighth on, grown by the words of further items."""
+    lines = dictionary.words_after(I.table(spark, sf, "benchmark"), "item_id", "text")
+    more = dictionary.words_after(I.table(spark, sf, "part"), "p_partkey", "p_name", 0)
+    base = materialize(dictionary.first_seen_ids(lines, "item_id"), "toy-dictionary")
+    return dictionary.grown(base, more, "p_partkey")

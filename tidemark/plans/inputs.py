@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.config import START_MS, STOP_WORDS
 from tidemark.functions.numeric import utc_clock
 from tidemark.functions.text import terms
-from tidemark.operators.dictionary import token_table
 from tidemark.operators.sequence import number_rows
+from tidemark.storage import materialize, shared_table
 
 LANGS = ("de", "en", "es", "fr")
 SPAN_MS = 21 * 86_400_000
@@ -32,19 +32,28 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", ts.cast("long").alias("ts_ms"), F.col("lang").alias("label"), "text")
 
 
-def numbered(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """doc_id, seq, ts_ms, label of the items with enough terms; texts are not shuffled."""
-    rows = docs(spark, sf_dir).where(F.size(terms(F.col("text"))) >= least).select("doc_id", "ts_ms", "label")
-    return number_rows(rows, "doc_id")
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, ts_ms, label, terms (array) of the items with two terms or more.
 
+    Texts are read and split once: the table is written, and all queries of the application share it.
+    """
 
-def tokens(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """doc_id, ts_ms, label, pos, term."""
-    return token_table(docs(spark, sf_dir), ("doc_id", "ts_ms", "label"), least=least)
+    def make() -> DataFrame:
+        rows = docs(spark, sf_dir).select("doc_id", "ts_ms", "label", terms(F.col("text")).alias("terms")).where(F.size("terms") >= 2)
+        rows = materialize(rows, "items")
+        return rows.join(number_rows(rows.select("doc_id"), "doc_id"), "doc_id").select("doc_id", "seq", "ts_ms", "label", "terms")
 
+    return shared_table(spark, "items-numbered", f"{sf_dir}/documents.parquet", make)
 
-def numbered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).join(numbered(spark, sf_dir).select("doc_id", "seq"), "doc_id")
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, ts_ms, label of the items."""
+    return items(spark, sf_dir).select("doc_id", "seq", "ts_ms", "label")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, ts_ms, label, pos, term: a row for each term of an item."""
+    return items(spark, sf_dir).select("doc_id", "seq", "ts_ms", "label", F.posexplode("terms").alias("pos", "term"))
 
 
 def refined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +65,7 @@ def refined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, value: items as ``weekday, date, title, description, category``; descriptions keep their commas."""
     date = F.date_format(utc_clock(F.col("ts_ms")), "dd MMM yyyy HH:mm:ss")
-    body = F.regexp_replace(F.substring("text", 1, 200), r"[\r\n]", " ")
+    body = F.regexp_replace("text", r"[\r\n]", " ")
     line = F.concat(F.lit("Mon, "), date, F.lit(" GMT, title "), F.col("doc_id").cast("string"), F.lit(", "), body, F.lit(", "), "label")
     return docs(spark, sf_dir).select("doc_id", line.alias("value"))
 
@@ -73,7 +82,7 @@ ROWS = f"""{TERMS}, numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_
 tok AS (SELECT doc_id, seq, ts_ms, label, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS pos FROM numbered)"""
 LINES = f"{DOCS}, lines AS (SELECT doc_id, '(' || ts_ms || ',' || regexp_replace(text, '[,()\\r\\n]', ' ', 'g') || ',' || label || ')' AS value FROM docs)"
 ARCHIVE = f"""{DOCS}, lines AS (SELECT doc_id, 'Mon, ' || strftime(epoch_ms(ts_ms), '%d %b %Y %H:%M:%S') || ' GMT, title ' || doc_id || ', '
- || regexp_replace(left(text, 200), '[\\r\\n]', ' ', 'g') || ', ' || label AS value FROM docs)"""
+ || regexp_replace(text, '[\\r\\n]', ' ', 'g') || ', ' || label AS value FROM docs)"""
 
 
 def bayes_sql(train: str, test: str, rows: str = "numbered", tok: str = "tok", add: float = 1.0, vocabulary: bool = True, prior: str | None = "documents", seen_only: bool = False, prefix: str = "m") -> str:

@@ -34,6 +34,11 @@ def registry(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     return out.withColumn("last_update", F.lit(0).cast("long")) if reset else out
 
 
+def prediction_series(spark: SparkSession, path: str) -> DataFrame:
+    """ts_ms, position, cumulative_pct, learning_rate of tab-separated lines."""
+    return spark.read.csv(path, schema=PREDICTIONS, sep="\t")
+
+
 def stop_words(spark: SparkSession, path: str) -> list[str]:
     """The words of a list, one a line; lines that start with # are comments. A list is small by nature."""
     rows = lines(spark, path).where(~F.startswith("value", F.lit("#"))).select(java_trim(F.lower("value")).alias("word")).where("word <> ''").distinct()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import item_line
+from tidemark.storage import file_system, materialize
 
 
 def refined_text(df: DataFrame, path: str, single: bool = False) -> None:
@@ -26,7 +31,42 @@ def append_archive(items: DataFrame, path: str) -> None:
 
 
 def registry(df: DataFrame, path: str) -> None:
-    df.select("url", "category", "last_update").write.mode("overwrite").option("sep", " ").csv(path)
+    """The new registry is written beside the old one, which it then replaces: readers see one or the other, and ``df`` may read ``path``."""
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.select("url", "category", "last_update").write.option("sep", " ").csv(aside)
+    swap(df.sparkSession, aside, path)
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` in the place of ``path`` by renaming; the old one is deleted last."""
+    fs, at = file_system(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    old = folder(f"{new}-old")
+    replaces = fs.exists(at) and fs.rename(at, old)
+    if not fs.rename(folder(new), at):
+        raise OSError(f"{new} could not be renamed to {path}")
+    if replaces:
+        fs.delete(old, True)
+
+
+def replay(items: DataFrame, folder: str, scale: int = 50_000, tick_ms: int = 1000, wait: Callable[[float], None] = time.sleep) -> int:
+    """Append items as text lines to a folder, paced as event time divided by ``scale``; returns the ticks.
+
+    Rows (ts_ms, text, label) of one tick of ``tick_ms`` are written together, as files that a stream of the folder
+    picks up. A tick without rows is waited for and writes nothing. The pace is the driver's; the rows stay with the executors.
+    """
+    first = items.agg(F.min("ts_ms").alias("ts")).first()["ts"]
+    if first is None:
+        return 0
+    tick = F.floor((F.col("ts_ms") - first) / (scale * tick_ms)).cast("long")
+    line = F.concat(F.lit("("), F.concat_ws(",", F.col("ts_ms").cast("string"), "text", "label"), F.lit(")"))
+    rows = materialize(items.select(tick.alias("tick"), "ts_ms", line.alias("value")), "replay")
+    at = 0
+    for row in rows.select("tick").distinct().orderBy("tick").toLocalIterator():
+        wait((row["tick"] - at) * tick_ms / 1000)
+        at = row["tick"]
+        rows.where(F.col("tick") == at).orderBy("ts_ms").select("value").write.mode("append").text(folder)
+    return at + 1
 
 
 def dictionary(df: DataFrame, path: str) -> None:

@@ -7,16 +7,16 @@ that carry the batch's number, so a replayed batch overwrites its own rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import STREAM_RATIO, Smoothing
 from tidemark.functions.numeric import phase_divided
 from tidemark.functions.text import tokens as text_tokens
-from tidemark.operators import bayes, evaluate
+from tidemark.operators import bayes, dictionary, evaluate
 
 
 def exploded(stream: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -31,26 +31,23 @@ def label_term_counts(stream: DataFrame, interval: int | None = None, training:
 
 
 def first_seen_counts(stream: DataFrame, interval: int, training: int) -> DataFrame:
-    """label, term, n, first_ts: counts and the time of the first insertion, kept in the operator's own state."""
+    """label, term, n, first_ts over the stream: counts and the time of the first row, of the training part of each cycle.
+
+    Both are plain aggregates, so the state stays in Spark's own store.
+    """
     rows = exploded(stream.where(phase_divided(F.col("ts_ms"), interval, training)), ("label", "ts_ms"))
+    return rows.groupBy("label", "term").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts"))
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, first = state.get if state.exists else (0, None)
-        for frame in frames:
-            n += len(frame)
-            least = int(frame["ts_ms"].min())
-            first = least if first is None else min(first, least)
-        state.update((n, first))
-        yield pd.DataFrame({"label": [key[0]], "term": [key[1]], "n": [n], "first_ts": [first]})
 
-    grouped = rows.groupBy("label", "term")
-    return grouped.applyInPandasWithState(update, "label string, term string, n long, first_ts long", "n long, first_ts long", "update", "NoTimeout")
+def term_days(stream: DataFrame, start_ms: int) -> DataFrame:
+    """term, day, df over the stream: the documents of each day that have the term."""
+    rows = stream.select(F.floor((F.col("ts_ms") - start_ms) / 86_400_000).alias("day"), F.explode(F.array_distinct(text_tokens(F.col("text")))).alias("term"))
+    return rows.groupBy("term", "day").agg(F.count("*").alias("df"))
 
 
-def term_days(stream: DataFrame, start_ms: int) -> DataFrame:
-    """term, day, postings over the stream."""
-    day = F.floor((F.col("ts_ms") - start_ms) / 86_400_000)
-    return exploded(stream.withColumn("day", day), ("day",)).groupBy("term", "day").agg(F.count("*").alias("postings"))
+def term_frequencies(batch: DataFrame) -> DataFrame:
+    """ts_ms, label, term, tf of one micro-batch; nothing is carried over."""
+    return exploded(batch, ("ts_ms", "label")).groupBy("ts_ms", "label", "term").agg(F.count("*").alias("tf"))
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
@@ -66,47 +63,86 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     return query
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """doc_id, term, weight: each term as often as it occurs."""
+    return exploded(rows, ("doc_id",)).withColumn("weight", F.lit(1.0))
+
+
 class PhaseMachine:
     """Train and predict in turns of scaled event time.
 
     A batch belongs to the phase of its first row. Training batches are appended to a table
-    under their number; the first predicting batch after them fits the model; a batch that
-    crosses back into training is still predicted.
+    under their number; the first predicting batch after them fits the model, which is written once and
+    read by all later batches; a batch that crosses back into training is still predicted.
+    ``tf_idf``: terms count by their augmented tf-idf, with the document frequencies of the training rows.
+
+    What a batch leaves (phase, model's folder) is a row written under its number. A batch
+    starts from the row of the batch before it, so a restarted query goes on where it was, and a
+    replayed batch comes to the same result.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, interval: int, training: int, smoothing: Smoothing = STREAM_RATIO):
-        self.spark, self.folder, self.interval, self.training, self.smoothing = spark, folder, interval, training, smoothing
-        self.state, self.model, self.rows = "train", None, False
+    def __init__(self, spark: SparkSession, folder: str, interval: int, training: int, smoothing: Smoothing = STREAM_RATIO, tf_idf: bool = False):
+        self.spark, self.folder, self.interval, self.training, self.smoothing, self.tf_idf = spark, folder, interval, training, smoothing, tf_idf
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
 
-    def _fit(self) -> None:
-        rows = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
-        tokens = exploded(rows, ("label",))
-        self.model = bayes.fit(tokens, rows.select("label"), tokens.select("term").distinct(), self.smoothing)
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}")
+
+    def _before(self, number: int) -> tuple[str, int | None, bool]:
+        """(state, number of the batch whose model holds, whether there are training rows) after the batch before."""
+        try:
+            rows = self._read("state")
+        except AnalysisException:  # the first batch
+            return "train", None, False
+        row = rows.where(F.col("batch") < number).orderBy(F.desc("batch")).first()
+        return (row.state, row.model, row.has_rows) if row else ("train", None, False)
+
+    def _after(self, number: int, state: str, model: int | None, has_rows: bool) -> None:
+        self._write(self.spark.createDataFrame([(state, model, has_rows)], "state string, model int, has_rows boolean"), "state", number)
+
+    def _weighed(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        return dictionary.weighed(exploded(rows, ("doc_id",)), known) if known is not None else counted(rows)
+
+    def _fit(self, number: int) -> None:
+        rows = self._read("rows").where(F.col("batch") < number)
+        known = None
+        if self.tf_idf:
+            self._write(dictionary.document_frequency(exploded(rows, ("doc_id",))), "dictionary", number)
+            known = self.spark.read.parquet(f"{self.folder}/dictionary/batch={number}")
+        tokens = self._weighed(rows, known).join(rows.select("doc_id", "label"), "doc_id")
+        model = bayes.fit(tokens, rows.select("label"), tokens.select("term").distinct(), self.smoothing, weight="weight")
+        self._write(model.labels, "labels", number)
+        self._write(model.conditionals, "conditionals", number)
+
+    def _model(self, number: int) -> tuple[bayes.Model, DataFrame | None]:
+        labels, conditionals = (self.spark.read.parquet(f"{self.folder}/{x}/batch={number}") for x in ("labels", "conditionals"))
+        known = self.spark.read.parquet(f"{self.folder}/dictionary/batch={number}") if self.tf_idf else None
+        return bayes.Model(labels, conditionals, (), self.smoothing), known
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
+            state, model, has_rows = self._before(number)
             first = batch.agg(F.min("ts_ms").alias("ts")).first()["ts"]
             if first is None:
                 return
             training = (first // 50_000) % self.interval < self.training
-            if training and self.state == "train":
+            if training and state == "train":
                 self._write(batch.select("doc_id", "ts_ms", "label", "text"), "rows", number)
-                self.rows = True
+                self._after(number, state, model, True)
                 return
-            if self.state == "train" and self.rows:
-                self._fit()
-                self.state = "predict"
-            if self.model is not None:
+            if state == "train" and has_rows:
+                self._fit(number)
+                state, model = "predict", number
+            if model is not None:
                 docs = batch.select("doc_id", "label")
-                got = bayes.predict(bayes.scores(self.model, exploded(batch, ("doc_id",)), docs))
-                judged = evaluate.judged(got, docs)
-                self._write(judged, "predictions", number)
+                own, known = self._model(model)
+                got = bayes.predict(bayes.scores(own, self._weighed(batch, known), docs, weight="weight"))
+                self._write(evaluate.judged(got, docs), "predictions", number)
+                judged = self.spark.read.parquet(f"{self.folder}/predictions/batch={number}")
                 self._write(evaluate.accuracy(judged).withColumn("batch_number", F.lit(number)), "metrics", number)
-            if training:
-                self.state = "train"
+            self._after(number, "train" if training else state, model, has_rows)
         finally:
             batch.unpersist()
