@@ -70,7 +70,7 @@ def shared_table(spark: SparkSession, name: str, source: str, make: Callable[[],
             return spark.read.schema(schema).parquet(path)
     df = make()
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     _kept[key] = (path, df.schema)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,5 +78,5 @@ def shared_table(spark: SparkSession, name: str, source: str, make: Callable[[],
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
