@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm.common import connected_components
+from tidemark.llm.common import connected_components, marked, split_join
 from tidemark.llm.minhash_dedup import intersections, near_duplicates
 from tidemark.llm.substring_dedup import FingerprintLog, cut_spans, substring_dedup, versioned
 from tidemark.llm.superminhash import signatures
@@ -79,6 +79,53 @@ def test_substring_dedup_cuts_every_place_of_a_block_in_its_first_document(spark
         assert got == sorted(want)
 
 
+def thue_morse(a: str, b: str, doublings: int) -> tuple[list[str], list[str]]:
+    """A sequence and its complement, which collide in any polynomial hash modulo a power of two."""
+    one, two = [a], [b]
+    for _ in range(doublings):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_repeating_patterns_do_not_collide(spark):
+    """Words of 1024 letters, and 1024 words, that polynomials modulo 2**64 can't tell apart."""
+    (a, b), rest = ("".join(x) for x in thue_morse("a", "b", 10)), " ".join(f"r{k}" for k in range(49))
+    x, y = (" ".join(t) for t in thue_morse("tick", "tock", 10))
+    docs = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, x), (4, y), (5, a), (6, b)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in substring_dedup(df, batches=1).withColumn("sha", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()}
+    assert got == brute.substring_dedup(docs, 50) and got[2][1] == 0
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert groups == brute.near_duplicates(docs) and groups[6] == (1, 6)
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes is one row like any other."""
+    rng = random.Random(9)
+    long = " ".join(f"n{rng.randrange(10**7)}" for _ in range(150_000))
+    passage = " ".join(long.split()[70_000:70_120])
+    docs = [(1, "short one"), (2, long), (3, f"before {passage} after"), (4, long + " end"), (5, "q" * 2_000_000)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df).collect()}
+    assert got == {i: x[:2] for i, x in brute.substring_dedup(docs, 50).items()} and got[3] == (122, 120)
+    roots = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert roots[4][1] == 2 and roots[2][0] == 149_996 and roots[5] == (1, 5)
+
+
+def test_presence_maps_and_split_joins(spark):
+    """Rows without a partner are told apart by the map; joins are those of Spark, however full the map is."""
+    big = spark.createDataFrame([(i % 300 if i % 7 else None, i) for i in range(600)], "k long, v long")
+    small = spark.createDataFrame([(i, f"x{i}") for i in range(0, 300, 3)], "k long, w string")
+    for bits in (64, 1 << 20):
+        rows = marked(big, small, ["k"], bits=bits).collect()
+        assert all(r._maybe for r in rows if r.k is not None and r.k % 3 == 0) and len(rows) == 600
+    assert sum(r._maybe for r in rows) < 250
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = split_join(big, small, ["k"], how), big.join(small, "k", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert split_join(big, small.limit(0), ["k"], how).count() == big.join(small.limit(0), "k", how).count()
+
+
 def test_substring_dedup_edge_cases(spark):
     text = " ".join(f"b{k}" for k in range(60))
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0

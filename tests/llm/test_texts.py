@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.oracle import differences, tables
-from tidemark.llm import chat, html_text, mixing, queries, toxicity, urls
+from tidemark.llm import chat, html_text, mixing, queries, tokens, toxicity, urls
 from tidemark.llm.packing import Bins, cuts, pack
 from tidemark.llm.tokens import Encoder
 
@@ -54,6 +54,15 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_the_last_open_document_is_a_small_one(spark):
+    rng = random.Random(8)
+    rows = [(i, "a" if i % 2 else "b", " ".join(["w"] * rng.choice([3, 3, 400, 3000]))) for i in range(1200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for s in "ab":
+        own = [r for r in got if (r.doc_id % 2 == 1) == (s == "a")]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 400
+
+
 def test_pivots_keep_expectations():
     ids, mass, share = list(range(50)), [float(1 + k % 9) for k in range(50)], [0.3] * 50
     runs = np.array([mixing.pivot([i + 1000 * r for i in ids], mass, share, 0, True) for r in range(600)])
@@ -98,6 +107,57 @@ def test_cuts():
     assert cuts(19, 8) == [(0, 3), (3, 8), (11, 8)] and cuts(16, 8) == [(0, 8), (8, 8)]
 
 
+def test_pieces_that_share_a_hash_keep_their_ids(monkeypatch):
+    """Were all pieces of one hash, each text would still get its own ids."""
+    monkeypatch.setattr(tokens, "piece_hashes", lambda points, starts: np.diff(np.append(starts, len(points))).astype(np.uint64) % np.uint64(2))
+    texts = ["one two three", "six ten", None, "", "a", "two one"]
+    got = Encoder(*FILES).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [e.ids for e in tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_repeating_patterns_and_very_long_texts_keep_their_ids():
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [a, b, " ".join(f"word{k}" for k in range(300_000)), "é" * 100_000]
+    got = Encoder(*FILES).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bins_are_best_fits():
+    """Against a plain list of open bins: the fullest that fits takes a piece, the fullest closes when all are open."""
+    rng = random.Random(3)
+    for most in (1, 3, 50):
+        bins, opened, made = Bins(32, most), {}, 0
+        for _ in range(400):
+            n = rng.randint(1, 32)
+            fits = [f for f in opened.values() if f >= n]
+            sequence, offset = bins.place(n)
+            if fits:
+                assert opened[sequence] == min(fits) and offset == 32 - opened[sequence]
+            else:
+                assert (sequence, offset) == (made, 0)
+                made += 1
+                if len(opened) >= most and n < 32:
+                    closed = min(opened.values())
+                    gone = [s for s, f in opened.items() if f == closed and s not in {x for v in bins.free.values() for x in v}]
+                    assert len(gone) == 1
+                    del opened[gone[0]]
+                opened[sequence] = 32
+            opened[sequence] -= n
+            if not opened[sequence]:
+                del opened[sequence]
+            assert len(opened) == bins.count
+
+
+def test_packing_edge_cases(spark):
+    assert pack(spark.createDataFrame([], "doc_id long, text string"), *FILES).count() == 0
+    rows = [(1, "same text"), (1, "same text"), (None, "same text"), (2, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("piece", F.lit("x")), *FILES).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"] and len({r.sequence_id for r in got}) == 1
+    assert len({r.offset for r in got}) == 4 and sorted(r.length for r in got) == [1, 3, 3, 3]
+
+
 def test_packing_round_trip(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.unionAll(spark.createDataFrame([(-1, None), (-2, ""), (None, "x")], "doc_id long, text string")).withColumn("length", F.lit(1))
@@ -162,6 +222,36 @@ def test_pairs_are_learned():
     assert np.abs(model.factors).max() > 0.1
 
 
+def test_scores_are_sums_over_pairs():
+    """Against w0 + sum of weights + sum over all pairs of distinct known terms of the products of their factors."""
+    texts, toxic = labelled(300, 4)
+    model = toxicity.fit(texts, toxic, steps=40)
+    assert len(model.hashes) >= 3
+    for text, score in zip(texts.slice(0, 60), model.scores(texts.slice(0, 60)), strict=True):
+        found = sorted({int(h) for h in toxicity.terms(pa.array([text.as_py()]))[0]} & set(model.hashes.tolist()))
+        at = [model.hashes.tolist().index(h) for h in found]
+        margin = model.w0 + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_gradient_steps_lower_the_loss():
+    texts, toxic = labelled(400, 6)
+
+    def loss(model):
+        p = np.clip(model.scores(texts), 1e-12, 1 - 1e-12)
+        return -np.mean(np.where(toxic == 1, np.log(p), np.log(1 - p)))
+
+    losses = [loss(toxicity.fit(texts, toxic, steps=n)) for n in (0, 5, 200)]
+    assert losses[0] > losses[1] > losses[2]
+
+
+def test_a_very_long_text_is_scored_whole():
+    model = toxicity.fit(*labelled(1500, 1))
+    clean = " ".join(f"word{k % 300}" for k in range(200_000))
+    low, high = model.scores(pa.array([clean, clean + " vilest"]))
+    assert low < 0.5 < high
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "x"), (2, None)], "doc_id long, text string").withColumn("score", F.lit("s"))
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -183,6 +273,9 @@ def test_template_reads_back(spark):
     rows += [(90, 0, "user", "tie"), (90, 0, "assistant", "tie"), (90, None, "user", "first"), (None, 1, "assistant", "z" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("at", F.lit(2))
     out = chat.format_turns(chat.canonical_turns(df)).select("conv_id", "formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    ties = spark.createDataFrame([(1, 0, "user", x) for x in ("#", "z", "<", "\\", "A", "[")], "conv_id long, turn long, role string, text string")
+    tied = chat.format_turns(chat.canonical_turns(ties)).select(chat.read_turns(F.col("formatted")).alias("turns")).first().turns
+    assert [t.text for t in tied] == sorted("#z<\\A[")
     want: dict = {}
     for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -218,6 +311,7 @@ def test_layouts_are_told_by_their_fingerprints(spark):
     }
     table = spark.createDataFrame([(1, "i", "o", "extra")], "conv_id long, instruction string, output string, lang string")
     assert [(r.role, r.text) for r in chat.canonical_turns(table).orderBy("turn").collect()] == [("user", "i"), ("assistant", "o")]
+    assert chat.layout_of(table.schema).fingerprint == hashlib.sha256(b"instruction\x1foutput").hexdigest()
     nested = spark.createDataFrame([(1, [("human", "h")])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert [(r.role, r.text) for r in chat.canonical_turns(nested).collect()] == [("user", "h")]
     with pytest.raises(ValueError):
@@ -268,6 +362,11 @@ def test_url_decisions_follow_aliases(spark):
         (11, "bad.com", "/z", "bad.com/", "block"),
         (12, "plain.com", "/", None, "allow"),
     ]
+    shared = [(1, "http://s.org/view?id=1", link.format("http://bad.com/x")), (2, "http://s.org/view?id=2", ""), (3, "http://s.org/view?id=1#part", ""), (4, "http://t.org?q", link.format("http://bad.com?z")), (5, "http://t.org", "")]
+    ids = {r.page_id: (r.path, r.verdict) for r in urls.filter_urls(spark.createDataFrame(shared, "page_id long, url string, html string"), RULES).collect()}
+    assert ids == {1: ("/view", "block"), 2: ("/view", "allow"), 3: ("/view", "block"), 4: ("", "allow"), 5: ("", "allow")}
+    long = [(1, "http://one.org/" + "a" * 100_000, link.format("http://bad.com/" + "b" * 100_000)), (2, "://?", ""), (3, "x://#://", "")]
+    assert [r.verdict for r in urls.filter_urls(spark.createDataFrame(long, "page_id long, url string, html string"), RULES).orderBy("page_id").collect()] == ["block", "allow", "allow"]
     more = spark.createDataFrame([("http://plain.com/", "http://bad.com/q")], "url string, target string")
     assert {r.page_id: r.verdict for r in urls.filter_urls(df, RULES, more).collect()}[12] == "block"
     assert urls.filter_urls(df.limit(0), RULES).count() == 0

@@ -1,9 +1,8 @@
 """Chat formatting: layouts told by a fingerprint of their nested field paths, canonical turns, one template.
 
-A layout is a set of field paths, such as ``messages.role``. Its sorted paths select a
+A layout is a set of field paths, such as ``messages.role``. The hash of its sorted paths selects a
 declarative mapping to canonical turns (conversation, position, role, text): for a table
-the paths of its schema are compared as they are, for JSON records row by row by their
-hash. Everything is built from DataFrame functions.
+the hash of its schema's paths, for JSON records row by row that of their own. Everything is built from DataFrame functions.
 
 The template writes a turn as ``### <role>: <text></turn>\\n``. Inside roles and texts
 the characters ``\\``, ``<``, ``#`` and ``:`` (in roles) become ``\\b``, ``\\l``, ``\\h`` and ``\\c``,
@@ -12,6 +11,8 @@ so no control string can occur there, and four replacements read them back.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +25,15 @@ ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
 TRAINED = "assistant"
 
 
+#: Between the paths of a fingerprint; no field name holds it.
+BETWEEN_PATHS = "\x1f"
+
+
+def fingerprint_of(paths: Iterable[str]) -> str:
+    """SHA-256 of sorted field paths."""
+    return hashlib.sha256(BETWEEN_PATHS.join(sorted(paths)).encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Layout:
     """paths: the fields that make the layout; turns: (role, path) or (role path, text path) pairs by kind."""
@@ -35,7 +45,7 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return ",".join(sorted(self.paths))
+        return fingerprint_of(self.paths)
 
 
 LAYOUTS = (
@@ -55,8 +65,8 @@ TURN = "array<struct<role:string,text:string>>"
 
 
 def fingerprint(paths: Column) -> Column:
-    """Hash of an array of field paths, whatever their order."""
-    return F.xxhash64(F.array_join(F.array_sort(paths), ","))
+    """The same of a column of arrays of field paths."""
+    return F.sha2(F.array_join(F.array_sort(paths), BETWEEN_PATHS).cast("binary"), 256)
 
 
 def schema_paths(schema: T.StructType) -> set[str]:
@@ -79,7 +89,9 @@ def schema_paths(schema: T.StructType) -> set[str]:
 def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
     """The layout with the most paths whose fingerprint is that of the schema's paths which it knows; further fields don't matter."""
     have = schema_paths(schema)
-    fits = [x for x in layouts if ",".join(sorted(have & set(x.paths))) == x.fingerprint]
+    by_print = {x.fingerprint: x for x in layouts}
+    prints = {fingerprint_of(have & set(x.paths)) for x in layouts}
+    fits = [by_print[x] for x in prints & by_print.keys()]
     if not fits:
         raise ValueError(f"no layout for the fields {sorted(have)}")
     return max(fits, key=lambda x: len(x.paths))
@@ -155,7 +167,7 @@ def json_turns(df: DataFrame, record_col: str = "record", id_col: str = "conv_id
         else:
             got = F.from_json("record", ", ".join(f"`{p}` string" for p in layout.paths))
         own = record_turns(layout, lambda p, got=got: got[p])
-        turns = F.when(F.col("print") == fingerprint(F.array(*[F.lit(p) for p in layout.paths])), own).otherwise(turns)
+        turns = F.when(F.col("print") == layout.fingerprint, own).otherwise(turns)
     out = rows.select("conv_id", F.posexplode(turns).alias("turn", "at"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "at.role", "at.text")
 
@@ -178,7 +190,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     head = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(BETWEEN))
     rows = turns.select("conv_id", "turn", "role", head.alias("head"), escape(F.col("text")).alias("body"))
     rows = rows.withColumn("length", F.length("head") + F.length("body") + len(TAIL))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", unescape(F.col("body")))
     rows = rows.withColumn("at", F.row_number().over(order)).withColumn("end", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("end") - F.col("length") + F.length("head") + 1
     span = F.when(F.col("role") == TRAINED, F.struct(start.alias("start"), F.length("body").cast("long").alias("length")))

@@ -4,7 +4,8 @@ A document of a source with target t and size s is worth t / s copies. The whole
 is certain; the fraction is rounded by pivots: two documents exchange mass (words) in
 a random direction, with probabilities that keep both expectations, until one
 fraction is 0 or 1; the other meets the next document. Mass is kept in every exchange,
-so a source's words miss its target by less than one document.
+so a source's words miss its target by less than one document. Documents meet by falling
+size, so that what stays open to the end is a small one.
 
 Each bucket of a source is rounded in its own task and leaves at most one open
 document; the open ones meet in a reduction tree of ``FAN`` children a node. All
@@ -104,7 +105,7 @@ def pivot(ids: list[int], mass: list[float], share: list[float], level: int, las
 
 def _round(level: int):
     def node(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
         ids = [x or 0 for x in table["doc_id"].to_pylist()]
         last = table["parts"][0].as_py() <= 1
         share = pivot(ids, table["size"].to_pylist(), table["share"].to_pylist(), level, last)
