@@ -9,13 +9,13 @@ from tidemark.storage import materialize
 
 __all__ = ["connected_components", "marked", "materialize", "small_batches", "split_join"]
 
-#: Bits of a presence map: 8 MB at any size of the input, so it may be broadcast.
-MAP_BITS = 1 << 26
+#: Bits of a presence map: at most 2**18 rows of two longs at any size of the input, so it may be broadcast.
+MAP_BITS = 1 << 24
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands texts to Python in Arrow batches of at most 8 MB, unless it has a size of its own.
+    """``df``, whose session from now on hands texts to Python in Arrow batches of at most 4 MB, unless it has a size of its own.
 
     A batch exists several times at once (in the JVM, in transit, in the worker with its
     results), so at the default of 64 MB it is the largest part of a worker's memory. The
@@ -23,7 +23,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     if conf.get(_BYTES_PER_BATCH).lower() in ("64mb", "64m", "67108864", "67108864b"):
-        conf.set(_BYTES_PER_BATCH, "8m")
+        conf.set(_BYTES_PER_BATCH, "4m")
     return df
 
 
@@ -33,14 +33,12 @@ def marked(df: DataFrame, keys: DataFrame, on: list[str], name: str = "_maybe",
     A map with one bit for each hash is built from ``keys``; its size is ``bits``, whatever the
     tables' sizes. The fuller it gets, the more rows are true without being there.
     """
-    spot = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
-    own = keys.select(spot.alias("_spot")).select(F.bitmap_bucket_number("_spot").alias("_bucket"), F.bitmap_bit_position("_spot").alias("_bit"))
-    # At most bits / 32768 rows of 4096 bytes.
-    maps = own.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    rows = df.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot")).withColumn("_bit", F.bitmap_bit_position("_spot"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8) + 1, F.lit(1))), 16, 10).cast("int")
-    here = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0, F.lit(False))
-    return rows.join(F.broadcast(maps), "_bucket", "left").select(*df.columns, here.alias(name))
+    spot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    own = keys.select(F.shiftright(spot, 6).alias("_word"), F.pmod(spot, F.lit(64)).cast("int").alias("_bit"))
+    words = own.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    rows = df.select("*", F.shiftright(spot, 6).alias("_word"), F.pmod(spot, F.lit(64)).cast("int").alias("_bit"))
+    here = F.coalesce(F.expr("shiftright(_bits, _bit) & 1 = 1"), F.lit(False))
+    return rows.join(F.broadcast(words), "_word", "left").select(*[F.col(c) for c in df.columns], here.alias(name))
 
 
 def split_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -167,7 +167,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     keys = classes.select("class_id", F.explode("bands").alias("key"))
     keys = materialize(keys, "minhash-keys")
     least = materialize(keys.groupBy("key").agg(F.min("class_id").alias("b"), F.max("class_id").alias("most")).where("b < most").select("key", "b"), "minhash-buckets")
-    chains = keys.join(least, "key").where("class_id > b").select(F.col("class_id").alias("a"), "b").distinct()
+    chains = split_join(keys, least, ["key"], "inner").where("class_id > b").select(F.col("class_id").alias("a"), "b").distinct()
     groups = connected_components(chains, "minhash-groups")
     sized = groups.join(classes.select(F.col("class_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
     sized = materialize(sized.select(F.col("root").alias("grp"), F.col("node").alias("doc_id"), "n"), "minhash-grouped")

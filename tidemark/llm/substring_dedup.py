@@ -177,7 +177,7 @@ class FingerprintLog:
 
         repeated = first.where("old or doc_id < last").select("d1", "d2", F.when(~F.col("old"), F.col("doc_id")).alias("holder"))
         repeated = materialize(repeated, "substring-repeated")
-        whole = blocks.join(repeated, ["d1", "d2"]).where("holder is null or holder < doc_id")
+        whole = split_join(blocks, repeated, ["d1", "d2"], "inner").where("holder is null or holder < doc_id")
         spans = whole.select("doc_id", "version", "start", (F.col("start") + F.col("n_windows") + (self.window - 1)).alias("stop"))
 
         run = first.where("not old").select("d1", "d2", "anchor", "doc_id", "version", "start", "n_windows")
@@ -203,12 +203,12 @@ class FingerprintLog:
         mixed = materialize(mixed, "substring-mixed")
         if not mixed.limit(1).count():
             return None
-        listed = run.withColumn("old", F.lit(False)).join(mixed, "anchor", "left_semi").select("doc_id", "version", "old", "start", "n_windows")
-        again = again.join(mixed, "anchor", "left_semi").select("d1", "d2", "holder")
-        places = blocks.join(again, ["d1", "d2"]).where("doc_id = holder")
+        listed = split_join(run.withColumn("old", F.lit(False)), mixed, ["anchor"], "left_semi").select("doc_id", "version", "old", "start", "n_windows")
+        again = materialize(split_join(again, mixed, ["anchor"], "left_semi").select("d1", "d2", "holder"), "substring-again")
+        places = split_join(blocks, again, ["d1", "d2"], "inner").where("doc_id = holder")
         listed = listed.unionByName(places.select("doc_id", "version", F.lit(False).alias("old"), "start", "n_windows"))
         if history is not None:
-            known = history.withColumn("old", F.lit(True)).join(mixed, "anchor", "left_semi")
+            known = split_join(history.withColumn("old", F.lit(True)), mixed, ["anchor"], "left_semi")
             listed = listed.unionByName(known.select("doc_id", "version", "old", "start", "n_windows"))
         # A set: the first place of a block in ``again`` is listed twice, and so is a text that a doc_id repeats.
         keys = ["doc_id", "version", "old"]
@@ -223,7 +223,7 @@ class FingerprintLog:
         found = found.withColumn("rank", order)
         least = found.groupBy("w1", "w2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most").select("w1", "w2", "least")
         least = materialize(least, "substring-least")
-        return found.join(least, ["w1", "w2"]).where("not old and rank > least").select("doc_id", "version", "start")
+        return split_join(found, least, ["w1", "w2"], "inner").where("not old and rank > least").select("doc_id", "version", "start")
 
 
 def cut_spans(batch: DataFrame, spans: DataFrame, as_is: bool = False) -> DataFrame:

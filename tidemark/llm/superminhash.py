@@ -16,7 +16,7 @@ import numpy as np
 from tidemark.llm.words import mix
 
 #: Elements whose permutations are held at once.
-ELEMENTS = 50_000
+ELEMENTS = 20_000
 
 
 def _rank(elements: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:

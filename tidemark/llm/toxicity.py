@@ -33,7 +33,7 @@ FACTORS = 8
 #: Likelihood-ratio statistic that a term needs: about p = 1e-6 for one degree of freedom.
 EVIDENCE = 24.0
 COUNTERS = 1 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _COUNTER = np.uint64(64 - 20)
 
 
