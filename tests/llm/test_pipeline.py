@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
 
 
@@ -55,3 +57,29 @@ def test_near_copies_at_a_similarity_of_080_go(spark, sf_dir):
     found = brute.near_duplicates(docs, 80)
     assert sorted(tuple(r) for r in out.collect()) == [r for r in rows if found[r[0]][1] == r[0]]
     assert found != brute.near_duplicates(docs, 85)
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty texts, repeated rows and ids, clashing further columns, and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    text = " ".join(f"p{k}" for k in range(70))
+    rest = " ".join(f"t{k}" for k in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, text, "en", "a", 300), (1, text, "en", "a", 300), (2, f"new start {text} {rest}", None, None, None), (3, None, "en", "a", 0), (4, "", "en", None, 0), (None, text, "en", "a", 5), (None, None, None, None, None), (6, "w", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, schema).withColumn("spans", F.lit("x")).withColumn("start", F.lit(1)).withColumn("size", F.lit(2)).withColumn("score", F.lit(3))
+    stages = dict(pipeline.STAGES)
+
+    def out(name):
+        return sorted((tuple(r) for r in stages[name](spark, docs, sf_dir).collect()), key=str)
+
+    assert out("toxicity") == sorted(rows, key=str)
+    assert out("minhash_near_dedup") == sorted(rows, key=str)
+    cut = out("substring_dedup")
+    assert cut == sorted([*rows[:2], (2, f"new start {rest}", None, None, len(f"new start {rest}")), *rows[3:]], key=str)
+    mixed = out("mixing")
+    assert {r[0] for r in mixed} <= {1, 2, None, 6} and set(mixed) <= set(rows)
+    packed = stages["packing"](spark, docs, sf_dir).collect()
+    assert len(packed) == len(rows) and sum(r.length == 1 for r in packed) == 3
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize
 
 __all__ = ["connected_components", "marked", "materialize", "small_batches", "split_join"]
 
@@ -64,7 +64,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     their ends by doubling, and contracts the edges onto those ends. At least half of
     the nodes of every unfinished component vanish in a round, so the number of rounds
     is logarithmic. All steps are aggregations and joins on written tables: a hub with
-    very many edges is pre-aggregated, and both join sides stay splittable.
+    very many edges is pre-aggregated, and both join sides stay splittable. A round's tables
+    are deleted when the next one's are written.
     """
     kind = edges.schema["a"].dataType.simpleString()
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
@@ -73,19 +74,22 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while pairs.count():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pointer = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
-        pointer = materialize(pointer, f"{name}-pointer")
+        pointer = held = materialize(pointer, f"{name}-pointer")
         while True:
             up = pointer.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = pointer.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
             jumped = materialize(jumped, f"{name}-jump")
-            pointer = jumped.select("node", "root")
+            discard(held)
+            pointer, held = jumped.select("node", "root"), jumped
             if not jumped.where("moved").limit(1).count():
                 break
         maps.append(pointer)
         left = pairs.join(pointer.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         left = left.join(pointer.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
         left = left.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = materialize(left, f"{name}-edges")
+        before, pairs = pairs, materialize(left, f"{name}-edges")
+        discard(before)
+    discard(pairs)
     if not maps:
         return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     out = maps[0]

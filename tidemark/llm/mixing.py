@@ -126,7 +126,7 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     targets = materialize(source_targets(docs, weights, most), "mixing-targets")
     rows = docs.select("doc_id", _key(F.col("source")).alias("skey"), "size").join(targets, "skey")
     copies = F.least(F.lit(float(most)), F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    rows = rows.withColumn("whole", F.floor(copies)).withColumn("share", F.when(F.col("size") > 0, copies - F.floor(copies)).otherwise(0.0))
+    rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor(copies)).otherwise(0)).withColumn("share", F.when(F.col("size") > 0, copies - F.floor(copies)).otherwise(0.0))
     parts = F.greatest(F.ceil(F.col("n_docs") / BUCKET_ROWS), F.lit(1)).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.col("parts")).cast("int"))
     columns = ["doc_id", "skey", "size", "source_size", "target", "whole", "share", "parts", "part"]
