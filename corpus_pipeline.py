@@ -1,7 +1,9 @@
 """The training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir). All stages
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``; further columns, whatever their names, are dropped. An
+empty table gives an empty one. Null and empty texts are documents without words, and
+texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -24,26 +26,32 @@ PERCENT, BANDS = 80, 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine calls toxic go."""
+    """Documents that the factorization machine calls toxic go; rows that repeat each by their own text."""
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=tuple(COLUMNS[1:]))
     return scored.where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Documents without words or without an id stay. Rows that repeat a doc_id go or stay together.
+    """
     judged = materialize(near_duplicates(docs, percent=PERCENT, bands=BANDS).where("not kept").select("doc_id").distinct(), "pipeline-copies")
     return queries.without(docs, judged).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under repeated 50-word windows go; n_chars follows the new text."""
+    """Words under repeated 50-word windows go; n_chars follows the new text. Null texts and rows without an id stay as they are."""
     cut = substring_dedup(docs, keep=("lang", "source", "n_chars"), as_is=True)
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it; rows that repeat an id and a size take the larger number."""
+    """Every document as many times as the mix takes it; rows that repeat an id and a size take the larger number.
+
+    Documents without words are taken by no mix. A null source is a source of its own.
+    """
     mixed = mix_sources(docs).where("copies > 0").groupBy(queries.doc_key().alias("doc_key"), "size").agg(F.max("copies").alias("copies"))
     copies = materialize(mixed, "pipeline-copies")
     taken = queries.with_copies(docs, copies)
@@ -51,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens in sequences of 2048."""
+    """Every document's tokens in sequences of 2048; a text without tokens is its end id alone."""
     return queries.packed(docs)
 
 
