@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import socket
+import threading
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -181,6 +184,42 @@ def test_feed_items(spark, tmp_path):
     assert [(r.title, r.author, r.category) for r in rows] == [("One & two", None, "sports"), ("Three", "me", "sports")]
 
 
+def test_failing_feeds_are_skipped_if_asked(spark, tmp_path):
+    (tmp_path / "good.xml").write_text("<rss><item><title>One</title></item></rss>")
+    (tmp_path / "bad.xml").write_text("<rss><item><title>Two</title></item><item>")
+    http_feeds.register(spark)
+    urls = "\n".join(f"{(tmp_path / x).as_uri()} news" for x in ("good.xml", "bad.xml", "absent.xml"))
+    reader = spark.read.format("feeds").option("urls", urls)
+    assert sorted(r.title for r in reader.option("onError", "skip").load().collect()) == ["One", "Two"]
+    with pytest.raises(Exception, match="absent|not well|no element|No such file"):
+        reader.option("onError", "fail").load().collect()
+
+
+def test_socket_and_console(spark, tmp_path):
+    """Lines from a socket reach a console query."""
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        client, _ = server.accept()
+        with client:
+            client.sendall(b"(1,first,x)\n(2,second,y)\n")
+            time.sleep(30)
+
+    threading.Thread(target=serve, daemon=True).start()
+    lines = readers.socket_lines(spark, "127.0.0.1", server.getsockname()[1])
+    query = writers.console(refine.parse_stream(lines), f"{tmp_path}/cp")
+    try:
+        until = time.time() + 60
+        while sum(p.numInputRows for p in query.recentProgress) < 2 and time.time() < until:
+            query.processAllAvailable()
+            time.sleep(0.2)
+        assert sum(p.numInputRows for p in query.recentProgress) == 2
+        assert "Console" in query.lastProgress.sink.description
+    finally:
+        query.stop()
+        server.close()
+
+
 # --- policies against plain loops ---------------------------------------------------------------
 
 

@@ -79,4 +79,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, once nothing that is still to be computed reads it."""
+    path = getattr(df, "written_path", None)
+    if path:
+        fs, at = file_system(df.sparkSession, path)
+        fs.delete(at, True)
