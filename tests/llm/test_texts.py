@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -372,6 +373,33 @@ def test_url_decisions_follow_aliases(spark):
     assert urls.filter_urls(df.limit(0), RULES).count() == 0
 
 
+def test_url_sql_follows_links_too(spark, tmp_path):
+    """The query and its SQL on pages with canonical and refresh links, of every form."""
+    link = '<html><head><link href="{}" rel=canonical></head>'
+    pages = [
+        (1, "http://a.org/fr/x?y#z", link.format("http://b.info/x&amp;y?q")),
+        (2, "https://b.info/x&y?q", "<LINK rel='canonical' href='//c.info'>"),
+        (3, "https://c.info", "no link"),
+        (4, None, link.format("http://a.net/")),
+        (5, "nothing", link.format("http://a.net/")),
+        (6, "http://alias.info/a/b", link.format("c?d=1")),
+        (7, "http://alias.info/a/c?d=1", "<meta content='0; URL=http://x.NET/q' http-equiv='Refresh'>"),
+        (8, "http://alias.info/e", "<link rel=other href=/f><link rel=canonical href=/g>"),
+        (9, "http://alias.info/g#h", "<meta http-equiv=refresh content=\"5;url=/de/\">"),
+        (10, "http://www.example.com/de/", link.format("")),
+        (11, "http://www.example.com/en/", link.format("/de/")),
+        (12, "http://d.info?x", link.format("y")),
+        (13, "http://d.info/y", link.format("http://z.example.net/en/1")),
+        (14, "http://e.info/", ""),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/p")
+    pa.parquet.write_table(pa.concat_tables([pa.parquet.read_table(f) for f in sorted((tmp_path / "p").glob("*.parquet"))]), tmp_path / "pages.parquet")
+    got = queries.op10_url_filters(spark, str(tmp_path))
+    assert differences(got, tables(str(tmp_path)), queries.OP10_SQL) == ([], [])
+    verdicts = {r.page_id: r.verdict for r in got.collect()}
+    assert [verdicts[i] for i in (2, 3, 6, 7, 11, 12, 14)] == ["allow", "allow", "block", "block", "block", "allow", "allow"]
+
+
 # --- html ---------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="<p>no</p>";</script></head><body class="article-page">

@@ -130,26 +130,55 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
-#: The pages at hand hold no canonical or refresh links, so the method's verdict is that of no component: allow.
-OP10_SQL = """
-WITH u AS (
-  SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
-         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
-), v AS (
-  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u
-), w AS (
-  SELECT *, CASE
-    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM v
+def _op10_sql() -> str:
+    """Rules, links of the pages and reachability over them; the operator's own expressions in another dialect."""
+    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+    def tag(name: str, key: str, word: str, wanted: str) -> str:
+        """The wanted attribute's value in the first such tag whose key says the word."""
+        said = rf"""\b{key}\s*=\s*["']?{word}\b"""
+        pattern = rf"(?is)<{name}\b(?:[^>]*?{said}[^>]*?\b{wanted}{value}|[^>]*?\b{wanted}{value.replace("[^", "[^>")}[^>]*?{said})"
+        return "replace(concat(" + ", ".join(f"regexp_extract(html, '{pattern.replace(chr(39), chr(39) * 2)}', {i})" for i in range(1, 7)) + "), '&amp;', '&')"
+
+    def rule(host: str, path: str, of: str) -> str:
+        rules = [("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block")]
+        cases = (f"WHEN ({host} = '{h}' OR {host} LIKE '%.{h}') AND starts_with({path}, '{p}') THEN '{h + p if of == 'rule' else v}'" for h, p, v in rules)
+        return f"CASE {' '.join(cases)} END"
+
+    def host(url: str) -> str:
+        return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def node(url: str) -> str:
+        return f"CASE WHEN {host(url)} <> '' THEN {host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+
+    return f"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, {host('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {node('url')} AS node FROM pages
+), found AS (
+  SELECT url, host, path, node, {tag('link', 'rel', 'canonical', 'href')} AS target FROM u WHERE html IS NOT NULL AND url IS NOT NULL
+  UNION ALL SELECT url, host, path, node, regexp_extract({tag('meta', 'http-equiv', 'refresh', 'content')}, '(?is)url\\s*=\\s*[''"]?([^''"]+)', 1) FROM u WHERE html IS NOT NULL AND url IS NOT NULL
+), named AS (
+  SELECT node, trim(target) AS t, regexp_extract(url, '^(.*?://)', 1) || host AS site, regexp_replace(path, '[^/]*$', '') AS folder FROM found WHERE target <> ''
+), whole AS (
+  SELECT node AS a, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN contains(t, '://') THEN t WHEN starts_with(t, '/') THEN site || t
+    ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS target FROM named
+), ends AS (
+  SELECT a, {node('target')} AS b FROM whole
+), edges AS (
+  SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b
+), reach AS (
+  SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a
+), judged AS (
+  SELECT node, min({rule("regexp_extract(other, '(?s)^([^/?]*)', 1)", "regexp_extract(other, '(?s)^[^/?]*([^?]*)', 1)", 'verdict')}) AS shared FROM reach GROUP BY 1
 )
-SELECT page_id, host, path, rule,
-       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM w
+SELECT page_id, host, path, {rule('host', 'path', 'rule')} AS rule, coalesce({rule('host', 'path', 'verdict')}, shared, 'allow') AS verdict
+FROM u LEFT JOIN judged USING (node)
 """
 
 
+OP10_SQL = _op10_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
