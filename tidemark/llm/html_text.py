@@ -419,10 +419,17 @@ def main_text(page: str, weights: np.ndarray = START) -> str:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
-    """Weights fitted on the blocks of at most ``most`` pages of `TRAIN_CHARS` or less, the first by a hash of their url and id."""
-    rows = pages.where(F.length("html").between(1, TRAIN_CHARS))
-    rows = rows.orderBy(F.xxhash64("url", "page_id"), "page_id", "url", "html").select("html").limit(most).toArrow()["html"].to_pylist()
-    read = [p for p in map(Page, rows) if p.blocks]
+    """Weights fitted on the blocks of at most ``most`` different pages of `TRAIN_CHARS` or less.
+
+    Pages are dealt to ``most`` buckets by a hash of all their columns; the least hash of each bucket is taken. Only
+    hashes are shuffled to find them, at most ``most`` from each task, and then their pages.
+    """
+    rows = pages.where(F.length("html").between(1, TRAIN_CHARS)).select("html", F.xxhash64("url", "page_id", "html").alias("_hash"))
+    least = [r["least"] for r in rows.groupBy(F.pmod("_hash", F.lit(most))).agg(F.min("_hash").alias("least")).collect()]
+    if not least:
+        return START.copy()
+    taken = rows.where(F.col("_hash").isin(least)).groupBy("_hash").agg(F.first("html").alias("html")).orderBy("_hash")
+    read = [p for p in map(Page, taken.toArrow()["html"].to_pylist()) if p.blocks]
     if not read:
         return START.copy()
     return fit(np.concatenate([p.features() for p in read]), np.concatenate([p.labels() for p in read]))
