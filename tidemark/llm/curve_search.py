@@ -9,7 +9,7 @@ original vectors.
 
 How far to look is measured, not assumed: the exact answers of at most `ASKED` queries (one pass over the vectors)
 tell for each number of curves the reach that finds `RECALL` of them, and the number of curves
-for which the windows are smallest together is used, two at least. Where vectors have structure, windows are a few ranges, a
+with the least work is used, two at least: distances to all queries, and the copy of a vector that each curve takes. Where vectors have structure, windows are a few ranges, a
 fixed number of rows at any size. Isotropic vectors have none that an order could use; there the
 windows become a share of all rows, and the search close to a full one, which no ordering avoids.
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import materialize
 from tidemark.llm.hilbert import curve_keys
@@ -38,6 +39,8 @@ RANGE, RANGES, BLOCK = 1024, 4096, 16384
 CUT_ROWS, ASKED, RECALL = 65_536, 256, 0.95
 #: Components that the sample holds at most, in all.
 CUT_VALUES = 1 << 22
+#: Distances that cost as much as a copy of a vector.
+COPY = 200
 #: Distances that are held at once.
 CELLS = 1 << 21
 
@@ -93,8 +96,8 @@ def _exact(curves: Curves, asked: np.ndarray, k: int):
     return run
 
 
-def measured_reach(fit: DataFrame, curves: Curves, edges: list[np.ndarray], asked: np.ndarray, k: int, recall: float = RECALL) -> tuple[int, int]:
-    """(curves to use, reach in ranges) that find ``recall`` of the asked vectors' k nearest with the least work."""
+def measured_reach(fit: DataFrame, curves: Curves, edges: list[np.ndarray], asked: np.ndarray, k: int, recall: float = RECALL, queries: float = 1e6) -> tuple[int, int]:
+    """(curves to use, reach in ranges) that find ``recall`` of the asked vectors' k nearest with the least work for so many queries."""
     n = len(edges)
     names = [f"k{c}" for c in range(n)]
     schema = "asked int, distance double, " + ", ".join(f"{x} long" for x in names)
@@ -104,7 +107,11 @@ def measured_reach(fit: DataFrame, curves: Curves, edges: list[np.ndarray], aske
     own = curves.keys(asked)[found["asked"].to_numpy()]
     # An asked vector is its own nearest, always in reach; it is left out.
     other = found["rank"].to_numpy() > 1
-    away = np.stack([np.abs(np.searchsorted(edges[c], found[names[c]].to_numpy(), "right") - np.searchsorted(edges[c], own[:, c], "right")) for c in range(n)], axis=1)[other]
+    at = np.stack([np.searchsorted(edges[c], found[names[c]].to_numpy(), "right") for c in range(n)], axis=1)[other]
+    home = np.stack([np.searchsorted(edges[c], own[:, c], "right") for c in range(n)], axis=1)[other]
+    # A window at an end of its curve reaches further on the other side.
+    room = np.where(at > home, at, np.array([len(e) for e in edges]) - at)
+    away = np.minimum(np.abs(at - home), -(-room // 2))
     if not len(away):
         return min(2, n), 0
     plans = []
@@ -112,22 +119,22 @@ def measured_reach(fit: DataFrame, curves: Curves, edges: list[np.ndarray], aske
         nearest_window = np.sort(away[:, :used].min(axis=1))
         reach = int(nearest_window[min(len(away) - 1, int(np.ceil(recall * len(away))))])
         ranges = [len(edges[c]) + 1 for c in range(used)]
-        plans.append((sum(min(2 * reach + 1, r) / r for r in ranges), used, reach))
+        plans.append((queries * sum(min(2 * reach + 1, r) / r for r in ranges) + COPY * used, used, reach))
     return min(plans)[1:]
 
 
 _BLOCKS = "curve int, cut int, salt int, query boolean, ids array<long>, packed binary"
 
 
-def _spread(curves: Curves, edges: list[np.ndarray], reach: int, salts: int, query: bool):
-    """Rows of (curve, cut, salt): a vector in its own range, a query in its window."""
+def _spread(curves: Curves, edges: list[np.ndarray], reach: int, salts: int, query: bool, kind: type):
+    """Rows of (curve, cut, salt): a vector in its own range, a query in its window; components are packed as ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 2048):
                 part = batch.slice(low, 2048)
                 vectors = matrix(part.column(0))
-                keys, binary, n = curves.keys(vectors), packed(vectors), len(part)
+                keys, binary, n = curves.keys(vectors), packed(vectors.astype(kind)), len(part)
                 for c, own in enumerate(edges):
                     cut = np.searchsorted(own, keys[:, c], "right")
                     if query:
@@ -175,7 +182,7 @@ class _Held:
                     yield own, x, d
 
 
-def _search(k: int):
+def _search(k: int, kind: type):
     """Over partitions sorted by block, in each the vectors before the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +192,7 @@ def _search(k: int):
                 continue
             key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             asks = batch.column(3).to_numpy(zero_copy_only=False)
-            ids, vectors = batch.column(4).to_pylist(), unpacked(batch.column(5), np.float64)
+            ids, vectors = batch.column(4).to_pylist(), unpacked(batch.column(5), kind).astype(np.float64)
             new = np.ones(len(batch), bool)
             new[1:] = (key[1:] != key[:-1]).any(axis=1) | (asks[1:] != asks[:-1])
             starts = np.flatnonzero(new).tolist()
@@ -230,16 +237,18 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = NEAREST, curves: i
     fitted = Curves(drawn[:4096], curves)
     ranges = min(-(-n // range_rows), RANGES)
     edges = [_cuts(x, ranges) for x in fitted.keys(drawn).T]
-    used, reach = measured_reach(fit, fitted, edges, drawn[:ASKED], k, recall)
+    used, reach = measured_reach(fit, fitted, edges, drawn[:ASKED], k, recall, n / every)
     edges = edges[:used]
     fitted.turns = fitted.turns[:used]
     salts = max(1, -(-n // (ranges * BLOCK)))
+    # Floats travel as they came; they are doubles again before anything is computed.
+    kind = np.float32 if embeddings.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
     asked = rows.where((F.col("vec_id") % every == 0) & (F.size("vector") == size)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    left = asked.select("vector", F.array("vec_id").alias("ids")).mapInArrow(_spread(fitted, edges, reach, salts, True), _BLOCKS)
-    right = fit.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 30)).alias("salt")).mapInArrow(_spread(fitted, edges, reach, salts, False), _BLOCKS)
+    left = asked.select("vector", F.array("vec_id").alias("ids")).mapInArrow(_spread(fitted, edges, reach, salts, True, kind), _BLOCKS)
+    right = fit.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(1 << 30)).alias("salt")).mapInArrow(_spread(fitted, edges, reach, salts, False, kind), _BLOCKS)
     group = ["curve", "cut", "salt"]
     blocks = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "query")
-    found = blocks.mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    found = blocks.mapInArrow(_search(k, kind), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
