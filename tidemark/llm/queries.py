@@ -130,6 +130,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def _op10_sql() -> str:
     """Rules, links of the pages and reachability over them; the operator's own expressions in another dialect."""
     value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -191,6 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curve_search": op8_curve_search,
         "op9_html_extraction": op9_html_extraction,
         "op10_url_filters": op10_url_filters,
+        "op13_quality": op13_quality,
     }
 
 
