@@ -33,7 +33,7 @@ def corpus(n=400, seed=3):
 
 
 def test_features_equal_a_plain_count():
-    texts = ["Ab cd, cd x9!\nxy cd\n", "", None, "aaa aaa aaa", "ü", " \n ", "w " * 500]
+    texts = ["Ab cd, cd x9!\nxy cd\n", "", None, "aaa aaa aaa", "ü", " \n ", "w " * 500, "x" * 21 + " y"]
     got = features(pa.array(texts))
     assert got.shape == (len(texts), SIZE)
     for row, text in zip(got, texts, strict=True):
@@ -50,10 +50,8 @@ def test_features_equal_a_plain_count():
         for k, lag in enumerate(LAGS):
             again = sum(a == b for a, b in zip(words, words[lag:], strict=False))
             assert row[64 + k] == pytest.approx((again / max(len(words), 1)) ** 0.5)
-        distinct = np.log1p(len(set(words))) / np.log1p(len(words)) if words else 0
-        assert row[68] == pytest.approx(distinct)
-        assert row[69] == pytest.approx(np.mean([len(w.encode()) for w in words]) if words else 0)
-        assert row[71] == pytest.approx(np.log1p(len(words)))
+        assert row[72] == pytest.approx(np.mean([len(w.encode()) for w in words]) if words else 0)
+        assert row[73] == pytest.approx((sum(len(w.encode()) > 20 for w in words) / max(len(words), 1)) ** 0.5)
 
 
 def test_features_of_a_text_do_not_depend_on_its_chunk():

@@ -1,8 +1,8 @@
 """Quality: Bradley-Terry scores of documents, learned from preference pairs.
 
-A document is described by shares that don't depend on its length: which kinds of
-characters follow each other (`KINDS`, by square root), how often a word is the same as the word
-one to four places before, how many of its words are new, and the sizes of its words and lines.
+A document is described by shares and means, which don't grow with its length: which kinds of
+bytes follow each other (`KINDS`), how often a word is the same as the word one to eight
+places before, and how long its words are.
 A pair says that a document of label 1 beats one of label 0 with the odds
 
     P(a beats b) = sigmoid(w . (f(a) - f(b)))
@@ -31,7 +31,7 @@ TRAIN_ROWS = 8000
 PAIRS = 4
 #: The score at the cut.
 CUT = 0.7
-LAGS = (1, 2, 3, 4)
+LAGS = (1, 2, 3, 4, 5, 6, 7, 8)
 CHUNK_BYTES = 1 << 19
 #: Utilities are counted in bins of 1 / BINS between -REACH and REACH for the cut.
 BINS, REACH = 64, 64
@@ -40,7 +40,7 @@ BINS, REACH = 64, 64
 KINDS = 8
 _KIND = np.full(256, 6, np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[[32, 9]], _KIND[[10, 13]], _KIND[[44, 46]], _KIND[128:] = 0, 1, 2, 3, 4, 5, 7
-SIZE = KINDS * KINDS + len(LAGS) + 5
+SIZE = KINDS * KINDS + len(LAGS) + 2
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -67,17 +67,9 @@ def features(column: pa.Array) -> np.ndarray:
             out[:, at] = np.sqrt(np.bincount(mine[lag:][again], minlength=n) / np.maximum(n_words, 1))
         at += 1
     if len(hashes):
-        order = np.lexsort((hashes, mine))
-        new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (mine[order][1:] != mine[order][:-1])
-        distinct = np.bincount(mine[order][new], minlength=n)
-        out[:, at] = np.log1p(distinct) / np.log1p(np.maximum(n_words, 1)) * (n_words > 0)
         length = (words.ends - words.starts).astype(float)
-        out[:, at + 1] = np.bincount(mine, length, n) / np.maximum(n_words, 1)
-        out[:, at + 2] = np.sqrt(np.bincount(mine[length > 20], minlength=n) / np.maximum(n_words, 1))
-    out[:, at + 3] = np.log1p(n_words)
-    if len(kind):
-        out[:, at + 4] = np.log1p(n_words / (1 + np.bincount(owner[kind == 4], minlength=n)))
+        out[:, at] = np.bincount(mine, length, n) / np.maximum(n_words, 1)
+        out[:, at + 1] = np.sqrt(np.bincount(mine[length > 20], minlength=n) / np.maximum(n_words, 1))
     return out
 
 
