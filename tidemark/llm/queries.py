@@ -130,6 +130,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import quality
 
@@ -197,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curve_search": op8_curve_search,
         "op9_html_extraction": op9_html_extraction,
         "op10_url_filters": op10_url_filters,
+        "op12_whitening": op12_whitening,
         "op13_quality": op13_quality,
     }
 
