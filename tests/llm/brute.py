@@ -103,3 +103,50 @@ def cut_cost(odds, edges, content) -> float:
 def least_cut(odds, edges) -> float:
     """The cost of the best of all labellings."""
     return min(cut_cost(odds, edges, c) for c in itertools.product((False, True), repeat=len(odds)))
+
+
+def alignment(docs: list[tuple], encode_a, encode_b, bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple]:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, sha256) of each document, token by token."""
+    whole, count = [], {}
+    for i, text in docs:
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        want = (" " + text).encode() if text else b""
+        if b"".join(bytes_a[x] for x in a) != want or b"".join(bytes_b[x] for x in b) != want:
+            a, b = [], []
+        spans = []
+        for ids, table in ((a, bytes_a), (b, bytes_b)):
+            at, out = 0, []
+            for x in ids:
+                out.append((at, at + len(table[x]), x))
+                at += len(table[x])
+            spans.append(out)
+        links = []
+        k = 0
+        for low, high, x in spans[0]:
+            while k < len(spans[1]) and spans[1][k][1] <= low:
+                k += 1
+            j = k
+            while j < len(spans[1]) and spans[1][j][0] < high:
+                links.append((x, spans[1][j][2]))
+                j += 1
+        cuts = sorted({h for _, h, _ in spans[0]} & {h for _, h, _ in spans[1]})
+        written, low = [], 0
+        for cut in cuts:
+            written.append("|".join(",".join(str(x) for s, e, x in side if low < e <= cut) for side in spans) if len(cuts) < 400 else None)
+            low = cut
+        if cuts and len(cuts) >= 400:
+            parts = [[[] for _ in cuts], [[] for _ in cuts]]
+            for side, part in zip(spans, parts, strict=True):
+                g = 0
+                for _, e, x in side:
+                    while cuts[g] < e:
+                        g += 1
+                    part[g].append(str(x))
+            written = [",".join(p) + "|" + ",".join(q) for p, q in zip(*parts, strict=True)]
+        for link in links:
+            count[link] = count.get(link, 0) + 1
+        whole.append((i, len(a), len(b), len(cuts), links, hashlib.sha256(";".join(written).encode()).hexdigest() if cuts else ""))
+    best: dict = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(i, na, nb, g, len(links), sum(count[x] == best[x[1]] for x in links), sum(count[x] for x in links), digest) for i, na, nb, g, links, digest in whole]

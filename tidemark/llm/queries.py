@@ -130,6 +130,15 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.alignment import align
+
+    path = public_tokenizers.path
+    return align(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.whitening import whitened
 
@@ -203,6 +212,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_curve_search": op8_curve_search,
         "op9_html_extraction": op9_html_extraction,
         "op10_url_filters": op10_url_filters,
+        "op11_alignment": op11_alignment,
         "op12_whitening": op12_whitening,
         "op13_quality": op13_quality,
     }
