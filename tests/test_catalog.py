@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import differences, tables
-from tidemark.plans import catalog
+from tidemark.plans import registry as catalog
 
 
 @pytest.fixture(scope="module")

@@ -1,0 +1,3 @@
+"""The registered queries: importing this package registers them all."""
+
+from tidemark.plans import catalog, streams  # noqa: F401

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -15,13 +12,10 @@ from tidemark.functions import text as X
 from tidemark.operators import bayes, dictionary, evaluate, policies, refine
 from tidemark.operators.sequence import number_rows
 from tidemark.plans import inputs as I
+from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources import readers, writers
 from tidemark.storage import materialize, new_path
-from tidemark.streaming import jobs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from tidemark.streaming import jobs, state
 
 DAY4 = START_MS + 4 * 86_400_000
 #: Policies at the size of the tables at hand.
@@ -31,17 +25,6 @@ TRIGGERED = config.ErrorTriggered(initial=200, window=200, threshold=0.9, sanity
 INCREMENTAL = config.Incremental(initial=200, every=50, low_accuracy=60.0)
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def put(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            SQL[key] = sql
-        return f
-
-    return put
-
-
 # --- text and parsing ---------------------------------------------------------------------------
 
 
@@ -679,30 +662,41 @@ def _stream(spark, sf, name="documents"):
 def _drained(spark, stream, mode, each=None):
     """All that a query writes until its source is drained, as a table; a replayed batch overwrites its own rows."""
     out = new_path(spark, "stream-out")
-    target = "last" if mode == "complete" else "batch={}"
 
     def put(df, number):
-        (each(df) if each else df).write.mode("overwrite").parquet(f"{out}/{target.format(number)}")
+        (each(df) if each else df).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     jobs.run_to_end(stream, new_path(spark, "stream-checkpoint"), put, mode)
-    return spark.read.parquet(f"{out}/{'last' if mode == 'complete' else ''}")
+    return spark.read.parquet(out)
+
+
+def _by_time(spark, sf, slices=6):
+    """The documents as a stream of one micro-batch for each slice of time, with their time as a timestamp; its session keeps state in RocksDB."""
+    folder = new_path(spark, "slices")
+    rows = I.docs(spark, sf)
+    writers.in_slices(rows, folder, F.floor((F.col("ts_ms") - START_MS) * slices / I.SPAN_MS))
+    return readers.sliced_rows(state.session(spark), folder, rows.schema).withColumn("time", F.timestamp_millis("ts_ms"))
 
 
 @query(f"WITH {I.TERMS}, w AS (SELECT label, unnest(words) AS term FROM termed) SELECT label, term, count(*) AS n FROM w GROUP BY 1, 2")
 def stream_label_term_counts(spark, sf):
-    return _drained(spark, jobs.label_term_counts(_stream(spark, sf)), "complete")
+    """Counts by day are state for as long as the watermark lets the day change; each micro-batch writes what changed."""
+    daily = jobs.latest(_drained(spark, jobs.label_term_counts(_by_time(spark, sf), window="1 day"), "update"), ("label", "term", "start"))
+    return daily.groupBy("label", "term").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {I.TERMS}, w AS (SELECT doc_id, (ts_ms - {START_MS}) // 86400000 AS day, unnest(words) AS term FROM termed) SELECT term, day, count(DISTINCT doc_id) AS df FROM w GROUP BY 1, 2")
 def stream_dictionary(spark, sf):
-    """Document frequencies by term and day, kept as state."""
-    return _drained(spark, jobs.term_days(_stream(spark, sf), START_MS), "complete")
+    """Document frequencies by term and day: a day is state until the watermark has passed it."""
+    return jobs.latest(_drained(spark, jobs.term_days(_by_time(spark, sf), START_MS), "update"), ("term", "day")).select("term", "day", "df")
 
 
 @query(f"""WITH {I.TERMS}, w AS (SELECT label, ts_ms, unnest(words) AS term FROM termed WHERE (ts_ms // 50000) % 3456 < 1728)
 SELECT label, term, count(*) AS n, min(ts_ms) AS first_ts FROM w GROUP BY 1, 2""")
 def stream_first_seen_counts(spark, sf):
-    return _drained(spark, jobs.first_seen_counts(_stream(spark, sf), 3456, 1728), "complete")
+    """Counts and first times of each cycle are state until the watermark has passed the cycle."""
+    cycles = jobs.latest(_drained(spark, jobs.first_seen_counts(_by_time(spark, sf), 3456, 1728, window="172800 seconds"), "update"), ("label", "term", "start"))
+    return cycles.groupBy("label", "term").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
 
 
 @query(f"WITH {I.TERMS}, w AS (SELECT ts_ms, label, unnest(words) AS term FROM termed) SELECT ts_ms, label, term, count(*) AS tf FROM w GROUP BY 1, 2, 3")

@@ -77,5 +77,10 @@ def file_rows(spark: SparkSession, path: str, schema: T.StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def sliced_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stream of what `writers.in_slices` wrote, one slice's file in each micro-batch, in order."""
+    return file_rows(spark, f"{path}/_slice=*", schema)
+
+
 def in_memory(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)

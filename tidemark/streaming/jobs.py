@@ -24,25 +24,56 @@ def exploded(stream: DataFrame, keep: tuple[str, ...], text: str = "text") -> Da
     return stream.select(*keep, F.explode(text_tokens(F.col(text))).alias("term"))
 
 
-def label_term_counts(stream: DataFrame, interval: int | None = None, training: int = 0) -> DataFrame:
-    """label, term, n over the stream; with a cycle, only rows of its training part count."""
+def label_term_counts(stream: DataFrame, interval: int | None = None, training: int = 0, window: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """label, term, n over the stream; with a cycle, only rows of its training part count.
+
+    window: counts are kept for each such stretch of the column ``time`` (its ``start`` is a column) and leave the state when the
+    watermark, ``delay`` behind the latest time, has passed it. Without one they are kept for ever.
+    """
     rows = stream if interval is None else stream.where(phase_divided(F.col("ts_ms"), interval, training))
-    return exploded(rows, ("label",)).groupBy("label", "term").agg(F.count("*").alias("n"))
+    keys, rows = _windowed(rows, ("label",), window, delay)
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*_plain(keys), "term", "n")
 
 
-def first_seen_counts(stream: DataFrame, interval: int, training: int) -> DataFrame:
-    """label, term, n, first_ts over the stream: counts and the time of the first row, of the training part of each cycle.
+def first_seen_counts(stream: DataFrame, interval: int, training: int, window: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """label, term, n, first_ts over the stream: counts and the time of the first row, of the training part of each cycle; window as above.
 
     Both are plain aggregates, so the state stays in Spark's own store.
     """
-    rows = exploded(stream.where(phase_divided(F.col("ts_ms"), interval, training)), ("label", "ts_ms"))
-    return rows.groupBy("label", "term").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts"))
+    keys, rows = _windowed(stream.where(phase_divided(F.col("ts_ms"), interval, training)), ("label",), window, delay, ("ts_ms",))
+    return rows.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts")).select(*_plain(keys), "term", "n", "first_ts")
+
+
+def _windowed(rows: DataFrame, keys: tuple[str, ...], window: str | None, delay: str, more: tuple[str, ...] = ()) -> tuple[list, DataFrame]:
+    """(keys of a count, rows of single terms with them and the columns ``more``)."""
+    if window is None:
+        return list(keys), exploded(rows, (*keys, *more))
+    return [*keys, F.window("time", window)], exploded(rows.withWatermark("time", delay), (*keys, *more, "time"))
 
 
-def term_days(stream: DataFrame, start_ms: int) -> DataFrame:
-    """term, day, df over the stream: the documents of each day that have the term."""
-    rows = stream.select(F.floor((F.col("ts_ms") - start_ms) / 86_400_000).alias("day"), F.explode(F.array_distinct(text_tokens(F.col("text")))).alias("term"))
-    return rows.groupBy("term", "day").agg(F.count("*").alias("df"))
+def _plain(keys: list) -> list:
+    return [k if isinstance(k, str) else F.col("window.start").alias("start") for k in keys]
+
+
+def term_days(stream: DataFrame, start_ms: int, delay: str = "1 hour") -> DataFrame:
+    """term, day, df over the stream: the documents of each day that have the term.
+
+    With a column ``time`` a day leaves the state when the watermark, ``delay`` behind the latest, has passed it.
+    """
+    terms = F.explode(F.array_distinct(text_tokens(F.col("text")))).alias("term")
+    day = F.floor((F.col("ts_ms") - start_ms) / 86_400_000).alias("day")
+    if "time" not in stream.columns:
+        return stream.select(day, terms).groupBy("term", "day").agg(F.count("*").alias("df"))
+    rows = stream.withWatermark("time", delay).select("time", terms)
+    counts = rows.groupBy(F.window("time", "1 day", startTime=f"{start_ms % 86_400_000} milliseconds"), "term").agg(F.count("*").alias("df"))
+    return counts.select("term", F.floor((F.unix_millis(F.col("window.start")) - start_ms) / 86_400_000).alias("day"), "df")
+
+
+def latest(versions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of each key the row of the last ``batch``: what an update-mode stream has come to."""
+    rest = [c for c in versions.columns if c not in (*keys, "batch")]
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def term_frequencies(batch: DataFrame) -> DataFrame:
