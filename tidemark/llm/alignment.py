@@ -29,7 +29,7 @@ from tidemark.llm.tokens import Encoder
 from tidemark.llm.words import buffers, chunks
 
 #: Text bytes that share one list of distinct pairs, and those that are held as arrays at once; a longer single text is one of its own.
-UNIT_BYTES, CHUNK_BYTES = 8 << 20, 1 << 19
+UNIT_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
 #: Pairs in a row of a unit's list.
 SLICE = 1 << 15
 
@@ -190,7 +190,8 @@ class Unit:
             digests[row] = digest
         distinct, code = np.unique(pairs, return_inverse=True)
         held, times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
-        self.parts.append((distinct, held % max(len(distinct), 1), self.rows + found.rows[held // max(len(distinct), 1)], times))
+        row = self.rows + found.rows[held // max(len(distinct), 1)]
+        self.parts.append((distinct, *(x.astype(np.int32) for x in (held % max(len(distinct), 1), row, times))))
         self.ids.append(doc_id)
         self.numbers.append(numbers)
         self.digests += digests
@@ -203,7 +204,7 @@ class Unit:
         counts = np.zeros(len(pairs), np.int64)
         place, owner, times = [], [], []
         for distinct, code, row, n in self.parts:
-            at = np.searchsorted(pairs, distinct)[code]
+            at = np.searchsorted(pairs, distinct).astype(np.int32)[code]
             np.add.at(counts, at, n)
             place.append(at)
             owner.append(row)
@@ -228,11 +229,11 @@ class Unit:
 def held_bytes(place: np.ndarray, times: np.ndarray, owner: np.ndarray, rows: int) -> list[bytes]:
     """Of each row its (place, times), ascending: their number, then, compressed, the places' differences and the times, lowest bytes first."""
     cut = np.searchsorted(owner, np.arange(rows + 1))
-    step = place.copy()
-    step[1:] -= place[:-1]
+    step = place.astype("<i4")
+    step[1:] -= step[:-1].copy()
     heads = cut[:-1][cut[:-1] < cut[1:]]
     step[heads] = place[heads]
-    both = [np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4) for x in (step, times)]
+    both = [np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4) for x in (step, times)]
     out = []
     for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         plain = np.concatenate([x[low:high].T.ravel() for x in both]).tobytes()
@@ -245,7 +246,7 @@ def held_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(packed[:4], "little")
     plain = np.frombuffer(pa.decompress(packed[4:], n * 8, "zstd", asbytes=True) if n else b"", np.uint8)
     planes = plain.reshape(2, 4, n).transpose(0, 2, 1)
-    step, times = (np.ascontiguousarray(x).view("<u4").ravel().astype(np.int64) for x in planes)
+    step, times = (np.ascontiguousarray(x).view("<i4").ravel().astype(np.int64) for x in planes)
     return np.cumsum(step), times
 
 
@@ -291,6 +292,8 @@ def align(documents: DataFrame, tokenizer: str, ranks: str, pieces: str, pattern
                     unit = Unit(pair, number)
         if unit.rows:
             yield from unit.batches()
+        # The worker goes on to other tasks, of other kinds too.
+        pair.a.forget()
 
     docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = materialize(docs.mapInArrow(run, Unit.SCHEMA), "alignment-units")

@@ -107,9 +107,10 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = table
         self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give up the remembered pieces."""
         self.known = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
         self.at = np.zeros(1, np.int64)
@@ -148,7 +149,7 @@ class Encoder:
             if not new.any():
                 break
             if len(self.known) + int(new.sum()) > REMEMBERED:
-                self._forget()
+                self.forget()
                 new[:] = True
             s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
             self._learn(distinct[new], [joined[a:b] for a, b in zip(s, e, strict=True)])
