@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.config import START_MS
 from tidemark.functions import text as X
-from tidemark.operators import bayes
+from tidemark.operators import bayes, refine
 from tidemark.plans import catalog as C
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import query
-from tidemark.sources import readers, writers
-from tidemark.storage import new_path
+from tidemark.sources import archive, http_feeds, readers, writers
+from tidemark.storage import file_system, new_path
 from tidemark.streaming import jobs, joins, state
 
 TTL = 2
@@ -50,3 +50,61 @@ def stream_dictionary_entries(spark, sf):
     """The dictionary as keyed state whose entries expire when their term is not seen for more than two days."""
     entries = state.dictionary_entries(C._by_time(spark, sf), X.tokens(F.col("text")), START_MS, TTL, buckets=16)
     return jobs.latest(C._drained(spark, entries, "update"), ("term", "init_day")).drop("expired")
+
+
+# --- feeds and archives -----------------------------------------------------------------------------
+
+_EVENTS = "e AS (SELECT event_type AS feed, event_id, (epoch_us(ts) // 1000000) * 1000 AS ts_ms, props FROM events)"
+
+
+def _feed_files(spark, sf):
+    """A feed document for each type of event, and the middle of its times: [(url, category, last_update)]."""
+    e = I.table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000) * 1000).alias("ts_ms"), "props")
+    date = F.date_format(F.timestamp_millis("ts_ms"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    escaped = F.replace(F.replace(F.coalesce("props", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), F.col("event_id").cast("string"), F.lit("</title><description>"), escaped, F.lit("</description><pubDate>"), date, F.lit("</pubDate></item>"))
+    ends = e.groupBy("feed").agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long").alias("middle"))
+    lines = e.select("feed", F.lit(1).alias("part"), "ts_ms", item.alias("value"))
+    for part, line in ((0, "<rss><channel>"), (2, "</channel></rss>")):
+        lines = lines.unionByName(ends.select("feed", F.lit(part).alias("part"), F.lit(0).cast("long").alias("ts_ms"), F.lit(line).alias("value")))
+    folder = new_path(spark, "feeds")
+    lines.repartition("feed").sortWithinPartitions("feed", "part", "ts_ms").select("feed", "value").write.partitionBy("feed").text(folder)
+    fs, at = file_system(spark, folder)
+    files = {x.getPath().getName().split("=")[1]: fs.listStatus(x.getPath())[0].getPath().toUri() for x in fs.listStatus(at) if x.isDirectory()}
+    return [(f"file://{files[r.feed].getPath()}", r.feed, r.middle) for r in ends.orderBy("feed").collect()]
+
+
+@query(f"""WITH {_EVENTS}, m AS (SELECT feed, (min(ts_ms) + max(ts_ms)) // 2 AS middle FROM e GROUP BY 1)
+SELECT feed AS category, event_id::VARCHAR AS title, coalesce(props, '') AS description, ts_ms FROM e JOIN m USING (feed) WHERE ts_ms > middle""")
+def stream_feed_items(spark, sf):
+    """Feeds as a stream that starts from the registry's watermarks, the middle of each feed's times."""
+    session = state.session(spark)
+    http_feeds.register(session)
+    items = session.readStream.format("feeds").option("urls", http_feeds.urls_of(_feed_files(spark, sf))).load()
+    ms = F.unix_millis(F.to_timestamp(F.substring("pubDate", 6, 20), "dd MMM yyyy HH:mm:ss"))
+    out = C._drained(spark, items, "append")
+    return out.select("category", "title", F.coalesce("description", F.lit("")).alias("description"), ms.alias("ts_ms"))
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part")
+def archive_batches(spark, sf):
+    """An archive to which a batch job appends half, twice under one id, and a stream the rest."""
+    path = new_path(spark, "archive")
+    rows = I.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    first, rest = rows.where("p_partkey % 2 = 0"), rows.where("p_partkey % 2 <> 0")
+    for _ in (1, 2):
+        archive.append(first, path, "first half")
+    folder = new_path(spark, "archive-in")
+    rest.write.parquet(folder)
+    jobs.run_into(readers.file_rows(spark, folder, rows.schema), "archive", new_path(spark, "archive-checkpoint"), {"path": path, "batch": "second half"})
+    return archive.read(spark, path, rows.schema)
+
+
+@query("""SELECT user_id::VARCHAR AS url, 'news' AS category, max(epoch_us(ts) // 1000) AS last_update FROM events GROUP BY 1""")
+def archived_registry(spark, sf):
+    """A registry in an archive: written, then replaced by its advanced self, which reads it."""
+    path = new_path(spark, "registry")
+    items, registry = C._feeds(spark, sf)
+    archive.replace(registry.withColumn("category", F.lit("news")).select("url", "category", "last_update"), path)
+    archive.replace(refine.advance_watermarks(archive.read(spark, path, readers.REGISTRY), items).select("url", "category", "last_update"), path)
+    return archive.read(spark, path, readers.REGISTRY)

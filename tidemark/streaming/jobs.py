@@ -94,6 +94,13 @@ def run_to_end(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, in
     return query
 
 
+def run_into(stream: DataFrame, format: str, checkpoint: str, options: dict[str, str], mode: str = "append"):
+    """Run a query over all that is there into a sink, then stop."""
+    query = stream.writeStream.format(format).outputMode(mode).options(**options).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """doc_id, term, weight: each term as often as it occurs."""
     return exploded(rows, ("doc_id",)).withColumn("weight", F.lit(1.0))
