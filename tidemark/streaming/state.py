@@ -15,6 +15,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -65,7 +66,7 @@ def merged(entries: pd.DataFrame, day: int, counts: pd.Series, seen: pd.Index, t
 
 
 class TermEntries(StatefulProcessor):
-    """One key is a bucket; rows are (bucket, term, day, time), one for each document that has the term."""
+    """One key is a bucket; rows are (bucket, day, term, n, time): n documents of a day have the term."""
 
     def __init__(self, ttl: int, start_ms: int):
         self.ttl, self.start_ms = ttl, start_ms
@@ -87,7 +88,7 @@ class TermEntries(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # Each batch of rows is counted as it comes: a bucket's rows are never held together.
-        counts = pd.concat([pdf.groupby(["day", "term"]).size() for pdf in rows]).groupby(level=["day", "term"]).sum()
+        counts = pd.concat([pdf.groupby(["day", "term"])["n"].sum() for pdf in rows]).groupby(level=["day", "term"]).sum()
         entries, out = self._entries(), []
         for day in sorted(counts.index.get_level_values("day").unique()):
             now = counts.xs(day, level="day")
@@ -115,13 +116,24 @@ class TermEntries(StatefulProcessor):
         pass
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(day, term, n, time) of batches of (day, terms, time): documents counted, and their latest time, before anything is shuffled."""
+    for batch in batches:
+        terms = batch.column(1)
+        rows = pc.list_parent_indices(terms)
+        flat = pa.table({"day": batch.column(0).take(rows), "term": terms.flatten(), "time": batch.column(2).take(rows)})
+        got = flat.group_by(["day", "term"]).aggregate([([], "count_all"), ("time", "max")])
+        yield from got.select(["day", "term", "count_all", "time_max"]).rename_columns(["day", "term", "n", "time"]).combine_chunks().to_batches()
+
+
 def dictionary_entries(stream: DataFrame, terms: Column, start_ms: int, ttl: int, delay: str = "1 hour", buckets: int = 64) -> DataFrame:
     """term, init_day, last_day, df, n_days, expired over a stream of (time, ...): an entry's row each time that it changes, and when it expires.
 
     ``terms`` is an array; a document counts once for each of its terms. ``time`` is a timestamp; rows later than ``delay`` behind
     the latest are dropped. The stream's session keeps state in RocksDB (`session`). Null terms and times are dropped.
     """
-    rows = stream.where("time is not null").withWatermark("time", delay)
-    rows = rows.select("time", F.floor((F.unix_millis("time") - start_ms) / DAY_MS).alias("day"), F.explode(F.array_distinct(terms)).alias("term"))
-    rows = rows.where("term is not null").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "day", "time")
+    day = F.floor((F.unix_millis("time") - start_ms) / DAY_MS).alias("day")
+    rows = stream.where("time is not null").select(day, F.filter(F.array_distinct(terms), lambda t: t.isNotNull()).alias("terms"), "time").where("terms is not null")
+    rows = rows.mapInArrow(_counted, "day long, term string, n long, time timestamp").withWatermark("time", delay)
+    rows = rows.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "day", "term", "n", "time")
     return rows.groupBy("bucket").transformWithStateInPandas(TermEntries(ttl, start_ms), ENTRIES, "update", "eventTime")
