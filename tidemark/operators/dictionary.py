@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import STOP_WORDS
+from tidemark.config import A_DAY_MS, START_MS, STOP_WORDS
 from tidemark.functions.numeric import augmented_tf, day_number, idf, idf_whole
 from tidemark.functions.text import terms
 from tidemark.operators.sequence import number_rows
@@ -37,6 +37,30 @@ def document_frequency(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     return tokens.select(doc, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
+def scanned_frequency(tokens: DataFrame, order: str = "seq") -> DataFrame:
+    """term, df as a scan in order of documents and positions counts it, ``order`` being unique to a document.
+
+    A term starts at 1 where it first occurs. After that a document adds 1 only to the first of its terms, by position,
+    that the dictionary has by then, which may be one that the document itself has just brought in.
+    """
+    place = F.col(order) * F.lit(1 << 24) + F.col("pos")
+    first = tokens.groupBy("term").agg(F.min(place).alias("first"))
+    known = tokens.select(order, "term", place.alias("place")).join(first, "term").where("place > first")
+    added = known.groupBy(order).agg(F.min_by("term", "place").alias("term")).groupBy("term").agg(F.count("*").alias("more"))
+    return first.join(added, "term", "left").select("term", (F.coalesce("more", F.lit(0)) + 1).alias("df"))
+
+
+def daily_sketches(tokens: DataFrame, start_ms: int = START_MS, k: int = 14) -> DataFrame:
+    """day, terms: a HyperLogLog sketch of each day's terms, 2**k registers; a relative error of 1.04 / sqrt(2**k) or so."""
+    day = F.floor((F.col("ts_ms") - start_ms) / A_DAY_MS).alias("day")
+    return tokens.select(day, "term").groupBy("day").agg(F.hll_sketch_agg("term", F.lit(k)).alias("terms"))
+
+
+def sketched_size(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, n_terms: the estimated number of distinct terms of a period, from the sketches of its days alone."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("terms")).alias("n_terms"))
+
+
 def term_frequency(tokens: DataFrame, doc: Sequence[str] = ("doc_id",)) -> DataFrame:
     return tokens.groupBy(*doc, "term").agg(F.count("*").alias("tf"))
 

@@ -17,8 +17,12 @@ RANGE_ROWS, LEAST, MOST = 500_000, 8, 4_000
 
 
 def _below(edges: list, value: Column) -> Column:
-    """How many of the ascending edges are at most ``value``; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.lit(edges), lambda e: e <= value)), F.lit(0)) if edges else F.lit(0)
+    """How many of the ascending edges are at most ``value``, by halving: a dozen comparisons for thousands of edges; 0 for null."""
+    if not edges:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(edges).bit_length() - 1, -1, -1)]
+    more = lambda at, step: F.coalesce(F.try_element_at(F.lit(edges), at + step) <= value, F.lit(False))
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(more(at, step), at + step).otherwise(at))
 
 
 def _quantiles(column: str, parts: int) -> Column:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.config import START_MS
 from tidemark.functions import text as X
-from tidemark.operators import bayes, refine
+from tidemark.operators import bayes, evaluate, refine
 from tidemark.plans import catalog as C
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import query
 from tidemark.sources import archive, http_feeds, readers, writers
 from tidemark.storage import file_system, new_path
-from tidemark.streaming import jobs, joins, state
+from tidemark.streaming import jobs, joins, progress, state
 
 TTL = 2
 #: A label comes up to 36 hours after its item here; those of the first 24 count.
@@ -48,10 +50,23 @@ e AS (SELECT *, sum(CASE WHEN gap <= {TTL} THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT term, min(day) AS init_day, max(day) AS last_day, sum(n)::BIGINT AS df, count(*) AS n_days FROM e GROUP BY term, life""")
 def stream_dictionary_entries(spark, sf):
     """The dictionary as keyed state whose entries expire when their term is not seen for more than two days."""
-    entries = state.dictionary_entries(C._by_time(spark, sf), X.tokens(F.col("text")), START_MS, TTL, buckets=16)
+    entries = state.dictionary_entries(C._by_time(spark, sf), X.tokens(F.col("text")), START_MS, TTL)
     return jobs.latest(C._drained(spark, entries, "update"), ("term", "init_day")).drop("expired")
 
 
+@query(f"""WITH {I.ROWS}, {I.bayes_sql(C._TRAIN, C._TEST, add=0.1, vocabulary=False, prior=None)}, s AS (SELECT prediction = label AS ok, (ts_ms - {START_MS}) // {3 * config.A_DAY_MS} AS slice FROM m_pred JOIN numbered USING (doc_id))
+SELECT dense_rank() OVER (ORDER BY slice) - 1 AS batch, count(*) AS n, count(*) FILTER (WHERE ok) AS n_correct, count(*) AS n_input FROM s GROUP BY slice""")
+def stream_progress(spark, sf):
+    """Accuracy of each micro-batch of three days of predictions, as a listener writes it down while the rows pass into a Parquet sink."""
+    model, tokens, rows = C._offline(spark, sf, config.STREAM_RATIO)
+    judged = evaluate.judged(bayes.predict(bayes.scores(model, tokens, rows)), rows).select("doc_id", "ts_ms", "label", "prediction", "correct")
+    folder, metrics = new_path(spark, "progress-in"), new_path(spark, "progress")
+    writers.in_slices(judged, folder, F.floor((F.col("ts_ms") - START_MS) / (3 * config.A_DAY_MS)))
+    stream = progress.measured(readers.sliced_rows(spark, folder, judged.schema), F.col("correct"))
+    progress.run(stream, new_path(spark, "progress-out"), new_path(spark, "progress-checkpoint"), f"progress-{uuid.uuid4().hex}", metrics)
+    return progress.read(spark, metrics)
+
+
 # --- feeds and archives -----------------------------------------------------------------------------
 
 _EVENTS = "e AS (SELECT event_type AS feed, event_id, (epoch_us(ts) // 1000000) * 1000 AS ts_ms, props FROM events)"

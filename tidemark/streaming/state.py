@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Memory of all state stores of an executor.
+STATE_MB = 256
 #: Settings of the caller's session that a session for streams takes over.
 KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes")
 ENTRIES = "term string, init_day long, last_day long, df long, n_days long, expired boolean"
@@ -37,6 +39,9 @@ def session(spark: SparkSession) -> SparkSession:
             own.conf.set(name, value)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Without a bound each of an executor's stores takes buffers of its own.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
     return own
 
 
