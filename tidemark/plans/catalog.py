@@ -762,20 +762,6 @@ def stream_accuracy(spark, sf):
     return _drained(spark, stream, "append", score).select("doc_id", "label", "prediction", "correct")
 
 
-@query()
-def stream_phase_machine(spark, sf):
-    """Training and predicting in turns of event time; which rows meet in a batch is up to the source."""
-    files = new_path(spark, "phase-in")
-    I.docs(spark, sf).repartitionByRange(8, "ts_ms").write.parquet(files)
-    folder = new_path(spark, "phase")
-    rows = spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 1).parquet(files)
-    cycle = 2 * I.SPAN_MS // 8 // config.TIME_SCALE
-    jobs.run_to_end(rows, f"{folder}/checkpoint", jobs.PhaseMachine(spark, folder, cycle, cycle // 2), "append")
-    measured = spark.createDataFrame([], "n long, n_correct long, accuracy double, batch_number int").write
-    measured.mode("append").parquet(f"{folder}/metrics/batch=-1")
-    return spark.read.parquet(f"{folder}/metrics").select("batch", "n", "n_correct", "accuracy")
-
-
 # --- sinks and sources: what is written is read back ------------------------------------------------
 
 

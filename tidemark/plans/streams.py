@@ -67,6 +67,63 @@ def stream_progress(spark, sf):
     return progress.read(spark, metrics)
 
 
+# --- phases -------------------------------------------------------------------------------------------
+
+#: Twelve slices of time, four a cycle, of which the first two train.
+SLICES = 12
+CYCLE = 4 * I.SPAN_MS // SLICES // config.TIME_SCALE
+
+
+def _phase_sql(tf_idf: bool) -> str:
+    """CTEs up to ``judged`` (bn, doc_id, label, prediction): the phase machine's steps by recursion over micro-batches, and a model for each of its fits."""
+    weigh = {
+        # The dictionary of a model has the document frequencies of its training rows; other terms don't count.
+        True: """dfs AS (SELECT model, term, count(DISTINCT doc_id) AS df FROM fits JOIN saved ON bn < model JOIN w USING (doc_id) GROUP BY 1, 2),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+wt AS (SELECT model, doc_id, term, (0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY model, doc_id)) * ln((20000 // df)::DOUBLE) AS weight FROM tfs JOIN dfs USING (term))""",
+        False: "wt AS (SELECT model, doc_id, term, count(*)::DOUBLE AS weight FROM fits CROSS JOIN w GROUP BY 1, 2, 3)",
+    }[tf_idf]
+    return f"""WITH RECURSIVE {I.TERMS}, cut AS (SELECT doc_id, ts_ms, label, words, (ts_ms - {START_MS}) * {SLICES} // {I.SPAN_MS} AS slice FROM termed),
+r AS (SELECT *, dense_rank() OVER (ORDER BY slice) - 1 AS bn FROM cut), w AS (SELECT doc_id, unnest(words) AS term FROM r),
+bt AS (SELECT bn, (min(ts_ms) // 50000) % {CYCLE} < {CYCLE // 2} AS training FROM r GROUP BY 1),
+ph AS (SELECT -1::BIGINT AS bn, true AS train, NULL::BIGINT AS model, false AS held, false AS kept, NULL::BIGINT AS used
+  UNION ALL SELECT bt.bn, CASE WHEN training THEN true WHEN train AND held THEN false ELSE train END,
+    CASE WHEN NOT training AND train AND held THEN bt.bn ELSE model END, held OR (training AND train), training AND train,
+    CASE WHEN training AND train THEN NULL WHEN train AND held THEN bt.bn ELSE model END FROM ph JOIN bt ON bt.bn = ph.bn + 1),
+fits AS (SELECT DISTINCT used AS model FROM ph WHERE used IS NOT NULL), saved AS (SELECT r.bn, doc_id, label FROM r JOIN ph ON ph.bn = r.bn AND kept),
+{weigh},
+c AS (SELECT model, label, term, sum(weight) AS c FROM wt JOIN saved USING (doc_id) WHERE bn < model GROUP BY 1, 2, 3),
+l AS (SELECT d.model, d.label, ln(coalesce(sum(c), 0) + 0.1) AS base FROM (SELECT DISTINCT model, label FROM fits JOIN saved ON bn < model) d LEFT JOIN c ON c.model = d.model AND c.label = d.label GROUP BY 1, 2),
+t AS (SELECT r.bn, r.doc_id, r.label, used AS model FROM r JOIN ph ON ph.bn = r.bn WHERE used IS NOT NULL),
+s AS (SELECT t.doc_id, l.label, sum(wt.weight * (ln(coalesce(c.c, 0) + 0.1) - base)) AS score FROM t JOIN wt ON wt.doc_id = t.doc_id AND wt.model = t.model JOIN l ON l.model = t.model
+  LEFT JOIN c ON c.model = t.model AND c.label = l.label AND c.term = wt.term GROUP BY 1, 2),
+judged AS (SELECT t.bn, t.doc_id, t.label, l.label AS prediction FROM t JOIN l ON l.model = t.model LEFT JOIN s ON s.doc_id = t.doc_id AND s.label = l.label
+  QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY round(coalesce(score, 0), 9) DESC, l.label) = 1)"""
+
+
+def _phases(spark, sf, tf_idf):
+    """The folder in which a phase machine left its results, with a slice of time in each micro-batch."""
+    rows, files, folder = I.docs(spark, sf), new_path(spark, "phase-in"), new_path(spark, "phase")
+    writers.in_slices(rows, files, F.floor((F.col("ts_ms") - START_MS) * SLICES / I.SPAN_MS))
+    machine = jobs.PhaseMachine(spark, folder, CYCLE, CYCLE // 2, tf_idf=tf_idf)
+    jobs.run_to_end(readers.sliced_rows(spark, files, rows.schema), f"{folder}/checkpoint", machine, "append")
+    empty = spark.createDataFrame([], "doc_id long, label string, prediction string, correct boolean")
+    empty.write.mode("overwrite").parquet(f"{folder}/predictions/batch=-1")
+    return spark.read.schema("doc_id long, label string, prediction string, correct boolean, batch int").option("basePath", f"{folder}/predictions").parquet(f"{folder}/predictions")
+
+
+@query(f"{_phase_sql(False)} SELECT bn AS batch, count(*) AS n, count(*) FILTER (WHERE prediction = label) AS n_correct, count(*) FILTER (WHERE prediction = label) / count(*)::DOUBLE AS accuracy FROM judged GROUP BY 1")
+def stream_phase_machine(spark, sf):
+    """Training and predicting in turns of event time, each micro-batch a slice of it: accuracy of each that was predicted."""
+    return evaluate.accuracy(_phases(spark, sf, False), ("batch",)).withColumn("batch", F.col("batch").cast("long"))
+
+
+@query(f"{_phase_sql(True)} SELECT bn AS batch, doc_id, label, prediction FROM judged")
+def stream_phase_tfidf_predictions(spark, sf):
+    """Naive Bayes on tf-idf by phase: dictionary and model are those of the rows that the training phases kept."""
+    return _phases(spark, sf, True).select(F.col("batch").cast("long").alias("batch"), "doc_id", "label", "prediction")
+
+
 # --- feeds and archives -----------------------------------------------------------------------------
 
 _EVENTS = "e AS (SELECT event_type AS feed, event_id, (epoch_us(ts) // 1000000) * 1000 AS ts_ms, props FROM events)"
