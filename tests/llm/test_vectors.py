@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,8 @@ from tests.llm import brute
 from tidemark.llm import curve_search
 from tidemark.llm.curve_search import nearest
 from tidemark.llm.hilbert import curve_keys
-from tidemark.llm.itq_dedup import hamming_radius, learn_rotations, near_duplicate_vectors, plan_tables, roots_of
+from tidemark.llm import itq_dedup
+from tidemark.llm.itq_dedup import Coding, learn_rotations, near_duplicate_vectors, partners, roots_of, substring_bits, unit_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -93,14 +96,68 @@ def test_vector_edge_cases(spark):
 
 
 def test_rotations_are_rotations():
-    turns = learn_rotations(np.random.default_rng(0).normal(size=(500, 12)), 2)
-    for r in turns:
+    for r in islice(learn_rotations(np.random.default_rng(0).normal(size=(500, 12))), 2):
         assert np.allclose(r.T @ r, np.eye(12))
     for classes in (0, 50_000, 10**11):
-        bits, tables, rotations = plan_tables(classes, 10, 64, 0.93)
-        assert tables <= rotations * (64 // bits) and tables >= 10
-        assert classes / 10 / 2**bits <= 4096
-    assert hamming_radius(1.0) == 0 and 24 <= hamming_radius(0.93) <= 32
+        assert classes / 10 / 2 ** substring_bits(classes, 10, 64) <= 4096
+
+
+def one_label(mean, n=6000, size=64, planted=300, seed=3, cosine=(0.9301, 0.945)):
+    """Unit vectors of one label whose mean cosine is ``mean``, and pairs planted at or above the threshold: (vectors, pairs)."""
+    rng = np.random.default_rng(seed)
+    shared = np.zeros(size)
+    shared[0] = 1.0
+    own = rng.normal(size=(n, size))
+    own[:, 0] = 0
+    rows = np.sqrt(mean) * shared + np.sqrt(1 - mean) * unit_rows(own)
+    turn = np.linalg.qr(rng.normal(size=(size, size)))[0]
+    rows = rows @ turn
+    pairs = [(k, n - 1 - k) for k in range(planted)]
+    for a, b in pairs:
+        c = rng.uniform(*cosine)
+        aside = rng.normal(size=size)
+        aside -= (aside @ rows[a]) * rows[a]
+        rows[b] = c * rows[a] + np.sqrt(1 - c * c) * aside / np.linalg.norm(aside)
+    return rows, pairs
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+def test_bits_are_balanced_and_tell_pairs_from_strangers(mean):
+    rows, pairs = one_label(mean)
+    coding = Coding(rows[:4096], np.zeros(4096, np.int64), 6, 0.93)
+    bits = coding.signs(rows, np.zeros(len(rows), np.int64))
+    assert np.abs(bits.mean(axis=0) - 0.5).max() < 0.1
+    own = bits[:, : coding.bits]
+    apart = np.array([(own[a] != own[b]).sum() for a, b in pairs])
+    assert (apart <= coding.radius).mean() >= 0.99
+    strangers = (own[1000:1200, None] != own[None, 2000:2200]).sum(axis=2)
+    assert (strangers <= coding.radius).mean() < (2e-3 if mean > 0.7 else 1e-4)
+
+
+@pytest.mark.parametrize("mean", [0.5, 0.7, 0.8])
+def test_a_label_with_a_common_direction_does_not_become_one_group(spark, mean, monkeypatch):
+    rows, pairs = one_label(mean)
+    sizes = []
+    whole = itq_dedup.connected_components
+
+    def watched(edges, name="components"):
+        out = whole(edges, name)
+        if name == "itq-groups":
+            sizes.append(max([r["count"] for r in out.groupBy("root").count().collect()], default=0))
+        return out
+
+    monkeypatch.setattr(itq_dedup, "connected_components", watched)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df).collect()}
+    near = rows @ rows.T >= 0.93 * np.sqrt(np.outer((rows**2).sum(axis=1), (rows**2).sum(axis=1)))
+    links = near.sum(axis=1) - 1
+    assert sizes[0] < 100
+    assert sum(got.values()) >= 0.99 * links.sum() > 0 and all(got[i] <= links[i] for i in got)
+
+
+def test_partners_lie_at_the_threshold():
+    unit = unit_rows(np.random.default_rng(1).normal(size=(50, 9)))
+    assert np.allclose((partners(unit, 0.93, np.random.default_rng(2)) * unit).sum(axis=1), 0.93)
 
 
 @pytest.mark.parametrize(("axes", "bits"), [(2, 3), (3, 2), (4, 2)])
