@@ -12,8 +12,10 @@ paragraph between long ones stays, and a long entry of a menu goes, whatever the
 The classifier starts from the weights `PRIOR` and is fitted on the blocks of at most
 `TRAIN_PAGES` pages, whose weak labels come from pages' own mark-up: blocks under ``article`` or
 ``main`` count as content, those under ``nav``, ``footer`` and the like as boilerplate. Half of the blocks
-are shown without that mark-up, so that text and place must carry weight of their own. No
-single feature decides: odds are bounded by `MOST_ODDS`, and edges can overturn any of them.
+are shown without that mark-up, and half as if they were plain ``div``s, so that text and place must carry weight of their own, whatever
+elements a site writes its paragraphs in. Mark-up of boilerplate outweighs the best text. Yet no
+single feature decides: odds are bounded by `MOST_ODDS`, and edges can overturn any of them. A page whose blocks are all
+called boilerplate, but for one that is long, without links and unmarked, is judged by a lower bar.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ NAMES = {
     "footer": "footer copyright legal disclaimer",
     "header": "masthead topbar",
     "aside": "sidebar aside related recommended recommendations widget share sharing social",
-    "comment": "comment comments reply replies disqus",
+    "comment": "comment comments reply replies respond disqus discussion discussions",
     "notice": "cookie cookies consent notice notices notification alert popup modal overlay",
     "form": "newsletter subscribe subscription signup login",
     "content": "article content main post entry story body text",
@@ -61,10 +63,15 @@ WORDS = {word: kind for kind, words in NAMES.items() for word in words.split()}
 #: Features and the weights that fitting starts from. The first group is hidden from half of the training blocks.
 PRIOR = {
     "menu": -4.0, "footer": -4.0, "header": -3.0, "aside": -4.0, "form": -4.0, "advert": -4.5, "comment": -4.5, "notice": -4.5, "hidden": -5.0, "article": 3.0, "content": 1.0,
-    "bias": -1.0, "length": 2.5, "short": -0.5, "links": -4.0, "sentence": 0.8, "paragraph": 0.8, "heading": 0.8, "item": -0.3, "first": -0.2, "last": -0.4,
+    "bias": -1.0, "length": 2.5, "short": -0.5, "links": -4.0, "sentence": 0.8, "commas": 0.4, "first": -0.2, "last": -0.4, "paragraph": 0.8, "heading": 0.8, "item": -0.3,
 }
 FEATURES = tuple(PRIOR)
-MARKUP = FEATURES.index("bias")
+#: Features before `MARKUP` are mark-up, those from `LAYOUT` on the kind of element.
+MARKUP, LAYOUT = FEATURES.index("bias"), FEATURES.index("paragraph")
+#: How far fitting may move weights from the prior, and those of the kind of element.
+SPREAD, LAYOUT_SPREAD = 1.0, 0.3
+#: Characters of a block that can make a page be judged by a lower bar, and the most of them that may be links.
+LONG, LINKED = 140, 0.2
 #: The bounds of the sample that the classifier is fitted on: pages, and characters of one of them.
 TRAIN_PAGES = 400
 TRAIN_CHARS = 100_000
@@ -120,6 +127,8 @@ def kinds_of(name: str, attributes: str, outer: Element) -> frozenset[str]:
         own = {WORDS[w] for w in words if w in WORDS}
         # A page's outermost elements may be named after anything; they hold the content too.
         found |= own & {"content"} if name in ("html", "body", "main", "article") else own
+    if found - CONTENT:  # related-content and the like
+        found.discard("content")
     # What is marked inside an article is no part of it.
     around = outer.kinds - CONTENT if found - CONTENT else outer.kinds
     return around | found if found - around else around
@@ -251,6 +260,7 @@ class Page:
             row[at["short"]] = len(text) < 25
             row[at["links"]] = min(1.0, block.linked / max(sum(map(len, block.parts)), 1))
             row[at["sentence"]] = text[-1] in ".!?\u2026\"'\u201d\u00bb)\u3002"
+            row[at["commas"]] = min(text.count(",") / 3, 1)
             row[at["paragraph"]] = name in ("p", "blockquote", "pre")
             row[at["heading"]] = name in HEADINGS
             row[at["item"]] = name in ("li", "td", "th", "dt", "dd")
@@ -276,8 +286,14 @@ class Page:
 
     def text(self, weights: np.ndarray) -> str:
         """The content blocks, joined by one line feed."""
-        odds = np.clip(self.features() @ weights, -MOST_ODDS, MOST_ODDS)
+        features = self.features()
+        odds = np.clip(features @ weights, -MOST_ODDS, MOST_ODDS)
         content = minimum_cut(odds.tolist(), self.edges())
+        if not any(content):
+            body = [i for i, t in enumerate(self.texts) if len(t) >= LONG and features[i, FEATURES.index("links")] <= LINKED and not self.blocks[i].parent.kinds - CONTENT]
+            if body:
+                lift = max(1.0 - odds[body].max(), 0.0)
+                content = minimum_cut(np.clip(odds + lift, -MOST_ODDS, MOST_ODDS).tolist(), self.edges())
         return "\n".join(t for t, c in zip(self.texts, content, strict=True) if c)
 
 
@@ -298,27 +314,36 @@ def steps(a: Element, b: Element, most: int) -> int:
 START = np.array([PRIOR[f] for f in FEATURES])
 
 
-def fit(features: np.ndarray, labels: np.ndarray, spread: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit(features: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Weights of the logistic classifier: Newton's method on the log loss plus the distance to the prior weights.
 
-    Every other block of each label is shown without its mark-up features. The two labels weigh the same.
+    Of four blocks of a label one is shown as it is, one without its mark-up features, one without the kind of its element, and one
+    with neither. The two labels weigh the same. What speaks for boilerplate by mark-up ends up stronger than a long paragraph's text.
     Without blocks of both labels the prior weights stand.
     """
     x, y = features[labels >= 0].copy(), labels[labels >= 0].astype(np.float64)
     if not len(y) or y.min() == y.max():
         return START.copy()
     for label in (0, 1):
-        x[np.flatnonzero(y == label)[::2], :MARKUP] = 0
+        own = np.flatnonzero(y == label)
+        x[own[::2], :MARKUP] = 0
+        x[np.concatenate([own[::4], own[1::4]]), LAYOUT:] = 0
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * min(len(y), 1000)
+    hold = np.where(np.arange(len(START)) >= LAYOUT, 1 / LAYOUT_SPREAD**2, 1 / SPREAD**2)
     w = START.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (each * (p - y)) + (w - START) / spread**2
-        bend = (x * (each * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2
+        slope = x.T @ (each * (p - y)) + (w - START) * hold
+        bend = (x * (each * p * (1 - p))[:, None]).T @ x + np.diag(hold)
         move = np.linalg.solve(bend, slope)
         w -= move * min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
         if np.abs(move).max() < 1e-6:
             break
+    at = {name: k for k, name in enumerate(FEATURES)}
+    best = w[at["bias"]] + 1.5 * w[at["length"]] + max(w[at["sentence"]], 0) + max(w[at["commas"]], 0) + max(w[at["paragraph"]], 0)
+    for name in FEATURES[:MARKUP]:
+        if name not in CONTENT:
+            w[at[name]] = min(w[at[name]], START[at[name]], -best - 0.5)
     return w
 
 
