@@ -196,3 +196,20 @@ def test_components_of_a_chain_a_star_and_rings(spark):
     mixed = [(ids[a], ids[b]) for a, b in edges]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(mixed, "a long, b long")).collect()}
     assert got == brute.groups({x for e in mixed if e[0] != e[1] for x in e}, mixed)
+
+
+def test_the_query_s_settings_compact_runs(spark, sf_dir, monkeypatch):
+    """With its own batches and fanout a run of the second level is made, and the next batch meets it."""
+    from tidemark.llm import queries
+
+    levels = []
+    whole = FingerprintLog.add
+
+    def watched(self, batch):
+        levels.append(sorted(x for x, _ in self.runs))
+        return whole(self, batch)
+
+    monkeypatch.setattr(FingerprintLog, "add", watched)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op1_substring_dedup(spark, sf_dir).collect()}
+    assert got == brute.substring_dedup(docs, 50) and levels == [[], [0], [1]]

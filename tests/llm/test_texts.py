@@ -501,3 +501,45 @@ def test_html_edge_cases(spark):
     assert sorted((r.text[:9], r.n_chars) for r in got) == [("", 0), ("", 0), ("cut", 3), ("long text", 499)]
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert hashlib.sha256(html_text.main_text(PAGE).encode()).hexdigest() == hashlib.sha256(html_text.main_text(PAGE + "</html>").encode()).hexdigest()
+
+
+def test_toxicity_fits_one_text_of_an_id_and_no_very_long_ones(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: seen.append(df.count()) or df)
+    docs = [(1, "some words")] * 50 + [(2, "other words")] * 3 + [(3, "x " * toxicity.TRAIN_CHARS), (4, None)]
+    known = [(i, i % 2) for i in range(1, 5)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    taken = []
+    monkeypatch.setattr(toxicity, "_fit", lambda batches: (taken.append(1) for _ in batches))
+    monkeypatch.setattr(toxicity, "held_out", lambda c: F.lit(False))
+    whole = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema, *a, **k: taken.append(sorted(r.doc_id for r in self.collect())) or whole(self.limit(0), f, schema))
+    toxicity.train(rows, spark.createDataFrame(known, "doc_id long, toxic int"))
+    assert taken[0] == [1, 2, 4]
+
+
+def test_toxicity_gradient_by_finite_differences():
+    """One step of the fit moves each parameter against the slope of its loss."""
+    rng = np.random.default_rng(3)
+    n, k = 40, 6
+    owner = np.repeat(np.arange(n), 3)
+    term = np.concatenate([rng.choice(k, 3, replace=False) for _ in range(n)])
+    label = rng.integers(0, 2, n)
+    model = toxicity.Model(-0.3, np.arange(k, dtype=np.uint64), rng.normal(size=k), rng.normal(size=(k, toxicity.FACTORS)) / 3)
+
+    def log_loss():
+        margin, _ = model.margin(term, owner, n)
+        return np.mean(np.logaddexp(0, margin) - label * margin)
+
+    margin, sums = model.margin(term, owner, n)
+    error = (1 / (1 + np.exp(-margin)) - label) / n
+    slope_w = np.bincount(term, error[owner], k)
+    for i in range(k):
+        for place, slope in ((model.weights, slope_w[i]), (model.factors[:, 0], np.bincount(term, error[owner] * (sums[owner, 0] - model.factors[term, 0]), k)[i])):
+            before = place[i]
+            place[i] = before + 1e-5
+            high = log_loss()
+            place[i] = before - 1e-5
+            low = log_loss()
+            place[i] = before
+            assert (high - low) / 2e-5 == pytest.approx(slope, abs=1e-7)

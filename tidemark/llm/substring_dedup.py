@@ -35,7 +35,8 @@ from tidemark.llm.words import FIRST, SECOND, Words, chunks, signed, sliding_min
 
 WINDOW = 50
 GRAM = 10
-FANOUT = 4
+#: Batches that a table is indexed in, and runs of a level that are compacted: the third batch meets a compacted run.
+BATCHES, FANOUT = 3, 2
 
 _BLOCKS = "doc_id long, version int, anchor long, d1 long, d2 long, start int, n_windows int"
 _WINDOWS = "doc_id long, version int, old boolean, w1 long, w2 long, start int"
@@ -244,7 +245,7 @@ def versioned(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("version"), text.alias("text"), *(F.col(c).alias(f"_{c}") for c in keep))
 
 
-def substring_dedup(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+def substring_dedup(documents: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """Index ``documents`` in ``batches`` of ascending doc_id; one row per document: doc_id, the columns ``keep``, kept_text, n_words, n_removed.
 
     A word goes when a window that covers it also starts in a document with a smaller

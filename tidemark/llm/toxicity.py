@@ -27,6 +27,8 @@ from tidemark.llm.words import FIRST, Words, chunks, mix
 
 #: The sample bound: at most so many labelled rows are used to fit.
 TRAIN_ROWS = 8000
+#: Longer texts are not fitted on (they are scored whole, as all are).
+TRAIN_CHARS = 200_000
 PREFIXES = (4, 5, 6)
 TERMS = 4096
 FACTORS = 8
@@ -170,13 +172,15 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents outside the held-out fold, the first by a hash of their id.
 
-    ``labels`` has doc_id and toxic (0 or 1; null or repeated rows: the largest counts).
+    ``labels`` has doc_id and toxic (0 or 1; null or repeated rows: the largest counts). Of documents that repeat an id one text
+    is fitted on, the first by a hash; texts above `TRAIN_CHARS` are not. So rows and bytes of the fit are bounded.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxicity-sample")
     # The sample is bounded by ``rows``, so it may be broadcast.
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).groupBy("doc_id", "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
     fitted = materialize(texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fit, "w0 double, hashes binary, weights binary, factors binary"), "toxicity-model")
     row = fitted.first()
     if row is None:  # an empty table may have no partition at all
