@@ -1,3 +1,3 @@
 """The registered queries: importing this package registers them all."""
 
-from tidemark.plans import catalog, stored, streams  # noqa: F401
+from tidemark.plans import catalog, in_sql, stored, streams  # noqa: F401
