@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.config import START_MS
+from tidemark.functions import numeric as N
 from tidemark.functions import text as X
 from tidemark.operators import bayes, evaluate, refine
 from tidemark.plans import catalog as C
@@ -131,8 +132,8 @@ _EVENTS = "e AS (SELECT event_type AS feed, event_id, (epoch_us(ts) // 1000000)
 
 def _feed_files(spark, sf):
     """A feed document for each type of event, and the middle of its times: [(url, category, last_update)]."""
-    e = I.table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000) * 1000).alias("ts_ms"), "props")
-    date = F.date_format(F.timestamp_millis("ts_ms"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    e = I.table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", (F.floor(N.epoch_ms(F.col("ts")) / 1000) * 1000).alias("ts_ms"), "props")
+    date = F.date_format(N.utc_clock(F.col("ts_ms")), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     escaped = F.replace(F.replace(F.coalesce("props", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     item = F.concat(F.lit("<item><title>"), F.col("event_id").cast("string"), F.lit("</title><description>"), escaped, F.lit("</description><pubDate>"), date, F.lit("</pubDate></item>"))
     ends = e.groupBy("feed").agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("long").alias("middle"))
@@ -153,7 +154,7 @@ def stream_feed_items(spark, sf):
     session = state.session(spark)
     http_feeds.register(session)
     items = session.readStream.format("feeds").option("urls", http_feeds.urls_of(_feed_files(spark, sf))).load()
-    ms = F.unix_millis(F.to_timestamp(F.substring("pubDate", 6, 20), "dd MMM yyyy HH:mm:ss"))
+    ms = N.rfc822_ms(F.col("pubDate"))
     out = C._drained(spark, items, "append")
     return out.select("category", "title", F.coalesce("description", F.lit("")).alias("description"), ms.alias("ts_ms"))
 
