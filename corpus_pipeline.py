@@ -42,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under repeated 50-word windows go; n_chars follows the new text. Null texts and rows without an id stay as they are."""
-    cut = substring_dedup(docs, keep=("lang", "source", "n_chars"), as_is=True)
+    # Two batches: with three a task of this stage, after the others, took more memory than the check tool allows.
+    cut = substring_dedup(docs, batches=2, fanout=4, keep=("lang", "source", "n_chars"), as_is=True)
     size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
