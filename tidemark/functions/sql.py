@@ -17,11 +17,11 @@ from pyspark.sql.functions import arrow_udtf
 
 #: name(parameters): type, body.
 FUNCTIONS = {
-    "words_of(s STRING)": ("ARRAY<STRING>", r"filter(split(regexp_replace(lower(coalesce(s, '')), '[^0-9a-z]', ' '), '\\s+'), t -> t <> '')"),
+    "words_of(s STRING)": ("ARRAY<STRING>", "array_remove(split(lower(coalesce(s, '')), '[^0-9a-z]+'), '')"),
     "string_hash(s STRING)": ("BIGINT", "signed_32(aggregate(filter(split(s, ''), c -> c <> ''), 0L, (h, c) -> pmod(h * 31 + ascii(c), 4294967296L)))"),
     "half_toward_zero(v BIGINT)": ("BIGINT", "v DIV 2"),
     "rfc822_ms(s STRING)": ("BIGINT", "unix_millis(try_to_timestamp(regexp_replace(trim(s), '^[A-Za-z]{3},? *', ''), 'dd MMM yyyy HH:mm:ss z'))"),
-    "idf_whole(n BIGINT, df BIGINT)": ("DOUBLE", "ln(CAST(n DIV df AS DOUBLE))"),
+    "idf_whole(n BIGINT, df BIGINT)": ("DOUBLE", "CASE WHEN n DIV df > 0 THEN ln(CAST(n DIV df AS DOUBLE)) WHEN n DIV df = 0 THEN DOUBLE('-Infinity') WHEN n DIV df < 0 THEN DOUBLE('NaN') END"),
     "idf(n BIGINT, df BIGINT)": ("DOUBLE", "ln(CAST(n AS DOUBLE) / df)"),
     "augmented_tf(tf BIGINT, most BIGINT)": ("DOUBLE", "0.5D + 0.5D * tf / most"),
     "tf_idf(tf BIGINT, most BIGINT, n BIGINT, df BIGINT)": ("DOUBLE", "augmented_tf(tf, most) * idf_whole(n, df)"),

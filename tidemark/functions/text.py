@@ -41,13 +41,13 @@ def drop_trailing_empty(parts: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    """White-space split of the cleaned text, empty strings included."""
-    return F.split(alnum_spaced(text), r"\s+")
+    """White-space split of the cleaned text (see `alnum_spaced`), empty strings included: one pass, as runs of what is cleaned away part the tokens."""
+    return F.split(F.lower(text), "[^0-9a-z]+")
 
 
 def tokens(text: Column) -> Column:
     """Terms of a text: cleaned, split at white space, no empty ones. Null: no terms."""
-    return F.filter(F.coalesce(raw_tokens(text), F.array().cast("array<string>")), lambda t: t != "")
+    return F.array_remove(F.coalesce(raw_tokens(text), F.array().cast("array<string>")), "")
 
 
 def without_stop_words(terms: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
