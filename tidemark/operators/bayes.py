@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import MULTINOMIAL, Smoothing
+from tidemark.functions.numeric import ln
+from tidemark.operators.dictionary import join_terms
 from tidemark.storage import materialize
 
 #: Rows of a labels' table (of a few numbers each) that a broadcast may have.
@@ -42,7 +44,7 @@ def fit(tokens: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothi
     by = [*key, "label"]
     add = float(smoothing.add)
     amount = F.sum(weight) if weight else F.count("*").cast("double")
-    counts = tokens.groupBy(*by, "term").agg(amount.alias("count"))
+    counts = materialize(tokens.groupBy(*by, "term").agg(amount.alias("count")), "bayes-counts")
     totals = counts.groupBy(*by).agg(F.sum("count").alias("total"))
     documents = docs.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
     labels = documents.join(totals, by, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
@@ -58,16 +60,16 @@ def fit(tokens: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothi
         base = F.col("total") + add
     prior = {
         "documents": F.log(F.col("n") + add) - F.log(F.col("all_n") + F.col("k") * add),
-        "words": F.log(F.col("total") / F.col("all_total")),
+        "words": ln(F.col("total") / F.col("all_total")),
         None: F.lit(0.0),
     }[smoothing.prior]
-    unseen = F.lit(add) if smoothing.seen_only else F.log(F.lit(add)) - F.log(base)
-    labels = labels.select(*by, "n", "total", prior.alias("prior"), unseen.alias("unseen"), F.log(base).alias("log_base"))
-    gain = F.log(F.col("count") + add) - F.col("log_base")
+    unseen = F.lit(add) if smoothing.seen_only else F.log(F.lit(add)) - ln(base)
+    labels = labels.select(*by, "n", "total", prior.alias("prior"), unseen.alias("unseen"), ln(base).alias("log_base"))
+    gain = ln(F.col("count") + add) - F.col("log_base")
     if not smoothing.seen_only:
         gain = gain - F.col("unseen")
     labels = materialize(labels, "bayes-labels")
-    conditionals = counts.join(_sized(labels), by).select(*by, "term", "count", (F.log(F.col("count") + add) - F.col("log_base")).alias("log_theta"), gain.alias("gain"))
+    conditionals = counts.join(_sized(labels), by).select(*by, "term", "count", (ln(F.col("count") + add) - F.col("log_base")).alias("log_theta"), gain.alias("gain"))
     labels = labels.withColumn("unseen", F.lit(0.0)) if smoothing.seen_only else labels
     return Model(labels, materialize(conditionals, "bayes-conditionals"), key, smoothing)
 
@@ -88,13 +90,15 @@ def scores(model: Model, tokens: DataFrame, docs: DataFrame, doc: str = "doc_id"
         tokens = tokens.join(dictionary.select("term"), "term", "left_semi")
     tokens = tokens.select(*key, doc, "term", (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
     length = tokens.groupBy(*key, doc).agg(F.sum("weight").alias("length"))
-    seen = tokens.join(model.conditionals.select(*key, "label", "term", "gain"), [*key, "term"])
+    gains = model.conditionals.select(*key, "label", "term", "gain", "count")
+    # A weighted count may be minus infinity: that of a term in very many documents.
+    seen = tokens.join(gains, [*key, "term"]) if key else join_terms(tokens, gains, F.abs("count"))
     seen = seen.groupBy(*key, doc, "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("gain"))
     rows = docs.select(*key, doc).join(length, [*key, doc], "left")
     labels = model.labels.select(*key, "label", "prior", "unseen")
     rows = rows.join(_sized(labels), key) if key else rows.crossJoin(_sized(labels))
     rows = rows.join(seen, [*key, doc, "label"], "left")
-    score = F.col("prior") + F.coalesce("length", F.lit(0.0)) * F.col("unseen") + F.coalesce("gain", F.lit(0.0))
+    score = F.col("prior") + F.coalesce(F.col("length") * F.col("unseen"), F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))
     return rows.select(*key, doc, "label", score.alias("score"))
 
 

@@ -6,15 +6,22 @@ aggregations and joins over it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import A_DAY_MS, START_MS, STOP_WORDS
 from tidemark.functions.numeric import augmented_tf, day_number, idf, idf_whole
 from tidemark.functions.text import terms
 from tidemark.operators.sequence import number_rows
+from tidemark.storage import materialize
+
+#: Rows of a table of terms that are broadcast: those of its most frequent terms, which are nearly all tokens.
+HOT_ROWS = 200_000
 
 
 def token_table(docs: DataFrame, keep: Sequence[str], stop_words: Sequence[str] = STOP_WORDS, least: int = 0, text: str = "text") -> DataFrame:
@@ -25,11 +32,55 @@ def token_table(docs: DataFrame, keep: Sequence[str], stop_words: Sequence[str]
     return rows.select(*keep, F.posexplode("_t").alias("pos", "term"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (keep..., terms) as rows (keep..., term, tf): each row's distinct terms."""
+    for batch in batches:
+        terms = batch.column(batch.num_columns - 1)
+        pairs = pa.table({"row": pc.list_parent_indices(terms), "term": pc.list_flatten(terms)})
+        got = pairs.group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+        for part in got.to_batches(max_chunksize=100_000):
+            row = part.column("row")
+            kept = [batch.column(i).take(row) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, part.column("term"), part.column("count_all")], [*batch.schema.names[:-1], "term", "tf"])
+
+
+def counted_terms(rows: DataFrame, keep: Sequence[str], terms: Column | str = "terms") -> DataFrame:
+    """keep..., term, tf of rows with an array of terms (without nulls): counted where they are read, nothing is shuffled.
+
+    Rows that repeat a document give rows of their own; `weighed` and `sparse_vectors` add them up.
+    """
+    rows = rows.select(*keep, (F.col(terms) if isinstance(terms, str) else terms).alias("_terms")).where("_terms is not null")
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(_counted, ", ".join([*fields, "term string", "tf long"]))
+
+
+def join_terms(tokens: DataFrame, table: DataFrame, often: Column, most: int = HOT_ROWS) -> DataFrame:
+    """Inner join by ``term`` with a written table of terms, without a shuffle of the tokens of its most frequent terms.
+
+    ``often`` says how frequent a term of the table is. A table of up to ``most`` rows is broadcast whole; of a larger one that many
+    rows' worth of terms, and the other tokens meet the rest in a shuffle. Terms may have several rows.
+    """
+    rows = table.count()
+    if rows <= most:
+        return tokens.join(F.broadcast(table), "term")
+    by_term = table.groupBy("term").agg(F.max(often).alias("_often"), F.count("*").alias("_rows"))
+    per_term = by_term.agg(F.max("_rows")).first()[0]
+    hot = materialize(by_term.orderBy(F.desc("_often")).limit(max(most // per_term, 1)).select("term"), "hot-terms")
+    near = tokens.join(F.broadcast(table.join(F.broadcast(hot), "term", "left_semi")), "term")
+    far = tokens.join(F.broadcast(hot), "term", "left_anti").join(table.join(F.broadcast(hot), "term", "left_anti"), "term")
+    return near.unionByName(far)
+
+
 def first_seen_ids(tokens: DataFrame, order: str = "seq") -> DataFrame:
     """term, term_id: ids from 0 in the order in which terms first occur."""
+    return counted_ids(tokens, order).select("term", "term_id")
+
+
+def counted_ids(tokens: DataFrame, order: str = "seq") -> DataFrame:
+    """term, term_id, n: the same with each term's occurrences."""
     # One long per place keeps the order numeric: documents' positions stay below 2**24.
     place = F.min(F.col(order) * F.lit(1 << 24) + F.col("pos")).alias("first")
-    return number_rows(tokens.groupBy("term").agg(place), "first", ("term",), "term_id").select("term", "term_id")
+    return number_rows(tokens.groupBy("term").agg(place, F.count("*").alias("n")), "first", ("term",), "term_id").select("term", "term_id", "n")
 
 
 def document_frequency(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -86,11 +137,15 @@ def tf_idf(tokens: DataFrame, n_docs: int = 20_000, augmented: bool = True) -> D
 
 
 def weighed(tokens: DataFrame, dictionary: DataFrame, n_docs: int = 20_000, doc: str = "doc_id") -> DataFrame:
-    """doc, term, weight: augmented tf-idf with the document frequencies of a dictionary (term, df); other terms are dropped."""
-    tf = term_frequency(tokens, (doc,)).join(dictionary.select("term", "df"), "term")
-    most = tf.groupBy(doc).agg(F.max("tf").alias("most"))
-    weight = augmented_tf(F.col("tf"), F.col("most")) * idf_whole(n_docs, F.col("df"))
-    return tf.join(most, doc).select(doc, "term", weight.alias("weight"))
+    """doc, term, weight: augmented tf-idf with the document frequencies of a written dictionary (term, df); other terms are dropped.
+
+    ``tokens`` are rows of single terms, or counted ones (`counted_terms`). Documents are shuffled once.
+    """
+    counts = tokens.select(doc, "term", F.col("tf") if "tf" in tokens.columns else F.lit(1).cast("long").alias("tf"))
+    known = join_terms(counts, dictionary.select("term", "df"), F.col("df")).repartition(doc)
+    tf = known.groupBy(doc, "term").agg(F.sum("tf").alias("tf"), F.max("df").alias("df"))
+    weight = augmented_tf(F.col("tf"), F.max("tf").over(Window.partitionBy(doc))) * idf_whole(n_docs, F.col("df"))
+    return tf.select(doc, "term", weight.alias("weight"))
 
 
 def words_after(lines: DataFrame, order: str, text: str, skip: int = 7) -> DataFrame:
@@ -110,8 +165,13 @@ def grown(dictionary: DataFrame, tokens: DataFrame, order: str = "seq") -> DataF
 
 
 def sparse_vectors(tf: DataFrame, dictionary: DataFrame, doc: str = "doc_id", compat: bool = False) -> DataFrame:
-    """doc, indices, values with indices ascending; compat: values are sorted on their own, as a quirk of old data."""
-    pairs = tf.join(dictionary, "term").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("p"))
+    """doc, indices, values with indices ascending; compat: values are sorted on their own, as a quirk of old data.
+
+    With a written dictionary of `counted_ids`, the tokens of its most frequent terms get their ids without a shuffle.
+    """
+    known = join_terms(tf, dictionary, F.col("n")) if "n" in dictionary.columns else tf.join(dictionary, "term")
+    known = known.select(doc, "term_id", "tf").repartition(doc).groupBy(doc, "term_id").agg(F.sum("tf").alias("tf"))
+    pairs = known.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_id", "tf"))).alias("p"))
     values = F.transform("p", lambda x: x["tf"].cast("double"))
     return pairs.select(doc, F.transform("p", lambda x: x["term_id"]).alias("indices"), (F.array_sort(values) if compat else values).alias("values"))
 
@@ -123,6 +183,39 @@ def hashed_vectors(tokens: DataFrame, size: int = 1000, doc: str = "doc_id") ->
     return tokens.groupBy(doc, F.pmod(java_hash(F.col("term")), F.lit(size)).alias("bucket")).agg(F.count("*").alias("tf"))
 
 
+def _hashed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(batch.num_columns - 1)
+            coded = pc.list_flatten(terms).dictionary_encode()
+            bucket = (java_hashes(coded.dictionary) % size)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+            pairs = pa.table({"row": pc.list_parent_indices(terms), "bucket": pa.array(bucket, pa.int64())})
+            got = pairs.group_by(["row", "bucket"]).aggregate([([], "count_all")]).combine_chunks()
+            for part in got.to_batches():
+                kept = [batch.column(i).take(part.column("row")) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, part.column("bucket"), part.column("count_all")], [*batch.schema.names[:-1], "bucket", "tf"])
+
+    return run
+
+
+def java_hashes(terms: pa.Array) -> np.ndarray:
+    """`java_hash` of each string of an array without nulls."""
+    points = np.frombuffer("".join(terms.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    length = np.asarray(pc.utf8_length(terms)).astype(np.int64)
+    start, out = np.cumsum(length) - length, np.zeros(len(length), np.int64)
+    for i in range(int(length.max(initial=0))):
+        long = np.flatnonzero(length > i)
+        out[long] = (out[long] * 31 + points[start[long] + i]) % (1 << 32)
+    return np.where(out >= 1 << 31, out - (1 << 32), out)
+
+
+def hashed_counts(rows: DataFrame, keep: Sequence[str], size: int = 1000) -> DataFrame:
+    """keep..., bucket, tf of rows with an array ``terms`` (without nulls): hashed and counted where they are read, each distinct term of a batch once."""
+    rows = rows.select(*keep, "terms").where("terms is not null")
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(_hashed(size), ", ".join([*fields, "bucket long", "tf long"]))
+
+
 def word_count(df: DataFrame, text: str) -> DataFrame:
     """Words between single spaces, counted."""
     return df.select(F.explode(F.split(text, " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

@@ -207,7 +207,8 @@ def dictionary_build(spark, sf):
 
 @query(f"WITH {I.ROWS}, {_IDS} SELECT doc_id, pos, term_id FROM tok JOIN ids USING (term)")
 def dictionary_lookup(spark, sf):
-    return I.tokens(spark, sf).join(_dictionary_of(spark, sf), "term").select("doc_id", F.col("pos").cast("long").alias("pos"), "term_id")
+    ids = materialize(dictionary.counted_ids(I.tokens(spark, sf)), "dictionary-ids")
+    return dictionary.join_terms(I.tokens(spark, sf).select("doc_id", "pos", "term"), ids, F.col("n")).select("doc_id", F.col("pos").cast("long").alias("pos"), "term_id")
 
 
 @query(f"WITH {I.ROWS}, b AS (SELECT DISTINCT unnest(string_split_regex(regexp_replace(lower(text), '[^0-9a-z]', ' ', 'g'), '\\s+')) AS term FROM benchmark) SELECT doc_id, count(*) AS known FROM tok WHERE term IN (SELECT term FROM b) GROUP BY 1")
@@ -272,7 +273,8 @@ def sparse_vectors_compat(spark, sf):
 
 
 def _vectors(spark, sf, compat):
-    rows = dictionary.sparse_vectors(dictionary.term_frequency(I.tokens(spark, sf)), _dictionary_of(spark, sf), compat=compat)
+    ids = materialize(dictionary.counted_ids(I.tokens(spark, sf)), "dictionary-ids")
+    rows = dictionary.sparse_vectors(I.term_counts(spark, sf).select("doc_id", "term", "tf"), ids, compat=compat)
     return rows.select("doc_id", F.array_join(F.transform("indices", lambda x: x.cast("string")), " ").alias("indices"), F.array_join(F.transform("values", lambda x: x.cast("long").cast("string")), " ").alias("vals"))
 
 
@@ -635,14 +637,16 @@ def batch_rates(spark, sf):
 def incremental_nb(spark, sf):
     """Its learning rate depends on its own accuracy, which SQL can't express; tests hold it against a plain loop."""
     tokens = I.tokens(spark, sf)
-    return policies.incremental_predictions(tokens, I.numbered(spark, sf), dictionary.first_seen_ids(tokens), list(I.LANGS), INCREMENTAL)
+    ids = materialize(dictionary.counted_ids(tokens), "dictionary-ids")
+    return policies.incremental_predictions(tokens, I.numbered(spark, sf), ids, list(I.LANGS), INCREMENTAL)
 
 
 @query()
 def error_triggered_nb(spark, sf):
     """Its retrainings depend on its own accuracy; tests hold it against a plain loop."""
     tokens = I.tokens(spark, sf)
-    return policies.error_triggered_predictions(tokens, I.numbered(spark, sf), dictionary.first_seen_ids(tokens), list(I.LANGS), TRIGGERED)
+    ids = materialize(dictionary.counted_ids(tokens), "dictionary-ids")
+    return policies.error_triggered_predictions(tokens, I.numbered(spark, sf), ids, list(I.LANGS), TRIGGERED)
 
 
 # --- streams ------------------------------------------------------------------------------------
@@ -714,7 +718,7 @@ p AS (SELECT n.doc_id, n.label, l.label AS prediction FROM numbered n CROSS JOIN
 SELECT doc_id, label, prediction FROM p""")
 def stream_tfidf_nb_predictions(spark, sf):
     """Naive Bayes on tf-idf: the dictionary and the model are those of the training period, each micro-batch is weighed and scored by them."""
-    train = I.tokens(spark, sf).where(F.col("ts_ms") < DAY4)
+    train = I.term_counts(spark, sf).where(F.col("ts_ms") < DAY4)
     rows = I.numbered(spark, sf).where(F.col("ts_ms") < DAY4)
     known = materialize(dictionary.document_frequency(train), "tfidf-dictionary")
     weighed = dictionary.weighed(train, known).join(rows.select("doc_id", "label"), "doc_id")
@@ -722,7 +726,7 @@ def stream_tfidf_nb_predictions(spark, sf):
 
     def score(batch):
         usable = refine.enough_terms(batch, X.terms(F.col("text")), 2)
-        tokens = dictionary.weighed(dictionary.token_table(usable, ("doc_id",)), known)
+        tokens = materialize(dictionary.weighed(dictionary.counted_terms(usable, ("doc_id",), X.terms(F.col("text"))), known), "tfidf")
         docs = usable.select("doc_id", "label")
         return evaluate.judged(bayes.predict(bayes.scores(model, tokens, docs, weight="weight")), docs)
 
@@ -733,16 +737,18 @@ def stream_tfidf_nb_predictions(spark, sf):
 {I.bayes_sql(_TRAIN, _TEST, tok='hashed')} SELECT doc_id, label, prediction FROM m_pred JOIN numbered USING (doc_id)""")
 def stream_hashed_nb_predictions(spark, sf):
     """Naive Bayes on terms hashed to 1000 indices: fitted on the training period, each micro-batch is hashed and scored."""
-    bucket = F.pmod(X.java_hash(F.col("term")), F.lit(1000))
-    train = I.tokens(spark, sf).withColumn("term", bucket)
-    rows = I.numbered(spark, sf).where(F.col("ts_ms") < DAY4)
-    model = bayes.fit(train.where(F.col("ts_ms") < DAY4), rows, train.select("term").distinct())
+    items = I.items(spark, sf)
+    train = dictionary.hashed_counts(items, ("ts_ms", "label")).withColumnRenamed("bucket", "term")
+    size = train.select("term").distinct()
+    train = train.where(F.col("ts_ms") < DAY4).withColumn("tf", F.col("tf").cast("double"))
+    model = bayes.fit(train, items.where(F.col("ts_ms") < DAY4).select("label"), size, weight="tf")
 
     def score(batch):
         usable = refine.enough_terms(batch, X.terms(F.col("text")), 2)
-        tokens = dictionary.token_table(usable, ("doc_id",)).withColumn("term", bucket)
+        tokens = dictionary.hashed_counts(usable.select("doc_id", X.terms(F.col("text")).alias("terms")), ("doc_id",)).withColumnRenamed("bucket", "term")
         docs = usable.select("doc_id", "label")
-        return evaluate.judged(bayes.predict(bayes.scores(model, tokens, docs)), docs)
+        tokens = materialize(tokens.withColumn("tf", F.col("tf").cast("double")), "hashed")
+        return evaluate.judged(bayes.predict(bayes.scores(model, tokens, docs, weight="tf")), docs)
 
     return _drained(spark, _stream(spark, sf).where(F.col("ts_ms") > DAY4), "append", score).select("doc_id", "label", "prediction")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import START_MS, STOP_WORDS
 from tidemark.functions.numeric import utc_clock
 from tidemark.functions.text import terms
+from tidemark.operators.dictionary import counted_terms
 from tidemark.operators.sequence import number_rows
 from tidemark.storage import materialize, shared_table
 
@@ -56,6 +57,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("doc_id", "seq", "ts_ms", "label", F.posexplode("terms").alias("pos", "term"))
 
 
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, ts_ms, label, term, tf: a row for each distinct term of an item."""
+    return counted_terms(items(spark, sf_dir), ("doc_id", "seq", "ts_ms", "label"))
+
+
 def refined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, value: items as ``(ts,text,label)``."""
     text = F.regexp_replace("text", r"[,()\r\n]", " ")
