@@ -15,7 +15,7 @@ from tidemark.plans import catalog as C
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import query
 from tidemark.sources import archive, http_feeds, readers, writers
-from tidemark.storage import file_system, new_path
+from tidemark.storage import file_system, materialize, new_path
 from tidemark.streaming import jobs, joins, progress, state
 
 TTL = 2
@@ -32,7 +32,7 @@ SELECT doc_id, prediction, label, prediction = label AS correct, (doc_id * 7919)
 def stream_late_labels(spark, sf):
     """A stream of predictions joined with a stream of labels that come later, each in micro-batches by time."""
     model, tokens, rows = C._offline(spark, sf, config.STREAM_RATIO)
-    made = bayes.predict(bayes.scores(model, tokens, rows)).join(rows, "doc_id")
+    made = materialize(bayes.predict(bayes.scores(model, tokens, rows)).join(rows, "doc_id"), "late")
     sides = []
     for name, time, columns in (("prediction", "predicted_at", ["prediction"]), ("label", "labelled_at", ["label"])):
         ts = F.col("ts_ms") + (_lag() * config.AN_HOUR_MS if name == "label" else 0)

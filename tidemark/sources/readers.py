@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import java_trim
+from tidemark.storage import file_system
 
 DICTIONARY = T.StructType([T.StructField("term", T.StringType()), T.StructField("term_id", T.IntegerType())])
 REGISTRY = T.StructType([T.StructField("url", T.StringType()), T.StructField("category", T.StringType()), T.StructField("last_update", T.LongType())])
@@ -78,8 +79,10 @@ def file_rows(spark: SparkSession, path: str, schema: T.StructType, files_per_ba
 
 
 def sliced_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stream of what `writers.in_slices` wrote, one slice's file in each micro-batch, in order."""
-    return file_rows(spark, f"{path}/_slice=*", schema)
+    """A stream of what `writers.in_slices` wrote, one slice's files in each micro-batch, in order: each slice has the same number of them."""
+    fs, root = file_system(spark, path)
+    folders = [x.getPath() for x in fs.listStatus(root) if x.isDirectory()]
+    return file_rows(spark, f"{path}/_slice=*", schema, max((len(fs.listStatus(x)) for x in folders), default=1))
 
 
 def in_memory(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

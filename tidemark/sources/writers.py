@@ -29,12 +29,24 @@ def refined(df: DataFrame, path: str) -> None:
 def in_slices(df: DataFrame, path: str, at: Column) -> None:
     """Parquet in a folder for each value of ``at``, a whole number from 0, dated in this order: `readers.sliced_rows` streams a slice at a time.
 
-    One job writes all; then the files get modification times a minute apart from slice to slice, which is what a file stream goes by.
+    Each task writes its own files of the slices that it has, so no slice is one task's; folders are filled up with empty files to the same number,
+    which is what a micro-batch takes. Then the files get modification times a minute apart from slice to slice, which is what a file stream goes by.
     """
-    df.withColumn("_slice", at.cast("int")).repartition("_slice").write.partitionBy("_slice").parquet(path)
+    df.withColumn("_slice", at.cast("int")).write.partitionBy("_slice").parquet(path)
     spark = df.sparkSession
     fs, root = file_system(spark, path)
     folders = [x.getPath() for x in fs.listStatus(root) if x.isDirectory()]
+    held = {str(folder): len(fs.listStatus(folder)) for folder in folders}
+    lacking = {folder: max(held.values()) - n for folder, n in held.items() if n < max(held.values())}
+    if lacking:
+        aside = f"{path.rstrip('/')}-empty"
+        spark.createDataFrame([], df.schema).coalesce(1).write.parquet(aside)
+        jvm = spark._jvm.org.apache.hadoop.fs
+        empty = next(x.getPath() for x in fs.listStatus(jvm.Path(aside)) if x.getPath().getName().startswith("part-"))
+        for folder, n in lacking.items():
+            for i in range(n):
+                jvm.FileUtil.copy(fs, empty, fs, jvm.Path(f"{folder}/empty-{i}.parquet"), False, spark._jsc.hadoopConfiguration())
+        fs.delete(jvm.Path(aside), True)
     start = fs.getFileStatus(root).getModificationTime()
     for folder in folders:
         number = int(folder.getName().split("=")[1])

@@ -17,6 +17,7 @@ from tidemark.config import STREAM_RATIO, Smoothing
 from tidemark.functions.numeric import phase_divided
 from tidemark.functions.text import tokens as text_tokens
 from tidemark.operators import bayes, dictionary, evaluate
+from tidemark.storage import materialize
 
 
 def exploded(stream: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -72,8 +73,8 @@ def term_days(stream: DataFrame, start_ms: int, delay: str = "1 hour") -> DataFr
 def latest(versions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Of each key the row of the last ``batch``: what an update-mode stream has come to."""
     rest = [c for c in versions.columns if c not in (*keys, "batch")]
-    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
-    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    # Column by column: of plain numbers it is a hash aggregate, of a struct a sort of all versions.
+    return versions.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
 
 
 def term_frequencies(batch: DataFrame) -> DataFrame:
@@ -141,13 +142,16 @@ class PhaseMachine:
         self._write(self.spark.createDataFrame([(state, model, has_rows)], "state string, model int, has_rows boolean"), "state", number)
 
     def _weighed(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
-        return dictionary.weighed(exploded(rows, ("doc_id",)), known) if known is not None else counted(rows)
+        counts = dictionary.counted_terms(rows, ("doc_id",), text_tokens(F.col("text")))
+        weighed = dictionary.weighed(counts, known) if known is not None else counts.select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
+        # Texts are split once for all that reads the weights.
+        return materialize(weighed, "phase-weights")
 
     def _fit(self, number: int) -> None:
         rows = self._read("rows").where(F.col("batch") < number)
         known = None
         if self.tf_idf:
-            self._write(dictionary.document_frequency(exploded(rows, ("doc_id",))), "dictionary", number)
+            self._write(dictionary.document_frequency(dictionary.counted_terms(rows, ("doc_id",), text_tokens(F.col("text")))), "dictionary", number)
             known = self.spark.read.parquet(f"{self.folder}/dictionary/batch={number}")
         tokens = self._weighed(rows, known).join(rows.select("doc_id", "label"), "doc_id")
         model = bayes.fit(tokens, rows.select("label"), tokens.select("term").distinct(), self.smoothing, weight="weight")
