@@ -18,6 +18,7 @@ from tidemark.config import A_DAY_MS, START_MS, STOP_WORDS
 from tidemark.functions.numeric import augmented_tf, day_number, idf, idf_whole
 from tidemark.functions.text import terms
 from tidemark.operators.sequence import number_rows
+from tidemark.operators.splitting import counted
 from tidemark.storage import materialize
 
 #: Rows of a table of terms that are broadcast: those of its most frequent terms, which are nearly all tokens.
@@ -32,18 +33,6 @@ def token_table(docs: DataFrame, keep: Sequence[str], stop_words: Sequence[str]
     return rows.select(*keep, F.posexplode("_t").alias("pos", "term"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (keep..., terms) as rows (keep..., term, tf): each row's distinct terms."""
-    for batch in batches:
-        terms = batch.column(batch.num_columns - 1)
-        pairs = pa.table({"row": pc.list_parent_indices(terms), "term": pc.list_flatten(terms)})
-        got = pairs.group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
-        for part in got.to_batches(max_chunksize=100_000):
-            row = part.column("row")
-            kept = [batch.column(i).take(row) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, part.column("term"), part.column("count_all")], [*batch.schema.names[:-1], "term", "tf"])
-
-
 def counted_terms(rows: DataFrame, keep: Sequence[str], terms: Column | str = "terms") -> DataFrame:
     """keep..., term, tf of rows with an array of terms (without nulls): counted where they are read, nothing is shuffled.
 
@@ -51,7 +40,7 @@ def counted_terms(rows: DataFrame, keep: Sequence[str], terms: Column | str = "t
     """
     rows = rows.select(*keep, (F.col(terms) if isinstance(terms, str) else terms).alias("_terms")).where("_terms is not null")
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(_counted, ", ".join([*fields, "term string", "tf long"]))
+    return rows.mapInArrow(counted, ", ".join([*fields, "term string", "tf long"]))
 
 
 def join_terms(tokens: DataFrame, table: DataFrame, often: Column, most: int = HOT_ROWS) -> DataFrame:

@@ -29,11 +29,15 @@ def _quantiles(column: str, parts: int) -> Column:
     return F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
 
 
-def _ranged(df: DataFrame, key: str, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
-    """``df`` with its range in order of the key (and the first tie): ``_range``, an ascending long."""
+def _ranged(df: DataFrame, key: str, ties: tuple[str, ...] = (), ranges: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """``df`` with its range in order of the key (and the first tie): ``_range``, an ascending long.
+
+    ``keys``: a table with about the same keys that is cheaper to read; its quantiles cut the ranges.
+    """
+    keys = df if keys is None else keys
     if ranges is None:
-        ranges = min(max(-(-df.count() // RANGE_ROWS), LEAST), MOST)
-    found = df.agg(_quantiles(key, ranges).alias("e")).first()["e"] or []
+        ranges = min(max(-(-keys.count() // RANGE_ROWS), LEAST), MOST)
+    found = keys.agg(_quantiles(key, ranges).alias("e")).first()["e"] or []
     edges = sorted(set(found))
     at = _below(edges, F.col(key)).cast("long") * (1 << 20)
     # A value between two equal quantiles fills a range of its own, or more.
@@ -46,9 +50,9 @@ def _ranged(df: DataFrame, key: str, ties: tuple[str, ...] = (), ranges: int | N
     return df.withColumn("_range", at)
 
 
-def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None) -> DataFrame:
-    """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``."""
-    rows = materialize(_ranged(df, key, ties, ranges), "ranged")
+def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``; keys: see `_ranged`."""
+    rows = materialize(_ranged(df, key, ties, ranges, keys), "ranged")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range, some thousands at most.
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))

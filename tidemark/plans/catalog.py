@@ -9,7 +9,7 @@ from tidemark import config
 from tidemark.config import START_MS, STOP_WORDS
 from tidemark.functions import numeric as N
 from tidemark.functions import text as X
-from tidemark.operators import bayes, dictionary, evaluate, policies, refine
+from tidemark.operators import bayes, dictionary, evaluate, policies, refine, splitting
 from tidemark.operators.sequence import number_rows
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import QUERIES, SQL, query
@@ -572,8 +572,8 @@ j AS (SELECT e.doc_id, e.seq, e.epoch, e.label, prediction, (prediction = e.labe
 
 
 def _periodic(spark, sf, policy=PERIODIC):
-    tokens = I.tokens(spark, sf)
-    return policies.periodic_predictions(tokens, I.numbered(spark, sf), tokens.select("term").distinct(), policy)
+    items = I.items(spark, sf)
+    return policies.windowed_predictions(items, splitting.distinct_terms(items).count(), policy)
 
 
 @query(f"{_periodic_sql()} SELECT doc_id, seq, epoch, prediction FROM j")

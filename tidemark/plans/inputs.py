@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from tidemark.config import START_MS, STOP_WORDS
 from tidemark.functions.numeric import utc_clock
-from tidemark.functions.text import terms
 from tidemark.operators.dictionary import counted_terms
-from tidemark.operators.sequence import number_rows
-from tidemark.storage import materialize, shared_table
+from tidemark.operators.sequence import LEAST, MOST, number_rows
+from tidemark.operators.splitting import with_terms
+from tidemark.storage import shared_table
 
 LANGS = ("de", "en", "es", "fr")
 SPAN_MS = 21 * 86_400_000
+#: Texts of a range in which items are numbered, in one task.
+RANGE_TEXTS = 4_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 
     def make() -> DataFrame:
-        rows = docs(spark, sf_dir).select("doc_id", "ts_ms", "label", terms(F.col("text")).alias("terms")).where(F.size("terms") >= 2)
-        rows = materialize(rows, "items")
-        return rows.join(number_rows(rows.select("doc_id"), "doc_id"), "doc_id").select("doc_id", "seq", "ts_ms", "label", "terms")
+        texts = docs(spark, sf_dir)
+        rows = with_terms(texts, ("doc_id", "ts_ms", "label"), least=2)
+        # The texts' own ids cut the ranges, so texts are split once, and what is numbered is met by no join.
+        ranges = min(max(texts.count() // RANGE_TEXTS, LEAST), MOST)
+        return number_rows(rows, "doc_id", ranges=ranges, keys=texts.select("doc_id")).select("doc_id", "seq", "ts_ms", "label", "terms")
 
     return shared_table(spark, "items-numbered", f"{sf_dir}/documents.parquet", make)
 
