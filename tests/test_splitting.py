@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import text as X
 from tidemark.operators import policies, splitting
+from tidemark.operators.sequence import number_rows, running_mean
 
 TEXTS = ["The quick,brown fox", "", None, "  ", "a", "x", "-x1-", "ab", "cd", "İstanbul Kelvin été naïve", "x\ny\tz\x00w", "THE the The", "日本 42 \U0001f600a", "end "]
 
@@ -51,3 +52,17 @@ def test_windows_in_order_give_the_rows_of_the_joins(spark):
             assert "HashJoin" not in plan and "MergeJoin" not in plan and "HashAggregate" not in plan
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
+def test_rows_are_computed_once_before_they_are_numbered_or_averaged(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    df = spark.range(40).mapInPandas(seen, "id long")
+    assert number_rows(df, "id").agg(F.max("seq")).first()[0] == 39 and calls.value == 40
+    means = running_mean(df, F.col("id"), "id").orderBy("id").collect()
+    assert means[-1].running == 19.5 and calls.value == 80

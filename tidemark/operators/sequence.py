@@ -1,7 +1,7 @@
 """Positions and running sums over a total order, without one task for all rows.
 
-Rows are cut into ranges of their order by approximate quantiles, as many as the row count asks
-for, and written with their range; each range is numbered or summed on its own, and the ranges' totals, one row for each, are added up
+Rows are written once and cut into ranges of their order by approximate quantiles, as many as the row count asks
+for; each range is numbered or summed on its own, and the ranges' totals, one row for each, are added up
 and broadcast. A key value that fills whole ranges by itself is cut further by the first tie column.
 """
 
@@ -50,9 +50,14 @@ def _ranged(df: DataFrame, key: str, ties: tuple[str, ...] = (), ranges: int | N
     return df.withColumn("_range", at)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    return df if hasattr(df, "written_path") else materialize(df, "unranged")
+
+
 def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``; keys: see `_ranged`."""
-    rows = materialize(_ranged(df, key, ties, ranges, keys), "ranged")
+    # Rows are computed once: written as they are, and their ranges found on what is written.
+    rows = _ranged(_written(df), key, ties, ranges) if keys is None else materialize(_ranged(df, key, ties, ranges, keys), "ranged")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range, some thousands at most.
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -63,7 +68,7 @@ def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str =
 
 def running_mean(df: DataFrame, value: Column, key: str, by: tuple[str, ...] = (), name: str = "running", ranges: int | None = None) -> DataFrame:
     """Mean of ``value`` over all rows up to each row, in order of a unique numeric ``key``, for each ``by``."""
-    rows = materialize(_ranged(df.withColumn("_v", value.cast("double")), key, (), ranges), "ranged")
+    rows = _ranged(_written(df.withColumn("_v", value.cast("double"))), key, (), ranges)
     group = [*by, "_range"]
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*group).agg(F.sum("_v").alias("_s"), F.count("*").alias("_c"))
