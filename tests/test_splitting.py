@@ -66,3 +66,9 @@ def test_rows_are_computed_once_before_they_are_numbered_or_averaged(spark):
     assert number_rows(df, "id").agg(F.max("seq")).first()[0] == 39 and calls.value == 40
     means = running_mean(df, F.col("id"), "id").orderBy("id").collect()
     assert means[-1].running == 19.5 and calls.value == 80
+
+
+def test_leading_terms_are_those_of_the_expression(spark):
+    df = spark.createDataFrame(list(enumerate([*TEXTS, "a b c d e f g h i j k l", " one two three ", "one two three."])), "doc_id long, text string")
+    want = {r.doc_id: r.t or [] for r in df.select("doc_id", X.leading_terms(F.col("text"), 3).alias("t")).collect()}
+    assert {r.doc_id: r.terms for r in splitting.with_leading_terms(df, ("doc_id",), most=3).collect()} == want

@@ -85,6 +85,16 @@ def with_terms(rows: DataFrame, keep: Sequence[str], text: Column | str = "text"
     return _mapped(rows, keep, text, run, "terms array<string>")
 
 
+def with_leading_terms(rows: DataFrame, keep: Sequence[str], text: str = "text", most: int = 10) -> DataFrame:
+    """keep..., terms as `functions.text.leading_terms` gives them (null: none): an empty token at a text's start or end counts as a term."""
+    low, blank = F.lower(text), F.array(F.lit(""))
+    starts, stops = ~F.substring(low, 1, 1).rlike("^[0-9a-z]$"), (low != "") & ~F.right(low, F.lit(1)).rlike("^[0-9a-z]$")
+    rows = with_terms(rows.select(*keep, text, starts.alias("_starts"), stops.alias("_stops")), (*keep, "_starts", "_stops"), text, most=most)
+    none = F.array().cast("array<string>")
+    ends = [F.when(F.col(c), blank).otherwise(none) for c in ("_starts", "_stops")]
+    return rows.select(*keep, F.slice(F.concat(ends[0], "terms", ends[1]), 1, most).alias("terms"))
+
+
 def _mapped(rows: DataFrame, keep: Sequence[str], text: Column | str, run: Callable, more: str) -> DataFrame:
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     rows = rows.select(*keep, F.lower(text).alias("_text"))

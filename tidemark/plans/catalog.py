@@ -486,9 +486,9 @@ tok AS (SELECT doc_id, seq, label, unnest(terms) AS term FROM numbered)"""
 
 @query(f"{_SHORT}, {I.bayes_sql('seq < 300', 'seq > 300', vocabulary=False, prior='words')} SELECT doc_id, label, prediction FROM m_pred JOIN numbered USING (doc_id)")
 def sequential_nb(spark, sf):
-    cut = I.docs(spark, sf).select("doc_id", "label", X.leading_terms(F.col("text")).alias("terms")).where(F.size("terms") >= 4)
-    rows = number_rows(cut.select("doc_id", "label"), "doc_id")
-    tokens = cut.select("doc_id", F.explode("terms").alias("term")).join(rows, "doc_id")
+    cut = splitting.with_leading_terms(I.docs(spark, sf), ("doc_id", "label")).where(F.size("terms") >= 4)
+    rows = materialize(number_rows(cut, "doc_id"), "leading-terms")
+    tokens = rows.select("doc_id", "label", "seq", F.explode("terms").alias("term"))
     model = bayes.fit(tokens.where("seq < 300"), rows.where("seq < 300"), 0, config.WORD_RATIO)
     test = rows.where("seq > 300")
     return evaluate.judged(bayes.predict(bayes.scores(model, tokens.where("seq > 300"), test)), test).select("doc_id", "label", "prediction")
