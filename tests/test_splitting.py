@@ -11,6 +11,7 @@ from tidemark import config
 from tidemark.functions import text as X
 from tidemark.operators import policies, splitting
 from tidemark.operators.sequence import number_rows, running_mean
+from tidemark.streaming import jobs
 
 TEXTS = ["The quick,brown fox", "", None, "  ", "a", "x", "-x1-", "ab", "cd", "İstanbul Kelvin été naïve", "x\ny\tz\x00w", "THE the The", "日本 42 \U0001f600a", "end "]
 
@@ -54,6 +55,12 @@ def test_windows_in_order_give_the_rows_of_the_joins(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
 
 
+def test_leading_terms_are_those_of_the_expression(spark):
+    df = spark.createDataFrame(list(enumerate([*TEXTS, "a b c d e f g h i j k l", " one two three ", "one two three."])), "doc_id long, text string")
+    want = {r.doc_id: r.t or [] for r in df.select("doc_id", X.leading_terms(F.col("text"), 3).alias("t")).collect()}
+    assert {r.doc_id: r.terms for r in splitting.with_leading_terms(df, ("doc_id",), most=3).collect()} == want
+
+
 def test_rows_are_computed_once_before_they_are_numbered_or_averaged(spark):
     calls = spark.sparkContext.accumulator(0)
 
@@ -68,7 +75,11 @@ def test_rows_are_computed_once_before_they_are_numbered_or_averaged(spark):
     assert means[-1].running == 19.5 and calls.value == 80
 
 
-def test_leading_terms_are_those_of_the_expression(spark):
-    df = spark.createDataFrame(list(enumerate([*TEXTS, "a b c d e f g h i j k l", " one two three ", "one two three."])), "doc_id long, text string")
-    want = {r.doc_id: r.t or [] for r in df.select("doc_id", X.leading_terms(F.col("text"), 3).alias("t")).collect()}
-    assert {r.doc_id: r.terms for r in splitting.with_leading_terms(df, ("doc_id",), most=3).collect()} == want
+def test_frequencies_of_rows_that_share_time_and_label_are_added_up(spark):
+    rows = [(1, "a", "x x the"), (1, "a", "X y"), (1, None, "x"), (1, None, "x z"), (2, "a", "x"), (None, "a", "q q"), (3, "b", None)]
+    batch = spark.createDataFrame(rows, "ts_ms long, label string, text string")
+    want = [(1, "a", "the", 1), (1, "a", "x", 3), (1, "a", "y", 1), (1, None, "x", 2), (1, None, "z", 1), (2, "a", "x", 1), (None, "a", "q", 2)]
+    assert sorted(map(tuple, jobs.term_frequencies(batch).collect()), key=str) == sorted(want, key=str)
+    alone = jobs.term_frequencies(batch.where("ts_ms > 1"))
+    assert list(map(tuple, alone.collect())) == [(2, "a", "x", 1)]
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()

@@ -95,6 +95,18 @@ def with_leading_terms(rows: DataFrame, keep: Sequence[str], text: str = "text",
     return rows.select(*keep, F.slice(F.concat(ends[0], "terms", ends[1]), 1, most).alias("terms"))
 
 
+def counted_texts(rows: DataFrame, keep: Sequence[str], text: Column | str = "text", stop_words: Sequence[str] = ()) -> DataFrame:
+    """keep..., term, tf: each row's distinct terms, split and counted where the rows are read; nothing is shuffled."""
+    stops = pa.array(list(stop_words), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = split(batch.column(batch.num_columns - 1), stops)
+            yield from counted([pa.RecordBatch.from_arrays([*batch.columns[:-1], terms], [*batch.schema.names[:-1], "terms"])])
+
+    return _mapped(rows, keep, text, run, "term string, tf long")
+
+
 def _mapped(rows: DataFrame, keep: Sequence[str], text: Column | str, run: Callable, more: str) -> DataFrame:
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     rows = rows.select(*keep, F.lower(text).alias("_text"))

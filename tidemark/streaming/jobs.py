@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.config import STREAM_RATIO, Smoothing
 from tidemark.functions.numeric import phase_divided
 from tidemark.functions.text import tokens as text_tokens
-from tidemark.operators import bayes, dictionary, evaluate
+from tidemark.operators import bayes, dictionary, evaluate, splitting
 from tidemark.storage import materialize
 
 
@@ -78,8 +78,18 @@ def latest(versions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def term_frequencies(batch: DataFrame) -> DataFrame:
-    """ts_ms, label, term, tf of one micro-batch; nothing is carried over."""
-    return exploded(batch, ("ts_ms", "label")).groupBy("ts_ms", "label", "term").agg(F.count("*").alias("tf"))
+    """ts_ms, label, term, tf of one micro-batch; nothing is carried over.
+
+    Rows are counted where they are read. Only those that share time and label with another row are added up, in a shuffle.
+    """
+    shared = materialize(batch.groupBy("ts_ms", "label").agg(F.count("*").alias("n")).where("n > 1").select("ts_ms", "label"), "shared-times")
+    keep = ("ts_ms", "label")
+    if shared.isEmpty():
+        return splitting.counted_texts(batch, keep)
+    a, b = batch.alias("a"), shared.alias("b")
+    same = F.expr("a.ts_ms <=> b.ts_ms AND a.label <=> b.label")
+    met = splitting.counted_texts(a.join(b, same, "left_semi"), keep)
+    return splitting.counted_texts(a.join(b, same, "left_anti"), keep).unionByName(met.groupBy(*keep, "term").agg(F.sum("tf").alias("tf")))
 
 
 def deduplicated(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
