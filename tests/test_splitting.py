@@ -11,6 +11,7 @@ from tidemark import config
 from tidemark.functions import text as X
 from tidemark.operators import policies, splitting
 from tidemark.operators.sequence import number_rows, running_mean
+from tidemark.plans import inputs as I
 from tidemark.streaming import jobs
 
 TEXTS = ["The quick,brown fox", "", None, "  ", "a", "x", "-x1-", "ab", "cd", "İstanbul Kelvin été naïve", "x\ny\tz\x00w", "THE the The", "日本 42 \U0001f600a", "end "]
@@ -83,3 +84,17 @@ def test_frequencies_of_rows_that_share_time_and_label_are_added_up(spark):
     alone = jobs.term_frequencies(batch.where("ts_ms > 1"))
     assert list(map(tuple, alone.collect())) == [(2, "a", "x", 1)]
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_are_numbered_where_they_are_split(spark, tmp_path):
+    """Ranges that go on over batches, and texts too short to count."""
+    rows = [(i * 7 % 3000, "a" if i % 5 else "x y", "en") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+    try:
+        got = I.items(spark, str(tmp_path)).orderBy("doc_id").select("doc_id", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert [r.doc_id for r in got] == sorted(d for d, text, _ in rows if text == "x y")
+    assert [r.seq for r in got] == list(range(600))

@@ -54,16 +54,24 @@ def _written(df: DataFrame) -> DataFrame:
     return df if hasattr(df, "written_path") else materialize(df, "unranged")
 
 
-def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``; keys: see `_ranged`."""
-    # Rows are computed once: written as they are, and their ranges found on what is written.
-    rows = _ranged(_written(df), key, ties, ranges) if keys is None else materialize(_ranged(df, key, ties, ranges, keys), "ranged")
+def in_ranges(df: DataFrame, key: str, keys: DataFrame, ranges: int) -> DataFrame:
+    """``df`` with its range, ``_range``: each range whole in one task, in order of the numeric ``key`` (nulls first); keys: see `_ranged`."""
+    return _ranged(df, key, (), ranges, keys).repartition("_range").sortWithinPartitions("_range", key)
+
+
+def rows_before(rows: DataFrame) -> DataFrame:
+    """_range, _before: the rows of all earlier ranges. One row for each range, some thousands at most."""
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each range, some thousands at most.
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+def number_rows(df: DataFrame, key: str, ties: tuple[str, ...] = (), name: str = "seq", ranges: int | None = None) -> DataFrame:
+    """Row numbers from 0 in order of a numeric ``key`` (nulls first) and ``ties``."""
+    # Rows are computed once: written as they are, and their ranges found on what is written.
+    rows = _ranged(_written(df), key, ties, ranges)
     own = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties))
-    return rows.join(F.broadcast(counts), "_range").withColumn(name, own.cast("long") - 1 + F.col("_before")).drop("_range", "_before")
+    return rows.join(F.broadcast(rows_before(rows)), "_range").withColumn(name, own.cast("long") - 1 + F.col("_before")).drop("_range", "_before")
 
 
 def running_mean(df: DataFrame, value: Column, key: str, by: tuple[str, ...] = (), name: str = "running", ranges: int | None = None) -> DataFrame:

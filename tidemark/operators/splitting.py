@@ -70,19 +70,33 @@ def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, part.column("term"), part.column("count_all")], [*batch.schema.names[:-1], "term", "tf"])
 
 
-def with_terms(rows: DataFrame, keep: Sequence[str], text: Column | str = "text", stop_words: Sequence[str] = STOP_WORDS, least: int = 0, most: int | None = None) -> DataFrame:
-    """keep..., terms (array) of the rows with ``least`` terms or more; their first ``most`` terms."""
+def with_terms(rows: DataFrame, keep: Sequence[str], text: Column | str = "text", stop_words: Sequence[str] = STOP_WORDS, least: int = 0, most: int | None = None, within: str | None = None) -> DataFrame:
+    """keep..., terms (array) of the rows with ``least`` terms or more; their first ``most`` terms.
+
+    within: a column of ``keep`` whose values (longs, no nulls) come in runs; such rows get a last column ``_at``, their number from 0 in their run.
+    """
     stops = pa.array(list(stop_words), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, count = None, 0
         for batch in batches:
             terms = split(batch.column(batch.num_columns - 1), stops)
             enough = pc.greater_equal(pc.list_value_length(terms), least)
             terms = terms if most is None else pc.list_slice(terms, 0, most)
             out = pa.RecordBatch.from_arrays([*batch.columns[:-1], terms], [*batch.schema.names[:-1], "terms"])
-            yield out.filter(enough) if least else out
-
-    return _mapped(rows, keep, text, run, "terms array<string>")
+            out = out.filter(enough) if least else out
+            if within:
+                values = np.asarray(out.column(within))
+                at = np.arange(len(values))
+                fresh = np.flatnonzero(np.diff(values, prepend=values[:1]) != 0)
+                at -= np.repeat(np.concatenate([[0], fresh]), np.diff(np.concatenate([[0], fresh, [len(values)]])))
+                if len(values):
+                    at[: fresh[0] if len(fresh) else len(at)] += count if values[0] == value else 0
+                    value, count = values[-1], at[-1] + 1
+                out = out.append_column("_at", pa.array(at, pa.int64()))
+            yield out
+
+    return _mapped(rows, keep, text, run, "terms array<string>, _at long" if within else "terms array<string>")
 
 
 def with_leading_terms(rows: DataFrame, keep: Sequence[str], text: str = "text", most: int = 10) -> DataFrame:

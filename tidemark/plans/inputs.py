@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tidemark.config import START_MS, STOP_WORDS
 from tidemark.functions.numeric import utc_clock
 from tidemark.operators.dictionary import counted_terms
-from tidemark.operators.sequence import LEAST, MOST, number_rows
+from tidemark.operators.sequence import LEAST, MOST, in_ranges, rows_before
 from tidemark.operators.splitting import with_terms
 from tidemark.storage import shared_table
 
 LANGS = ("de", "en", "es", "fr")
 SPAN_MS = 21 * 86_400_000
 #: Texts of a range in which items are numbered, in one task.
-RANGE_TEXTS = 4_000
+RANGE_TEXTS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,17 +38,19 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, ts_ms, label, terms (array) of the items with two terms or more.
 
-    Texts are read and split once: the table is written, and all queries of the application share it.
+    Texts are read, shuffled to the ranges of their ids and split once: the table is written, and all queries of the application share it.
     """
 
+    source = f"{sf_dir}/documents.parquet"
+
     def make() -> DataFrame:
         texts = docs(spark, sf_dir)
-        rows = with_terms(texts, ("doc_id", "ts_ms", "label"), least=2)
-        # The texts' own ids cut the ranges, so texts are split once, and what is numbered is met by no join.
         ranges = min(max(texts.count() // RANGE_TEXTS, LEAST), MOST)
-        return number_rows(rows, "doc_id", ranges=ranges, keys=texts.select("doc_id")).select("doc_id", "seq", "ts_ms", "label", "terms")
+        return with_terms(in_ranges(texts, "doc_id", texts.select("doc_id"), ranges), ("doc_id", "ts_ms", "label", "_range"), least=2, within="_range")
 
-    return shared_table(spark, "items-numbered", f"{sf_dir}/documents.parquet", make)
+    rows = shared_table(spark, "items-ranged", source, make)
+    before = shared_table(spark, "items-before", source, lambda: rows_before(rows))
+    return rows.join(F.broadcast(before), "_range").select("doc_id", (F.col("_at") + F.col("_before")).alias("seq"), "ts_ms", "label", "terms")
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
