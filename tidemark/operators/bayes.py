@@ -41,10 +41,15 @@ def fit(tokens: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothi
     ``vocabulary`` is the size of the dictionary or a table whose rows are its terms. Term
     counts may be weighted, documents never are.
     """
+    amount = F.sum(weight) if weight else F.count("*").cast("double")
+    return fit_counts(tokens.groupBy(*key, "label", "term").agg(amount.alias("count")), docs, vocabulary, smoothing, key)
+
+
+def fit_counts(counts: DataFrame, docs: DataFrame, vocabulary: DataFrame | int, smoothing: Smoothing = MULTINOMIAL, key: tuple[str, ...] = ()) -> Model:
+    """`fit` on tokens that are added up: one row (key, label, term, count) for each label's term."""
     by = [*key, "label"]
     add = float(smoothing.add)
-    amount = F.sum(weight) if weight else F.count("*").cast("double")
-    counts = materialize(tokens.groupBy(*by, "term").agg(amount.alias("count")), "bayes-counts")
+    counts = materialize(counts, "bayes-counts")
     totals = counts.groupBy(*by).agg(F.sum("count").alias("total"))
     documents = docs.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
     labels = documents.join(totals, by, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
@@ -102,6 +107,39 @@ def scores(model: Model, tokens: DataFrame, docs: DataFrame, doc: str = "doc_id"
     return rows.select(*key, doc, "label", score.alias("score"))
 
 
+def gains_by_term(model: Model, labels: list) -> DataFrame:
+    """term, often, gain_0, gain_1, ... of a model without a key: a row for each term, a gain (null: unseen) for each of its labels (rows of ``model.labels``)."""
+    gains = [F.max(F.when(F.col("label") == row.label, F.col("gain"))).alias(f"gain_{i}") for i, row in enumerate(labels)]
+    return model.conditionals.groupBy("term").agg(F.sum(F.abs("count")).alias("often"), *gains)
+
+
+def scores_of_sums(counts: DataFrame, docs: DataFrame, labels: list, hot: DataFrame, cold: DataFrame, tf_idf: bool) -> DataFrame:
+    """`scores` of counted terms (doc_id, term, tf), none of them twice, by a written table of `gains_by_term`; tf_idf: with a column ``idf``, other terms are dropped.
+
+    hot: the part of that table that is broadcast. A document's terms add up where they are counted, except those that are not in it: only these meet
+    the part ``cold``. The greatest frequency is not known before the end, so the sums are kept with and without the factor tf.
+    """
+    idf = F.col("idf") if tf_idf else F.lit(1.0)
+    gains = [f"gain_{i}" for i in range(len(labels))]
+    scaled = {"length": idf, **{g: idf * F.col(g) for g in gains}}
+    sums = [F.max("tf").alias("most"), *[F.sum(F.col("tf") * x).alias(f"tf_{n}") for n, x in scaled.items()]]
+    sums += [F.sum(x).alias(f"one_{n}") for n, x in scaled.items()] if tf_idf else []
+    if cold.isEmpty():
+        found = counts.join(F.broadcast(hot), "term", "inner" if tf_idf else "left").groupBy("doc_id").agg(*sums)
+    else:
+        met = counts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "term", "left")
+        met = materialize(met.groupBy("doc_id", F.when(F.col("_hot").isNull(), F.col("term")).alias("_far")).agg(*sums), "bayes-sums")
+        far = met.where("_far is not null").select("doc_id", F.col("_far").alias("term"), F.col("most").alias("tf"))
+        far = far.join(cold, "term", "inner" if tf_idf else "left").groupBy("doc_id").agg(*sums)
+        added = [(F.max if c == "most" else F.sum)(c).alias(c) for c in far.columns if c != "doc_id"]
+        found = met.where("_far is null").drop("_far").unionByName(far).groupBy("doc_id").agg(*added)
+    of = (lambda n: (F.lit(0.5) * F.col(f"one_{n}") + F.lit(0.5) * F.col(f"tf_{n}") / F.col("most"))) if tf_idf else (lambda n: F.col(f"tf_{n}"))
+    score = [F.lit(float(row.prior)) + F.coalesce(of("length") * F.lit(float(row.unseen)), F.lit(0.0)) + F.coalesce(of(g), F.lit(0.0)) for row, g in zip(labels, gains, strict=True)]
+    names = F.array(*[F.lit(row.label).cast("string") for row in labels])
+    rows = docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.posexplode(F.array(*score)).alias("_label", "score"))
+    return rows.select("doc_id", F.get(names, F.col("_label")).alias("label"), "score")
+
+
 def predict(scored: DataFrame, doc: str = "doc_id", key: tuple[str, ...] = ()) -> DataFrame:
     """key..., doc, prediction: the best label, of ties the first in order of names."""
     # Ordering by rounded score keeps ties stable against the order of summation. Of two names of which

@@ -121,6 +121,32 @@ def counted_texts(rows: DataFrame, keep: Sequence[str], text: Column | str = "te
     return _mapped(rows, keep, text, run, "term string, tf long")
 
 
+def summed_texts(rows: DataFrame, by: Sequence[str], text: Column | str = "text", augmented: bool = False) -> DataFrame:
+    """by..., term, n (texts that have the term), amount (times that they have it), by texts' columns ``by``; augmented: the amounts 0.5 + 0.5 tf / max tf of each text.
+
+    Added up within Arrow batches first: what is shuffled are sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = split(batch.column(batch.num_columns - 1))
+            pairs = pa.table({"row": pc.list_parent_indices(terms), "term": pc.list_flatten(terms)}).group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+            if not len(pairs):
+                continue
+            row, tf = np.asarray(pairs["row"]), np.asarray(pairs["count_all"])
+            amount = tf.astype(float)
+            if augmented:
+                most = np.zeros(len(batch), np.int64)
+                np.maximum.at(most, row, tf)
+                amount = 0.5 + 0.5 * tf / most[row]
+            kept = {c: batch.column(i).take(pa.array(row)) for i, c in enumerate(by)}
+            got = pa.table({**kept, "term": pairs["term"], "amount": pa.array(amount)}).group_by([*by, "term"]).aggregate([([], "count_all"), ("amount", "sum")])
+            yield from got.select([*by, "term", "count_all", "amount_sum"]).rename_columns([*by, "term", "n", "amount"]).combine_chunks().to_batches(max_chunksize=100_000)
+
+    sums = _mapped(rows, by, text, run, "term string, n long, amount double")
+    return sums.groupBy(*by, "term").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+
+
 def _mapped(rows: DataFrame, keep: Sequence[str], text: Column | str, run: Callable, more: str) -> DataFrame:
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     rows = rows.select(*keep, F.lower(text).alias("_text"))

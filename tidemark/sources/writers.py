@@ -13,6 +13,10 @@ from tidemark.functions.text import item_line
 from tidemark.storage import file_system, materialize
 
 
+#: Row groups of slices: a scan splits files between them, so that few files of a slice are read by many tasks.
+ROW_GROUP_BYTES = 8 << 20
+
+
 def refined_text(df: DataFrame, path: str, single: bool = False) -> None:
     """``(ts,text,label)`` lines in order of time; single: one file, for readers that need it."""
     line = F.concat(F.lit("("), F.concat_ws(",", F.col("ts_ms").cast("string"), "text", "label"), F.lit(")"))
@@ -32,7 +36,7 @@ def in_slices(df: DataFrame, path: str, at: Column) -> None:
     Each task writes its own files of the slices that it has, so no slice is one task's; folders are filled up with empty files to the same number,
     which is what a micro-batch takes. Then the files get modification times a minute apart from slice to slice, which is what a file stream goes by.
     """
-    df.withColumn("_slice", at.cast("int")).write.partitionBy("_slice").parquet(path)
+    df.withColumn("_slice", at.cast("int")).write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("_slice").parquet(path)
     spark = df.sparkSession
     fs, root = file_system(spark, path)
     folders = [x.getPath() for x in fs.listStatus(root) if x.isDirectory()]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import STREAM_RATIO, Smoothing
-from tidemark.functions.numeric import phase_divided
+from tidemark.functions.numeric import idf_whole, phase_divided
 from tidemark.functions.text import tokens as text_tokens
 from tidemark.operators import bayes, dictionary, evaluate, splitting
 from tidemark.storage import materialize
@@ -117,11 +117,15 @@ def counted(rows: DataFrame) -> DataFrame:
     return exploded(rows, ("doc_id",)).withColumn("weight", F.lit(1.0))
 
 
+#: Labels of a model up to which its table of terms has a column for each.
+WIDE_LABELS = 16
+
+
 class PhaseMachine:
     """Train and predict in turns of scaled event time.
 
-    A batch belongs to the phase of its first row. Training batches are appended to a table
-    under their number; the first predicting batch after them fits the model, which is written once and
+    A batch belongs to the phase of its first row. Training batches and their sums by label and term are appended to
+    tables under their number; the first predicting batch after them fits the model, which is written once and
     read by all later batches; a batch that crosses back into training is still predicted.
     ``tf_idf``: terms count by their augmented tf-idf, with the document frequencies of the training rows.
 
@@ -130,6 +134,9 @@ class PhaseMachine:
     replayed batch comes to the same result.
     """
 
+    #: Terms of a model that are broadcast.
+    hot = dictionary.HOT_ROWS
+
     def __init__(self, spark: SparkSession, folder: str, interval: int, training: int, smoothing: Smoothing = STREAM_RATIO, tf_idf: bool = False):
         self.spark, self.folder, self.interval, self.training, self.smoothing, self.tf_idf = spark, folder, interval, training, smoothing, tf_idf
 
@@ -157,8 +164,49 @@ class PhaseMachine:
         # Texts are split once for all that reads the weights.
         return materialize(weighed, "phase-weights")
 
+    @staticmethod
+    def _repeats(rows: DataFrame) -> bool:
+        """Whether documents come several times: then their terms must meet before they are weighed."""
+        return not rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
     def _fit(self, number: int) -> None:
         rows = self._read("rows").where(F.col("batch") < number)
+        if self._repeats(rows):
+            self._fit_repeated(number, rows)
+        else:
+            self._fit_sums(number, rows)
+        own, known = self._model(number)
+        if own.labels.count() <= WIDE_LABELS:
+            terms = bayes.gains_by_term(own, own.labels.collect())
+            if known is not None:
+                terms = known.select("term", F.col("df").alias("often"), idf_whole(20_000, F.col("df")).alias("idf")).join(terms.drop("often"), "term", "left")
+            terms = materialize(terms, "phase-terms")
+            hot = terms if terms.count() <= self.hot else terms.orderBy(F.desc("often")).limit(self.hot)
+            self._write(hot, "hot", number)
+            hot = self.spark.read.schema(hot.schema).parquet(f"{self.folder}/hot/batch={number}")
+            self._write(terms.join(F.broadcast(hot.select("term")), "term", "left_anti"), "cold", number)
+
+    def _fit_sums(self, number: int, rows: DataFrame) -> None:
+        """Of documents that come once: training batches are added up; a document's weights are its own but for the idf, which is the term's."""
+        sums = self._read("sums").where(F.col("batch") < number).groupBy("label", "term").agg(F.sum("n").alias("n"), F.sum("amount").alias("count"))
+        sums = materialize(sums, "phase-sums")
+        if self.tf_idf:
+            self._write(sums.groupBy("term").agg(F.sum("n").alias("df")), "dictionary", number)
+            known = self.spark.read.parquet(f"{self.folder}/dictionary/batch={number}")
+            idf = idf_whole(20_000, F.col("df"))
+            sums = sums.join(known, "term").select("label", "term", (F.col("count") * idf).alias("count"))
+        model = bayes.fit_counts(sums.select("label", "term", "count"), rows.select("label"), sums.select("term").distinct(), self.smoothing)
+        self._write(model.labels, "labels", number)
+        self._write(model.conditionals, "conditionals", number)
+
+    def _scores(self, batch: DataFrame, number: int) -> DataFrame:
+        own, known = self._model(number)
+        if self._repeats(batch) or own.labels.count() > WIDE_LABELS:
+            return bayes.scores(own, self._weighed(batch, known), batch.select("doc_id", "label"), weight="weight")
+        hot, cold = (self.spark.read.parquet(f"{self.folder}/{x}/batch={number}") for x in ("hot", "cold"))
+        return bayes.scores_of_sums(splitting.counted_texts(batch, ("doc_id",)), batch, own.labels.collect(), hot, cold, self.tf_idf)
+
+    def _fit_repeated(self, number: int, rows: DataFrame) -> None:
         known = None
         if self.tf_idf:
             self._write(dictionary.document_frequency(dictionary.counted_terms(rows, ("doc_id",), text_tokens(F.col("text")))), "dictionary", number)
@@ -183,6 +231,7 @@ class PhaseMachine:
             training = (first // 50_000) % self.interval < self.training
             if training and state == "train":
                 self._write(batch.select("doc_id", "ts_ms", "label", "text"), "rows", number)
+                self._write(splitting.summed_texts(batch, ("label",), augmented=self.tf_idf), "sums", number)
                 self._after(number, state, model, True)
                 return
             if state == "train" and has_rows:
@@ -190,9 +239,7 @@ class PhaseMachine:
                 state, model = "predict", number
             if model is not None:
                 docs = batch.select("doc_id", "label")
-                own, known = self._model(model)
-                got = bayes.predict(bayes.scores(own, self._weighed(batch, known), docs, weight="weight"))
-                self._write(evaluate.judged(got, docs), "predictions", number)
+                self._write(evaluate.judged(bayes.predict(self._scores(batch, model)), docs), "predictions", number)
                 judged = self.spark.read.parquet(f"{self.folder}/predictions/batch={number}")
                 self._write(evaluate.accuracy(judged).withColumn("batch_number", F.lit(number)), "metrics", number)
             self._after(number, "train" if training else state, model, has_rows)
