@@ -117,7 +117,8 @@ def frequency_by_day(tokens: DataFrame) -> DataFrame:
 
 
 def tf_idf(tokens: DataFrame, n_docs: int = 20_000, augmented: bool = True) -> DataFrame:
-    """doc_id, term, tf, df, weight. augmented: (0.5 + 0.5 tf / max tf) ln(n div df); else tf ln(n / df)."""
+    """doc_id, term, tf, df, weight. augmented: (0.5 + 0.5 tf / max tf) ln(n div df); else tf ln(n / df). Rows without an id are no documents."""
+    tokens = tokens.where("doc_id is not null")
     tf = term_frequency(tokens)
     most = tf.groupBy("doc_id").agg(F.max("tf").alias("most"))
     rows = tf.join(most, "doc_id").join(document_frequency(tokens), "term")
