@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udtf
 
 #: name(parameters): type, body.
 FUNCTIONS = {
-    "words_of(s STRING)": ("ARRAY<STRING>", "array_remove(split(lower(coalesce(s, '')), '[^0-9a-z]+'), '')"),
+    "words_of(s STRING)": ("ARRAY<STRING>", "array_remove(split(lower(replace(coalesce(s, ''), '\u0130', 'i')), '[^0-9a-z]+'), '')"),
     "string_hash(s STRING)": ("BIGINT", "signed_32(aggregate(filter(split(s, ''), c -> c <> ''), 0L, (h, c) -> pmod(h * 31 + ascii(c), 4294967296L)))"),
     "half_toward_zero(v BIGINT)": ("BIGINT", "v DIV 2"),
     "rfc822_ms(s STRING)": ("BIGINT", "unix_millis(try_to_timestamp(regexp_replace(trim(s), '^[A-Za-z]{3},? *', ''), 'dd MMM yyyy HH:mm:ss z'))"),

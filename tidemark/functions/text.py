@@ -17,9 +17,14 @@ def java_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIMMED))
 
 
+def lowered(text: Column) -> Column:
+    """Lower-cased character by character, as SQL does it: a capital I with a dot is one small i, without the combining dot that would part a term."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def alnum_spaced(text: Column) -> Column:
     """Lower-cased, every character but 0-9 and a-z a space."""
-    return F.regexp_replace(F.lower(text), "[^0-9a-z]", " ")
+    return F.regexp_replace(lowered(text), "[^0-9a-z]", " ")
 
 
 def alnum_only(text: Column) -> Column:
@@ -42,7 +47,7 @@ def drop_trailing_empty(parts: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """White-space split of the cleaned text (see `alnum_spaced`), empty strings included: one pass, as runs of what is cleaned away part the tokens."""
-    return F.split(F.lower(text), "[^0-9a-z]+")
+    return F.split(lowered(text), "[^0-9a-z]+")
 
 
 def tokens(text: Column) -> Column:

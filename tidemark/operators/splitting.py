@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import STOP_WORDS
+from tidemark.functions.text import lowered
 
 _BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes 0-9 and a-z; all bytes of other characters part the terms.
@@ -101,7 +102,7 @@ def with_terms(rows: DataFrame, keep: Sequence[str], text: Column | str = "text"
 
 def with_leading_terms(rows: DataFrame, keep: Sequence[str], text: str = "text", most: int = 10) -> DataFrame:
     """keep..., terms as `functions.text.leading_terms` gives them (null: none): an empty token at a text's start or end counts as a term."""
-    low, blank = F.lower(text), F.array(F.lit(""))
+    low, blank = lowered(F.col(text)), F.array(F.lit(""))
     starts, stops = ~F.substring(low, 1, 1).rlike("^[0-9a-z]$"), (low != "") & ~F.right(low, F.lit(1)).rlike("^[0-9a-z]$")
     rows = with_terms(rows.select(*keep, text, starts.alias("_starts"), stops.alias("_stops")), (*keep, "_starts", "_stops"), text, most=most)
     none = F.array().cast("array<string>")
@@ -149,7 +150,7 @@ def summed_texts(rows: DataFrame, by: Sequence[str], text: Column | str = "text"
 
 def _mapped(rows: DataFrame, keep: Sequence[str], text: Column | str, run: Callable, more: str) -> DataFrame:
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    rows = rows.select(*keep, F.lower(text).alias("_text"))
+    rows = rows.select(*keep, lowered(F.col(text) if isinstance(text, str) else text).alias("_text"))
     return small_batches(rows).mapInArrow(run, ", ".join([*fields, more]))
 
 

@@ -25,8 +25,8 @@ def sql_tf_idf(spark, sf):
     return _run(
         spark,
         """WITH tok AS (SELECT doc_id, explode(words) AS term FROM (SELECT doc_id, words_of(text) AS words FROM {docs})), tfs AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1), mosts AS (SELECT doc_id, max(tf) AS most FROM tfs GROUP BY 1)
-SELECT doc_id, term, tf, df, round(tf_idf(tf, most, 20000, df), 6) AS weight, round(idf(20000, df), 6) AS idf FROM tfs JOIN mosts USING (doc_id) JOIN dfs USING (term)""",
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY 1), mosts AS (SELECT *, max(tf) OVER (PARTITION BY doc_id) AS most FROM tfs)
+SELECT doc_id, term, tf, df, round(tf_idf(tf, most, 20000, df), 6) AS weight, round(idf(20000, df), 6) AS idf FROM mosts JOIN dfs USING (term)""",
         docs=I.docs(spark, sf),
     )
 
